@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, ngramjoin, packing
+from . import decontam, langid, linededup, ngramjoin, packing, quality, urlfilter, warc
 from .common import crc_mod, table
 
 
@@ -63,5 +63,75 @@ FROM sets s JOIN (SELECT id, min(hit) AS c FROM reach GROUP BY id) r ON r.id = s
 """
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op6_linededup": op6_linededup, "op7_packing": op7_packing, "op9_ngramjoin": op9_ngramjoin}
-ORACLES = {"op6_linededup": OP6_SQL, "op9_ngramjoin": OP9_SQL}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT p.*, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: list_sum(list_transform(range(5), lambda k: (instr('0123456789abcdef', h[i * 5 + k + 1]) - 1) * CAST(power(16, 4 - k) AS BIGINT)))) AS groups FROM g)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(groups, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(CAST(v AS BIGINT) >> s) % 32 + 1]), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.measured(table(spark, sf_dir, "documents"))
+    return quality.judged(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+wins AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) >= 5),
+twice AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1),
+reps AS (SELECT doc_id, count(DISTINCT p + k) AS r FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS d FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(d, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words
+  FROM w LEFT JOIN dups ON dups.doc_id = w.doc_id LEFT JOIN reps ON reps.doc_id = w.doc_id),
+stats AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+m AS (
+  SELECT doc_id, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure,
+         unnest([word_chars * 1000 // n_words, n_symbols * 100000 // n_words, n_dup_lines * 100000 // n_words, n_repeat_words * 100000 // n_words]) AS v
+  FROM stats WHERE NOT base_failed),
+b AS (SELECT *, CASE WHEN v < 128 THEN v ELSE 64 * (length(bin(v)) - 7) + (v >> (length(bin(v)) - 7)) END AS bucket FROM m),
+sketch AS (
+  SELECT 0 AS level, lang, source, measure, bucket, count(*) AS n FROM b GROUP BY lang, source, measure, bucket
+  UNION ALL SELECT 1, lang, NULL, measure, bucket, count(*) FROM b GROUP BY lang, measure, bucket
+  UNION ALL SELECT 2, NULL, NULL, measure, bucket, count(*) FROM b GROUP BY measure, bucket),
+upto AS (
+  SELECT level, lang, source, measure, CASE WHEN bucket < 128 THEN bucket ELSE (bucket - 64 * ((bucket - 64) // 64)) << ((bucket - 64) // 64) END AS edge,
+         sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sketch),
+q AS (
+  SELECT level, lang, source, measure, max(total) AS total, min(edge) FILTER (WHERE 20 * upto >= total) AS q05, min(edge) FILTER (WHERE 2 * upto >= total) AS q50,
+         min(edge) FILTER (WHERE 20 * upto >= 19 * total) AS q95 FROM upto GROUP BY level, lang, source, measure),
+sides AS (SELECT *, q50 - 2 * (q50 - q05) - CASE measure WHEN 'word_length' THEN 1000 ELSE 5000 END AS low, q50 + 2 * (q95 - q50) + CASE measure WHEN 'word_length' THEN 1000 ELSE 5000 END AS high FROM q),
+lim AS (
+  SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= 100 THEN a.low WHEN l.total >= 100 THEN l.low ELSE o.low END AS low,
+         CASE WHEN a.total >= 100 THEN a.high WHEN l.total >= 100 THEN l.high ELSE o.high END AS high
+  FROM sides a LEFT JOIN sides l ON l.level = 1 AND l.measure = a.measure AND l.lang IS NOT DISTINCT FROM a.lang LEFT JOIN sides o ON o.level = 2 AND o.measure = a.measure WHERE a.level = 0),
+bad AS (SELECT DISTINCT doc_id FROM m JOIN lim ON lim.measure = m.measure AND lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source
+        WHERE v > high OR (m.measure = 'word_length' AND v < low))
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM stats s LEFT JOIN bad ON bad.doc_id = s.doc_id
+"""
+
+#: The rules of the contract, (host, path) -> verdict.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    names = {"__uf_host": "host", "__uf_path": "path", "__uf_rule": "rule", "__uf_verdict": "verdict", "__uf_score": "score"}
+    return urlfilter.judge(pages, URL_RULES).select("page_id", *(F.col(a).alias(b) for a, b in names.items()))
+
+
+QUERIES = {"op1_langid": op1_langid, "op2_warc": op2_warc, "op5_quality": op5_quality, "op8_urlfilter": op8_urlfilter, "op4_decontam": op4_decontam, "op6_linededup": op6_linededup, "op7_packing": op7_packing, "op9_ngramjoin": op9_ngramjoin}
+ORACLES = {"op2_warc": OP2_SQL, "op5_quality": OP5_SQL, "op6_linededup": OP6_SQL, "op9_ngramjoin": OP9_SQL}
