@@ -13,29 +13,44 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, with_columns
+from .common import SPACES, stored, with_columns
+
+
+def _keyed_lines(min_chars: int):
+    """(doc_id, text_hash, pos, hash) of each line whose key has min_chars code points."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            owner, places, hashes = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for pos, line in enumerate((text or "").split("\n")):
+                    key = line.strip(SPACES)
+                    if len(key) >= min_chars:
+                        owner.append(i)
+                        places.append(pos)
+                        hashes.append(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass").lower()))  # bytes: A-Z alone
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(hashes, pa.binary())], names=["doc_id", "text_hash", "pos", "hash"])
+
+    return run
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, text_hash, drop): for each document that loses lines the sorted positions of those, from 0."""
-    lines = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select("doc_id", "text_hash", "pos", ascii_lower(F.btrim("line", F.lit(SPACES))).alias("key"))
-        .where(F.char_length("key") >= min_chars)
-        .select("doc_id", "text_hash", "pos", F.unhex(F.md5("key")).alias("hash"))
-    )
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    lines = source.mapInArrow(_keyed_lines(min_chars), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash bigint, pos int, hash binary")
     # The distinct count first groups by (hash, document), so a line found everywhere is never one task's work.
-    common = (
-        lines.groupBy("hash")
-        .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
+    # Written, so that the join below has plain exchanges on both sides and AQE may split a hot hash.
+    common = stored(
+        lines.groupBy("hash").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs),
+        "common-lines",
     )
     return (
-        lines.join(common, "hash")  # the side of lines may be split by AQE where a hash is hot
+        lines.join(common, "hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set("pos")).alias("drop"))
