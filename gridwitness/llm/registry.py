@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, ngramjoin, packing, quality, urlfilter, warc
+from . import chat_tree, decontam, langid, linededup, maxent, ngramjoin, packing, quality, urlfilter, warc
 from .common import crc_mod, table
 
 
@@ -133,5 +133,35 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES).select("page_id", *(F.col(a).alias(b) for a, b in names.items()))
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_warc": op2_warc, "op5_quality": op5_quality, "op8_urlfilter": op8_urlfilter, "op4_decontam": op4_decontam, "op6_linededup": op6_linededup, "op7_packing": op7_packing, "op9_ngramjoin": op9_ngramjoin}
-ORACLES = {"op2_warc": OP2_SQL, "op5_quality": OP5_SQL, "op6_linededup": OP6_SQL, "op9_ngramjoin": OP9_SQL}
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED_TEXT).alias("text"))
+    convs = chat_tree.conversations(turns.unionByName(added))
+    return chat_tree.read_back(chat_tree.prefix_trees(convs), convs)
+
+
+#: Fixed value: what both turns of conversation -7 say.
+ADDED_TEXT = r"\### Assistant: </turn> ok"
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, chr(92), chr(92) || chr(92)), '<turn>', '<' || chr(92) || 'turn>'), '</turn>', '<' || chr(92) || '/turn>') AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<turn>' || role || chr(10) || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = crc_mod(F.col("doc_id"), 7)
+    own = docs.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), F.coalesce(part != 2, F.lit(False)).alias("learn"), "text")
+    return maxent.score(own).drop("learn")
+
+
+QUERIES = {"op1_langid": op1_langid, "op2_warc": op2_warc, "op3_chat": op3_chat, "op5_quality": op5_quality, "op8_urlfilter": op8_urlfilter, "op4_decontam": op4_decontam, "op6_linededup": op6_linededup, "op7_packing": op7_packing, "op9_ngramjoin": op9_ngramjoin, "op10_maxent": op10_maxent}
+ORACLES = {"op2_warc": OP2_SQL, "op3_chat": OP3_SQL, "op5_quality": OP5_SQL, "op6_linededup": OP6_SQL, "op9_ngramjoin": OP9_SQL}
