@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwitness.cluster import ship
 from gridwitness.llm import decontam, langid, linededup, ngramjoin, packing
 from gridwitness.llm.common import shared_path, table
 
@@ -18,6 +19,7 @@ MIN_SCORE = 0.05
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that resemble one of the labelled languages; the profiles come from all labelled documents."""
+    ship(spark)
     learned = langid.profiles(docs.select("text", "lang"))
     found = langid.identify(docs, learned)
     return found.where((F.col("__li_lang") != "und") & (F.col("__li_score") >= MIN_SCORE)).select(*docs.columns)
@@ -25,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in one of them. A document that thereby loses all it had goes; n_chars follows the text."""
+    ship(spark)
     found = linededup.dedup_lines(docs)
     text = F.col("__ld_kept")
     changed = {"text": text, "n_chars": F.when(F.col("__ld_n_dropped") > 0, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))}
@@ -34,6 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at similarity 0.8 the one of smallest doc_id stays."""
+    ship(spark)
     groups = ngramjoin.similar_groups(docs, width=5, percent=80)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
@@ -41,12 +45,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or re-parameterised, go."""
+    ship(spark)
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(found.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents left, placed in sequences of 4096 tokens."""
+    ship(spark)
     return packing.pack_documents(docs)
 
 

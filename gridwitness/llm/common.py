@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes a table that stored() wrote and that nothing reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs that are over: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z alone lower-cased."""
     return F.translate(column, UPPER, LOWER)

@@ -7,12 +7,14 @@ sets meet under equal labels, and only there. Sizes fall in bands, each with its
 may have a partner in the next band is labelled for that too. Blocks without n-grams don't
 count, unless a set has so few others that its partner might share no other one.
 
-Where sets meet, one of them (the pivot) is compared to all others: these are put in a prefix tree in blocks of
-bounded size, which the pivot's n-grams traverse. The overlap found along an edge holds for all sets below it, and a subtree is left
-when what remains of the query and of the longest set below can't reach the overlap that the shortest needs.
-Linked sets are joined into classes; where a label still holds several classes among sets that were not pivots, more
-pivots follow, and at last all pairs of bounded blocks of its members. So every link is either found or
-lies inside a class, and no group is ever gathered in one task.
+Where sets meet, one of them (the pivot: the one that shares most labels, so the text that others are copies of) is compared to
+all others; sets that link form classes. Where a label still holds several classes among sets that were not pivots, another
+pivot follows, and then all pairs of bounded blocks of its members. So every link is either found or lies inside a class, and no
+group is ever gathered in one task. Comparing is done in two steps. First by sizes and by parity sketches (a bit of
+a sketch is whether an even or odd number of n-grams fall on it, so two sketches differ in no more bits than the sets
+in n-grams; pairs that differ in more than d bits can't link). What is left is verified: the sets asked about are put in a prefix tree in
+blocks of bounded size, which the other sets' n-grams traverse. The overlap found along an edge holds for all sets below
+it, and a subtree is left when what remains of the query and of the longest set below can't reach the overlap that the shortest needs.
 
 Defined cases. The set of a text with fewer than width words is its whole sequence as one n-gram; a null
 text or one without words has none, links with nothing and is its own class. Equal sets are one node from the
@@ -32,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stored, window_hashes, word_hashes, words
+from .common import forget, mixed, stored, tidy, window_hashes, word_hashes, words
 
 #: Sets in one prefix tree.
 TREE = 256
-#: Pivots a label and round; after these, blocks of its members are compared pair by pair.
-ROUNDS = (1, 3, 9)
+#: Rounds with one pivot a label; after these, bounded blocks of its members are compared pair by pair.
+PIVOT_ROUNDS = 2
 #: Keys a task remembers so as not to label copies again.
 _SEEN = 500_000
 
@@ -168,8 +170,8 @@ def _sets_and_labels(percent: int, width: int):
 
 
 def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (label, key) sorted by both: those of labels with several keys, each once, with the label's first key as pivot."""
-    held: tuple | None = None  # label, key, whether the row before has the same label, first key
+    """Of rows (label, key) sorted by both: those of labels with several keys, each once."""
+    held: tuple | None = None  # the last row, and whether the one before has the same label
     for batch in rows:
         label, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(label):
@@ -179,24 +181,46 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate(([True], (label[1:] != label[:-1]) | (key[1:] != key[:-1])))
         label, key = label[new], key[new]
         again = np.concatenate(([bool(held and held[2])], label[1:] == label[:-1]))
-        start = np.maximum.accumulate(np.where(again, 0, np.arange(len(label))))
-        first = key[start]
-        if again[0]:
-            first[start == 0] = held[3]
         more = again | np.concatenate((again[1:], [False]))
         more[-1] = False
         if more.any():
-            yield pa.RecordBatch.from_arrays([pa.array(label[more]), pa.array(key[more]), pa.array(first[more])], names=["label", "key", "pivot"])
-        held = (label[-1], key[-1], bool(again[-1]), first[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(label[more]), pa.array(key[more])], names=["label", "key"])
+        held = (label[-1], key[-1], bool(again[-1]))
     if held and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (held[0], held[1], held[3])], names=["label", "key", "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held[:2]], names=["label", "key"])
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams on the bits of a power of two of at least their number, in 64-bit words."""
+    bits = max(128, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(words_: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set on fewer bits: both are taken by the hashes' low bits."""
+    while len(words_) > size:
+        words_ = words_[: len(words_) // 2] ^ words_[len(words_) // 2 :]
+    return words_
+
+
+def may_link(asking: list[np.ndarray], asked: list[np.ndarray], n_asking: np.ndarray, n_asked: np.ndarray, percent: int) -> np.ndarray:
+    """Of each pair whether sizes and sketches allow a link."""
+    size = min(min(map(len, asking)), min(map(len, asked)))
+    a, b = (np.stack([folded(w, size) for w in side]) for side in (asking, asked))
+    apart = np.zeros((len(a), len(b)), np.int64)
+    for k in range(size):
+        apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    total = n_asking[:, None] + n_asked[None, :]
+    fit = 100 * np.minimum(n_asking[:, None], n_asked[None, :]) >= percent * np.maximum(n_asking[:, None], n_asked[None, :])
+    return fit & ((100 + percent) * apart <= (100 - percent) * total)
 
 
 def _grams_of(width: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
-            keys, found = [], []
+            keys, sizes, sketches, found = [], [], [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = gram_set(text, width)
                 if wanted not in seen and len(grams) and set_key(grams) == wanted:
@@ -204,52 +228,85 @@ def _grams_of(width: int):
                         seen.clear()
                     seen.add(wanted)
                     keys.append(wanted)
+                    sizes.append(len(grams))
+                    sketches.append(sketch(grams).tobytes())
                     found.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.binary())], names=["key", "n", "sketch", "grams"])
 
     return run
 
 
-def _tree_links(percent: int):
-    """Of rows (group, block, role, key, class, grams) sorted by group and block: links between its queries (role 1) and its other sets."""
+def _grouped(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
+    """The rows of one (group, block) after the other, without these two."""
+    at, held = None, []
+    for batch in rows:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+            if row[:2] != at:
+                if held:
+                    yield held
+                at, held = row[:2], []
+            held.append(row[2:])
+    if held:
+        yield held
+
+
+def _sketch_pairs(percent: int):
+    """Of rows (group, block, role, key, class, n, sketch) sorted by group and block: pairs of different classes that may link, role 1 or 2 with 0 or 2."""
 
-    def found(queries: list, sets: list) -> Iterator[tuple[int, int]]:
-        tree = SetTrie.of([(s, (k, c)) for k, c, s in sets])
-        if tree:
-            for key, own, query in queries:
-                for k, c in tree.links(query, percent):
-                    if k != key and c != own:
-                        yield key, k
+    def pack(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key", "pivot"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, sets = None, [], []
-        for batch in rows:
-            out = []
-            for group, block, role, key, own, grams in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (group, block) != at:
-                    out += found(queries, sets)
-                    at, queries, sets = (group, block), [], []
-                if role != 1:
-                    sets.append((key, own, np.frombuffer(grams, np.uint64)))
-                if role != 0:
-                    queries.append((key, own, np.frombuffer(grams, np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = list(found(queries, sets))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out: list[np.ndarray] = []
+        for members in _grouped(rows, 7):
+            asking, asked = [m for m in members if m[0] != 0], [m for m in members if m[0] != 1]
+            if not asking or not asked:
+                continue
+            column = lambda side, i: np.array([m[i] for m in side], np.int64)
+            bits = lambda side: [np.frombuffer(m[4], np.uint64) for m in side]
+            ok = may_link(bits(asking), bits(asked), column(asking, 3), column(asked, 3), percent) & (column(asking, 2)[:, None] != column(asked, 2)[None, :])
+            i, j = np.nonzero(ok)
+            a, b = column(asking, 1)[i], column(asked, 1)[j]
+            out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1))
+            if len(out) >= 1_000 or len(out[-1]) > 100_000:
+                yield pack(out)
+                out = []
+        yield pack(out)
 
     return run
 
 
-def _links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """tasks: (group, block, role, key, class); role 1 asks, 0 is asked, 2 does both."""
-    return (
-        tasks.join(sets, "key")
-        .select("group", "block", "role", "key", "class", "grams")
-        .repartition("group", "block")
-        .sortWithinPartitions("group", "block")
-        .mapInArrow(_tree_links(percent), "a bigint, b bigint")
-        .distinct()
-    )
+def _tree_links(percent: int):
+    """Of rows (group, block, role, key, grams) sorted by group and block: links between its queries (role 1) and its other sets."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        for members in _grouped(rows, 5):
+            tree = SetTrie.of([(np.frombuffer(grams, np.uint64), key) for role, key, grams in members if role == 0])
+            for role, key, grams in members:
+                if role == 1 and tree:
+                    out += [(key, other) for other in tree.links(np.frombuffer(grams, np.uint64), percent)]
+            if len(out) >= 10_000:
+                yield pack()
+                out = []
+        yield pack()
+
+    return run
+
+
+def _candidates(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (key, pivot) that may link. tasks: (group, block, role, key, class); role 1 asks, 0 is asked, 2 does both."""
+    rows = tasks.join(sets.select("key", "n", "sketch"), "key").select("group", "block", "role", "key", "class", "n", "sketch")
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_sketch_pairs(percent), "key bigint, pivot bigint").distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (key, pivot) that link. Each pivot's n-grams traverse trees of about TREE of its sets."""
+    tasks = _pivot_tasks(pairs.select("key", F.lit(0).cast("bigint").alias("class"), "pivot", F.lit(0).cast("bigint").alias("pivot_class"))).drop("class")
+    rows = tasks.join(sets.select("key", "grams"), "key").select("group", "block", "role", "key", "grams")
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_tree_links(percent), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,40 +350,47 @@ def _block_tasks(members: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs."""
+    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    noted = stored(source.mapInArrow(_sets_and_labels(percent, width), f"doc_id {kind}, n bigint, key bigint, labels array<bigint>"), "sets")
+    wide = stored(source.mapInArrow(_sets_and_labels(percent, width), f"doc_id {kind}, n bigint, key bigint, labels array<bigint>"), "labels")
     met = stored(
-        noted.where("labels is not null").select(F.explode("labels").alias("label"), "key")
+        wide.where("labels is not null").select(F.explode("labels").alias("label"), "key")
         .repartition("label").sortWithinPartitions("label", "key")
-        .mapInArrow(_shared, "label bigint, key bigint, pivot bigint"),
+        .mapInArrow(_shared, "label bigint, key bigint"),
         "met",
     )
+    noted = stored(wide.select("doc_id", "n", "key"), "sets")
+    forget(wide)
+    tidy(spark)
     holders = noted.select("key", "doc_id").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
     sets = stored(
-        source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width), "key bigint, grams binary"),
+        source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width), "key bigint, n bigint, sketch binary, grams binary"),
         "grams",
     )
-    pairs = met.where("key <> pivot").select("key", F.col("key").alias("class"), "pivot", F.col("pivot").alias("pivot_class")).distinct()
-    edges = stored(_links(_pivot_tasks(stored(pairs, "pairs")), sets, percent), "links")
-    roots = components(edges)
-    rest = met.where("key <> pivot").select("label", "key")
-    for pivots in (*ROUNDS[1:], 0):
-        classed = rest.join(roots.withColumnRenamed("node", "key"), "key", "left").select("label", "key", F.coalesce("root", "key").alias("class"))
-        open_labels = classed.groupBy("label").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("label")
-        rest = stored(classed.join(open_labels, "label", "left_semi"), "open")
-        if rest.isEmpty():
-            break
-        if pivots:
-            chosen = rest.groupBy("label").agg(F.array_distinct(F.array(*(F.min_by(F.struct("key", "class"), F.xxhash64("key", F.lit(i))) for i in range(pivots)))).alias("chosen"))
-            with_pivots = rest.join(chosen, "label")
-            asked = with_pivots.select("key", "class", F.explode("chosen").alias("p")).select("key", "class", F.col("p.key").alias("pivot"), F.col("p.class").alias("pivot_class"))
-            tasks = _pivot_tasks(stored(asked.where("class <> pivot_class").distinct(), "pairs"))
-            rest = stored(with_pivots.where(~F.exists("chosen", lambda p: p["key"] == F.col("key"))).select("label", "key"), "rest")
+    tidy(spark)
+    edges, roots, rest = None, None, met
+    for last in (*(False,) * PIVOT_ROUNDS, True):
+        if roots is None:
+            rest = rest.withColumn("class", F.col("key"))
         else:
+            classed = rest.join(roots.withColumnRenamed("node", "key"), "key", "left").select("label", "key", F.coalesce("root", "key").alias("class"))
+            open_labels = classed.groupBy("label").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("label")
+            rest = stored(classed.join(open_labels, "label", "left_semi"), "open")
+            if rest.isEmpty():
+                break
+        if last:
             tasks = _block_tasks(rest)
-        edges = stored(edges.union(_links(tasks, sets, percent)), "links")
+        else:
+            degree = rest.groupBy("key").agg(F.count("*").alias("degree"))
+            chosen = rest.join(degree, "key").groupBy("label").agg(F.max_by(F.struct("key", "class"), F.struct("degree", "key")).alias("p"))
+            asked = rest.join(chosen, "label").select("label", "key", "class", F.col("p.key").alias("pivot"), F.col("p.class").alias("pivot_class")).where("key <> pivot")
+            tasks = _pivot_tasks(stored(asked.where("class <> pivot_class").drop("label").distinct(), "pairs"))
+            rest = stored(asked.select("label", "key"), "rest")
+        found = _links(stored(_candidates(tasks, sets, percent), "candidates"), sets, percent)
+        edges = stored(found if edges is None else edges.union(found), "links")
         roots = components(edges)
+        tidy(spark)
     classes = noted.select("doc_id", "n", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("class"))
     smallest = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("__least"))
     return classes.join(smallest, "class", "left").select(
