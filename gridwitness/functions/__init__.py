@@ -1 +1 @@
-
+"""Scalar functions: column expressions, and Arrow functions where no expression exists."""

@@ -1 +1 @@
-
+"""Operators on observation ledgers: functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-
+"""Where observations and declarations come from."""
