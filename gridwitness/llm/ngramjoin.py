@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import forget, mixed, stored, tidy, window_hashes, word_hashes, words
 
-#: Sets in one prefix tree.
-TREE = 256
+#: Sets in one prefix tree, and sketches that a task compares with as many others.
+TREE, SKETCHES = 256, 2_048
 #: Rounds with one pivot a label; after these, bounded blocks of its members are compared pair by pair.
 PIVOT_ROUNDS = 2
 #: Keys a task remembers so as not to label copies again.
@@ -64,7 +64,7 @@ def bands(percent: int, top: int = 1 << 34) -> list[tuple[int, int, int]]:
         while m < 8 * n:
             a = n / m
             mean, var = m * -math.expm1(n * math.log1p(-1 / m)), m * math.exp(-a) * (1 - (1 + a) * math.exp(-a))
-            if mean - 5 * math.sqrt(max(var, 0)) >= most + 1:
+            if mean - 4 * math.sqrt(max(var, 0)) >= most + 1:
                 break
             m += 1 + m // 64
         found.append((low, most, m))
@@ -208,12 +208,14 @@ def may_link(asking: list[np.ndarray], asked: list[np.ndarray], n_asking: np.nda
     """Of each pair whether sizes and sketches allow a link."""
     size = min(min(map(len, asking)), min(map(len, asked)))
     a, b = (np.stack([folded(w, size) for w in side]) for side in (asking, asked))
-    apart = np.zeros((len(a), len(b)), np.int64)
-    for k in range(size):
-        apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    total = n_asking[:, None] + n_asked[None, :]
     fit = 100 * np.minimum(n_asking[:, None], n_asked[None, :]) >= percent * np.maximum(n_asking[:, None], n_asked[None, :])
-    return fit & ((100 + percent) * apart <= (100 - percent) * total)
+    for at in range(0, len(a), 256):  # bounds what is held at a time
+        rows = slice(at, at + 256)
+        apart = np.zeros((len(a[rows]), len(b)), np.int32)
+        for k in range(size):
+            apart += np.bitwise_count(a[rows, k, None] ^ b[None, :, k])
+        fit[rows] &= (100 + percent) * apart <= (100 - percent) * (n_asking[rows, None] + n_asked[None, :])
+    return fit
 
 
 def _grams_of(width: int):
@@ -304,7 +306,7 @@ def _candidates(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (key, pivot) that link. Each pivot's n-grams traverse trees of about TREE of its sets."""
-    tasks = _pivot_tasks(pairs.select("key", F.lit(0).cast("bigint").alias("class"), "pivot", F.lit(0).cast("bigint").alias("pivot_class"))).drop("class")
+    tasks = _pivot_tasks(pairs.select("key", F.lit(0).cast("bigint").alias("class"), "pivot", F.lit(0).cast("bigint").alias("pivot_class")), TREE).drop("class")
     rows = tasks.join(sets.select("key", "grams"), "key").select("group", "block", "role", "key", "grams")
     return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_tree_links(percent), "a bigint, b bigint").distinct()
 
@@ -328,18 +330,18 @@ def components(edges: DataFrame) -> DataFrame:
             return stored(roots, "roots")
 
 
-def _pivot_tasks(pairs: DataFrame) -> DataFrame:
-    """pairs: distinct (key, class, pivot, pivot_class). Each pivot asks its sets in blocks of about TREE."""
-    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(TREE)).alias("blocks"))
+def _pivot_tasks(pairs: DataFrame, size: int) -> DataFrame:
+    """pairs: distinct (key, class, pivot, pivot_class). Each pivot asks its sets in blocks of about size."""
+    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(size)).alias("blocks"))
     dealt = pairs.join(many, "pivot").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     asked = dealt.select(F.col("pivot").alias("group"), "block", F.lit(0).alias("role"), "key", "class")
     asking = dealt.select(F.col("pivot").alias("group"), "block", F.lit(1).alias("role"), F.col("pivot").alias("key"), F.col("pivot_class").alias("class")).distinct()
     return asked.union(asking)
 
 
-def _block_tasks(members: DataFrame) -> DataFrame:
-    """members: (label, key, class). All pairs of blocks of a label's members."""
-    many = members.groupBy("label").agg(F.ceil(F.count("*") / F.lit(TREE)).alias("blocks"))
+def _block_tasks(members: DataFrame, size: int) -> DataFrame:
+    """members: (label, key, class). All pairs of blocks, of about size, of a label's members."""
+    many = members.groupBy("label").agg(F.ceil(F.count("*") / F.lit(size)).alias("blocks"))
     dealt = members.join(many, "label").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
     pair = lambda i, j: i * F.lit(1 << 31) + j
     own = dealt.select(F.col("label").alias("group"), pair(F.col("i"), F.col("i")).alias("block"), F.lit(2).alias("role"), "key", "class")
@@ -380,12 +382,12 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             if rest.isEmpty():
                 break
         if last:
-            tasks = _block_tasks(rest)
+            tasks = _block_tasks(rest, SKETCHES)
         else:
             degree = rest.groupBy("key").agg(F.count("*").alias("degree"))
             chosen = rest.join(degree, "key").groupBy("label").agg(F.max_by(F.struct("key", "class"), F.struct("degree", "key")).alias("p"))
             asked = rest.join(chosen, "label").select("label", "key", "class", F.col("p.key").alias("pivot"), F.col("p.class").alias("pivot_class")).where("key <> pivot")
-            tasks = _pivot_tasks(stored(asked.where("class <> pivot_class").drop("label").distinct(), "pairs"))
+            tasks = _pivot_tasks(stored(asked.where("class <> pivot_class").drop("label").distinct(), "pairs"), SKETCHES)
             rest = stored(asked.select("label", "key"), "rest")
         found = _links(stored(_candidates(tasks, sets, percent), "candidates"), sets, percent)
         edges = stored(found if edges is None else edges.union(found), "links")

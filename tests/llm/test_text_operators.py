@@ -198,6 +198,7 @@ def test_similar_groups(docs, awkward, no_docs, width, percent):
 def test_similar_groups_of_many_sizes(spark, monkeypatch):
     """Small sets, chains of links and groups larger than a tree, through all rounds."""
     monkeypatch.setattr(ngramjoin, "TREE", 4)
+    monkeypatch.setattr(ngramjoin, "SKETCHES", 4)
     rng = random.Random(2)
     rows = []
     for size in (3, 6, 8, 9, 12, 13, 20, 40, 90):
