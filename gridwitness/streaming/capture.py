@@ -58,8 +58,8 @@ class DirtyCell:
 
 
 def dirty_claims(events: DataFrame, coalesce_ticks: int = 4) -> DataFrame:
-    """Claims from a stream (x, z, tick, kind). A window whose time has come is claimed when the watermark passes it, in event time of 50 ms a tick."""
-    timed = events.withColumn("at", F.timestamp_millis(F.col("tick") * TICK_MS)).withWatermark("at", "0 seconds")
+    """Claims from a stream (x, z, tick, kind). A window whose time has come is claimed when the watermark passes it, in event time of 50 ms a tick (from 1: a watermark begins at 0 and rows there would be late)."""
+    timed = events.withColumn("at", F.timestamp_millis((F.col("tick") + 1) * TICK_MS)).withWatermark("at", "0 seconds")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else (False, None, None)
@@ -74,7 +74,7 @@ def dirty_claims(events: DataFrame, coalesce_ticks: int = 4) -> DataFrame:
         if cell.loaded or cell.first is not None:
             state.update((cell.loaded, cell.first, cell.last))
             if (due := cell.due()) is not None:
-                state.setTimeoutTimestamp(max(due * TICK_MS, state.getCurrentWatermarkMs() + 1))
+                state.setTimeoutTimestamp(max((due + 1) * TICK_MS, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame([(key[0], key[1], *f) for f in found], columns=["x", "z", "first_tick", "last_tick", "reason"])
