@@ -7,7 +7,9 @@ value consistently. So an item is found as it is, and re-parameterised with othe
 Rules. Tokens are runs of no white space without the punctuation around them; tokens of punctuation alone go. A
 token with a digit and no letter is <num>; a number with a unit joined, or a unit after a number, gives <unit>; a
 capitalised token that doesn't begin a sentence is <name>. All others are lower-cased. An item is found in a
-document if consistent alignments with at least min_run windows each (all, if the item has fewer) cover min_share of the item's windows.
+document if alignments with at least min_run consistent windows each (all, if the item has fewer) cover min_share of the item's
+windows, or min_windows of them with all slots as in the item (nine of five tokens are thirteen tokens in a row). A window is consistent if none of its slots has, in that alignment, an item
+value that meets two document values.
 
 Defined cases. An item shorter than the window is one window of its length and must be met as such within
 a document; items without tokens match nothing. Items with equal templates count as the one of smallest item_id. Null texts match
@@ -135,7 +137,7 @@ def _windows(widths: list[int], known: np.ndarray | None, per_item: bool):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", width: int = WIDTH, min_share: float = 0.5, min_run: int = 3, sent_windows: int = SENT_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", width: int = WIDTH, min_share: float = 0.5, min_windows: int = 9, min_run: int = 3, sent_windows: int = SENT_WINDOWS) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, n_slots, n_changed, kind) of every document and item found in it."""
     spark = docs.sparkSession
     own = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
@@ -158,15 +160,18 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
         "doc_id", "item_id", "shift", "item_pos", "n_windows", F.col("s.item_slots.kind").alias("kind"), F.col("s.item_slots.value").alias("was"), F.col("s.slots.value").alias("value")
     )
     by_value = pairs.groupBy("doc_id", "item_id", "shift", "kind", "was").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_pos").alias("at"), F.count_distinct("value").alias("n_values"), F.max((F.col("was") != F.col("value")).cast("int")).alias("changed"))
+    torn = F.when(F.col("n_values") > 1, F.col("at"))
+    other = F.when((F.col("n_values") > 1) | (F.col("changed") == 1), F.col("at"))
     aligned = by_value.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max("n_values").alias("n_values"),
+        F.max("n_windows").alias("n_windows"), F.array_except(F.flatten(F.collect_list("at")), F.flatten(F.collect_list(other))).alias("same"),
+        F.array_except(F.flatten(F.collect_list("at")), F.flatten(F.collect_list(torn))).alias("at"),
         F.count("was").alias("n_slots"), F.coalesce(F.sum("changed"), F.lit(0)).alias("n_changed"),
     )
-    consistent = aligned.where((F.col("n_values") <= 1) & (F.size("at") >= F.least(F.lit(min_run), F.col("n_windows"))))
+    consistent = aligned.where(F.size("at") >= F.least(F.lit(min_run), F.col("n_windows")))
     return (
         consistent.groupBy("doc_id", "item_id")
-        .agg(F.max("n_windows").cast("bigint").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matched_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
-        .where(F.col("matched_windows") >= F.col("item_windows") * F.lit(min_share))
+        .agg(F.max("n_windows").cast("bigint").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matched_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("same_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
+        .where((F.col("matched_windows") >= F.col("item_windows") * F.lit(min_share)) | (F.col("same_windows") >= min_windows))
         .select("doc_id", "item_id", "matched_windows", "item_windows", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "re-parameterised").otherwise("as it is").alias("kind"))
     )
 

@@ -109,17 +109,20 @@ def test_decontamination(spark, no_docs):
     rng = random.Random(11)
     items = [(k, f"A train leaves {name} at {h} km/h and travels {h * 3} miles with {prose(rng, 'en', 14)} How far is {name} after {k + 2} hours?") for k, (name, h) in enumerate([("Boston", 40), ("Madrid", 55), ("Oslo", 70)])]
     items += [(7, items[0][1]), (8, None), (9, ""), (10, "short one here")]
+    items += [(11, "let Anna see Bob then Anna asks Bob while Anna meets Bob near Anna today")]
+    plain = "so let {} see {} then {} asks {} while {} meets {} near {} today"
     other = items[1][1].replace("Madrid", "Turin").replace("55 km", "81 km").replace("165 miles", "243 miles")
     torn = items[2][1].replace("Oslo at", "Lima at")  # one name, two values
     rows = [
-        (1, "so " + items[0][1] + " and more", "as it is"), (2, other, "re-parameterised"), (3, prose(rng, "en", 200), None), (4, torn.replace("70 km", "71 km"), None),
+        (1, "so " + items[0][1] + " and more", "as it is"), (2, other, "re-parameterised"), (3, prose(rng, "en", 200), None), (4, torn.replace("70 km", "71 km"), "re-parameterised"),
+        (8, plain.format("Carl", "Dora", "Carl", "Dora", "Carl", "Dora", "Carl"), "re-parameterised"), (9, plain.format("Carl", "Dora", "Eve", "Fay", "Gus", "Hal", "Ian"), None),
         (5, None, None), (6, "", None), (7, f"{prose(rng, 'en', 3000)} {items[1][1]} {prose(rng, 'en', 3000)}", "as it is"), (None, items[0][1], "as it is"), (1, "so " + items[0][1] + " and more", "as it is"),
     ]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").withColumn("hash", F.lit(1))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     for sent in (decontam.SENT_WINDOWS, 0):  # windows sent to all tasks, and joined by shuffling
         got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, bench, sent_windows=sent).collect()}
-        assert got == {(1, 0): "as it is", (2, 1): "re-parameterised", (7, 1): "as it is", (None, 0): "as it is"}
+        assert got == {(1, 0): "as it is", (2, 1): "re-parameterised", (7, 1): "as it is", (None, 0): "as it is", (4, 2): "re-parameterised", (8, 11): "re-parameterised"}
     assert decontam.contaminated(no_docs, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
