@@ -9,7 +9,7 @@ token, each of the most frequent words, and the others by their last two bytes.
 Training goes over all learned documents once, in STEPS distributed updates: in each every task takes gradient steps on its
 share of the documents from the common weights, and the row deltas are averaged by how often each task met the row. Counts of
 words are taken over all learned documents. In scoring, the most frequent words' counts (a bounded number) are sent to
-all tasks; all other words are looked up by a join, one row a document and distinct word.
+all tasks; all other words are looked up by a join, one row an occurrence.
 
 Defined cases. A null or empty text is the end token alone. Documents with a null doc_id are scored, never learned from and not held out.
 Repeated documents count and are scored each time. With nothing to learn from all words are unknown. Very long texts are read whole.
@@ -17,7 +17,6 @@ Repeated documents count and are scored each time. With nothing to learn from al
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_CACHE, stored, words
+from .quality import bucket_sql
 
 #: Classes: those by last bytes, then the most frequent words', the end token's last.
-CLASSES, BY_ENDING = 32, 16
+CLASSES, BY_ENDING = 16, 8
 #: Rows of the weight table.
 ROWS = 1 << 15
 #: Words whose counts are sent to all tasks.
@@ -37,9 +37,9 @@ SENT_WORDS = 200_000
 STEPS = 2
 RATE = 0.35
 #: Tokens of a gradient step.
-BATCH = 8_192
-#: Distinct words that a task counts before it passes the counts on.
-_HELD = 500_000
+BATCH = 16_384
+#: Tokens that are counted together.
+_CHUNK = 4_000_000
 _LOW = np.uint64(BY_ENDING - 1)
 END = (xxhash.xxh3_64_intdigest(b"\x00end") & ~(BY_ENDING - 1)) - (1 << 63)
 
@@ -67,24 +67,9 @@ def token_ids(text: str | None) -> np.ndarray:
 
 
 def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[int] = Counter()
-
-    def pack() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
-        held.clear()
-        return batch
-
-    for batch in rows:
-        for text in batch.column(0).to_pylist():
-            ids, n = np.unique(token_ids(text), return_counts=True)
-            if len(ids) < 200:
-                for i, k in zip(ids.tolist(), n.tolist(), strict=True):
-                    held[i] += k
-            else:
-                held.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
-            if len(held) >= _HELD:
-                yield pack()
-    yield pack()
+    for _, _, _, ids, _ in _documents(rows, 0, _CHUNK):
+        found, n = np.unique(ids, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["token", "c"])
 
 
 class Classes:
@@ -103,11 +88,11 @@ class Classes:
 def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x.view(np.uint64) if x.dtype == np.int64 else x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0xD6E8FEB86659FD93 % (1 << 64))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - (ROWS - 1).bit_length())).astype(np.int64)
+    return np.maximum((x >> np.uint64(64 - (ROWS - 1).bit_length())).astype(np.uint16), 1)  # row 0 is the bias
 
 
 def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(tokens, 5) rows of the weight table; contexts don't go beyond a document's start."""
+    """(4, tokens) rows of the weight table beside the bias, row 0; contexts don't go beyond a document's start."""
     first = np.zeros(len(ids), bool)
     first[starts] = True
     second = np.zeros(len(ids), bool)
@@ -117,14 +102,15 @@ def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.nda
     w1[first], c1[first] = 1, CLASSES
     w2[first | second], c2[first | second] = 1, CLASSES
     pair = w1.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) + w2.view(np.uint64)
-    return np.stack((np.zeros(len(ids), np.int64), _hashed(w1, 1), _hashed(pair, 2), _hashed(w2, 3), _hashed((c1 * (CLASSES + 1) + c2).astype(np.int64), 4)), axis=1)
+    return np.stack((_hashed(w1, 1), _hashed(pair, 2), _hashed(w2, 3), _hashed((c1 * (CLASSES + 1) + c2).astype(np.int64), 4)))
 
 
 def class_log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(tokens, CLASSES) natural logarithms."""
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+    z = weights[rows[0]]
+    for own in rows[1:]:
+        z += weights[own]
+    z += weights[0]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
@@ -151,23 +137,27 @@ def _train(weights_sent, classes: Classes):
         start = weights_sent.value
         weights, met = start.copy(), np.zeros(ROWS, np.float32)
         squares = np.ones(ROWS, np.float32)
+
+        def step(touched: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+            met[touched] += n
+            mean = total / n[:, None]
+            squares[touched] += (mean * mean).sum(axis=1)
+            weights[touched] -= (RATE * np.minimum(1, np.sqrt(n / 8)) / np.sqrt(squares[touched]))[:, None] * mean
+
         for _, _, _, ids, starts in _documents(batches, 0, 16 * BATCH):
             kinds = classes.of(ids)
             rows = features(ids, kinds, starts)
             for a in range(0, len(ids), BATCH):
-                part, own = rows[a : a + BATCH], kinds[a : a + BATCH]
+                part, own = rows[:, a : a + BATCH], kinds[a : a + BATCH]
                 grad = np.exp(class_log_probs(weights, part))
                 grad[np.arange(len(own)), own] -= 1
-                for k in range(part.shape[1]):
-                    order = np.argsort(part[:, k], kind="stable")
-                    sorted_rows = part[order, k]
+                for own_rows in part:
+                    order = np.argsort(own_rows, kind="stable")  # by radix, as rows have 16 bits
+                    sorted_rows = own_rows[order]
                     first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-                    touched, n = sorted_rows[first], np.diff(np.append(first, len(order))).astype(np.float32)
-                    total = np.add.reduceat(grad[order], first, axis=0)
-                    met[touched] += n
-                    mean = total / n[:, None]
-                    squares[touched] += (mean * mean).sum(axis=1)
-                    weights[touched] -= (RATE * np.minimum(1, np.sqrt(n / 8)) / np.sqrt(squares[touched]))[:, None] * mean
+                    n = np.diff(np.append(first, len(order))).astype(np.float32)
+                    step(sorted_rows[first], n, np.add.reduceat(grad[order], first, axis=0))
+                step(np.zeros(1, np.uint16), np.float32([len(own)]), grad.sum(axis=0, keepdims=True))
         delta = (weights - start) * met[:, None]
         out = [(k, met[k : k + 256].tobytes(), delta[k : k + 256].astype(np.float32).tobytes()) for k in range(0, ROWS, 256) if met[k : k + 256].any()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "delta"])
@@ -213,6 +203,18 @@ def trained(learned: DataFrame, classes: Classes, priors: np.ndarray) -> np.ndar
     return weights
 
 
+def frequent_words(vocabulary: DataFrame, most: int = SENT_WORDS) -> DataFrame:
+    """The words from the least count on that leaves most of them or fewer. Counts are first added up by ranges, so only these reach the driver."""
+    bucket = F.expr(bucket_sql("c"))
+    total, least = 0, None
+    for r in sorted(vocabulary.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.b):  # 64 ranges a power of two
+        total += r.n
+        if total > most:
+            break
+        least = r.b
+    return vocabulary.where(bucket >= least) if least is not None else vocabulary.where(F.lit(False))
+
+
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: str = "learn") -> DataFrame:
     """docs with all columns but the text, and n_tokens, n_known, train_tokens, base_score and score. learn: the boolean column of documents to learn from."""
     spark = docs.sparkSession
@@ -231,7 +233,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
         sizes[r.k], kinds[r.k] = r.n, r.v
     priors = (sizes + 1) / (total + CLASSES)
     weights = trained(learned, classes, priors)
-    frequent = vocabulary.orderBy(F.desc("c"), "token").limit(SENT_WORDS).toPandas().sort_values("token")
+    frequent = frequent_words(vocabulary).toPandas().sort_values("token")
     known, counts = frequent["token"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
     within = np.log10(sizes + kinds + 1)
     within[BY_ENDING:] = 0  # classes of one word
@@ -244,7 +246,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
         for batch, a, b, ids, starts in _documents(batches, n_kept, 4 * BATCH):
             kinds = classes.of(ids)
             rows = features(ids, kinds, starts)
-            shares = np.concatenate([class_log_probs(weights, rows[i : i + BATCH])[np.arange(len(rows[i : i + BATCH])), kinds[i : i + BATCH]] for i in range(0, len(ids), BATCH)]).astype(np.float64) / np.log(10)
+            shares = np.concatenate([class_log_probs(weights, rows[:, i : i + BATCH])[np.arange(len(kinds[i : i + BATCH])), kinds[i : i + BATCH]] for i in range(0, len(ids), BATCH)]).astype(np.float64) / np.log(10)
             shares -= within[kinds]
             at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
             there = known[at] == ids if len(known) else np.zeros(len(ids), bool)
@@ -252,17 +254,17 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
             single = kinds >= BY_ENDING
             ends = np.append(starts[1:], len(ids))
             sums = lambda x: np.add.reduceat(x, starts)
-            rare = [np.unique(ids[s:e][~there[s:e]], return_counts=True) for s, e in zip(starts, ends, strict=True)]
-            lists = pa.array([[{"token": t, "n": k} for t, k in zip(i.tolist(), n.tolist(), strict=True)] for i, n in rare], pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))
+            rare = np.concatenate(([0], np.cumsum(~there)))[np.append(starts, len(ids))]
+            lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(ids[~there]))
             columns = [pa.array(ends - starts, pa.int64()), pa.array(sums(there.astype(np.int64))), pa.array(sums(log_c)), pa.array(sums(shares + np.where(single, 0.0, log_c))), lists]
             fields = [*list(batch.schema)[:n_kept], *(pa.field(n, c.type) for n, c in zip(("n_tokens", "__known", "__base", "__model", "__rare"), columns, strict=True))]
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n_kept]), *columns], schema=pa.schema(fields))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in row.schema.fields[:n_kept])
-    more = "n_tokens bigint, __known bigint, __base double, __model double, __rare array<struct<token:bigint,n:bigint>>"
+    more = "n_tokens bigint, __known bigint, __base double, __model double, __rare array<bigint>"
     scored = stored(row.mapInArrow(run, f"{types}, {more}").withColumn("__row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", F.col("r.token").alias("token"), F.col("r.n").alias("n"))
-    found = rare.join(vocabulary, "token").groupBy("__row").agg(F.sum("n").alias("__n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("__log_c"))
+    rare = scored.select("__row", F.explode("__rare").alias("token"))
+    found = rare.join(vocabulary, "token").groupBy("__row").agg(F.count("*").alias("__n"), F.sum(F.log10(F.col("c") + 1)).alias("__log_c"))
     added = scored.drop("__rare").join(found, "__row", "left")
     more_log = F.coalesce(F.col("__log_c"), F.lit(0.0))
     return added.select(
