@@ -18,7 +18,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 #: Entries that a Python worker keeps of a per-word result before it starts afresh.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,19 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_in_use: dict | None = None
+
+
+def use(cache: dict) -> dict:
+    """The cache, after emptying the one used before: a Python worker that runs one operator after the other holds one cache."""
+    global _in_use
+    if _in_use is not cache:
+        if _in_use is not None:
+            _in_use.clear()
+        _in_use = cache
+    return cache
+
+
 class WordHashes(dict):
     """A 64-bit hash for each word, kept for at most WORD_CACHE words."""
 
@@ -91,7 +104,7 @@ _HASHES = WordHashes()
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(use(_HASHES).__getitem__, found), np.uint64, len(found))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, window_hashes
+from .common import WORD_CACHE, use, window_hashes
 
 #: Window of template tokens.
 WIDTH = 5
@@ -76,6 +76,7 @@ def template(text: str | None) -> tuple[np.ndarray, dict[int, tuple[str, str]]]:
     hashes: list[int] = []
     slots: dict[int, tuple[str, str]] = {}
     begins, after_number = True, False
+    use(_TOKENS)
     for raw in (text or "").split():
         h, kind, ends = _TOKENS[raw]
         if kind == _PLAIN or (kind == _IS_NAME and begins) or (kind == _IS_UNIT and not after_number):

@@ -28,7 +28,7 @@ MAX_LANGUAGES = 1_000
 #: Stands for a missing character in the code of a shorter n-gram; no character has this code point.
 _NONE = 0x1FFFFF
 #: Codes that are counted together while learning.
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000
 
 
 @lru_cache

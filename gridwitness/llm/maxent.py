@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, stored, words
+from .common import WORD_CACHE, stored, use, words
 from .quality import bucket_sql
 
 #: Classes: those by last bytes, then the most frequent words', the end token's last.
@@ -61,7 +61,7 @@ def token_ids(text: str | None) -> np.ndarray:
     """Ids of the words and the end token."""
     found = words(text)
     ids = np.empty(len(found) + 1, np.int64)
-    ids[:-1] = np.fromiter(map(_IDS.__getitem__, found), np.int64, len(found))
+    ids[:-1] = np.fromiter(map(use(_IDS).__getitem__, found), np.int64, len(found))
     ids[-1] = END
     return ids
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, stored
+from .common import WORD_CACHE, stored, use
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
@@ -94,7 +94,7 @@ def encoder(path: str = TOKENIZER) -> Callable[[str], bytes]:
 
     def encode(text: str) -> bytes:
         if apart and not odd.search(text):
-            return b"".join(map(by_word.__getitem__, text.lower().split()))
+            return b"".join(map(use(by_word).__getitem__, text.lower().split()))
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return encode
