@@ -350,6 +350,13 @@ def _block_tasks(members: DataFrame, size: int) -> DataFrame:
     return own.union(other)
 
 
+def _once(met: DataFrame) -> DataFrame:
+    """(label, key) without labels whose members another label has as well: copies of a text share many blocks, which say the same."""
+    members = met.groupBy("label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
+    kept = members.groupBy("n", "a", "b").agg(F.min("label").alias("label")).select("label")
+    return met.join(kept, "label", "left_semi")
+
+
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs."""
     spark = docs.sparkSession
@@ -365,6 +372,7 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     noted = stored(wide.select("doc_id", "n", "key"), "sets")
     forget(wide)
     tidy(spark)
+    met = stored(_once(met), "met")
     holders = noted.select("key", "doc_id").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
     sets = stored(
         source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width), "key bigint, n bigint, sketch binary, grams binary"),
