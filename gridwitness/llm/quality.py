@@ -28,7 +28,6 @@ MEASURES = [
     ("word_length", "word_chars * 1000 div n_words", True, True, 1_000),
     ("symbols", "n_symbols * 100000 div n_words", False, True, 5_000),
     ("dup_lines", "n_dup_lines * 100000 div n_words", False, True, 5_000),
-    ("repeats", "n_repeat_words * 100000 div n_words", False, True, 5_000),
 ]
 #: Documents under which a group takes the limits of its language, or of all.
 LEAST = 100

@@ -98,8 +98,8 @@ base AS (
   FROM w LEFT JOIN dups ON dups.doc_id = w.doc_id LEFT JOIN reps ON reps.doc_id = w.doc_id),
 stats AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 m AS (
-  SELECT doc_id, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure,
-         unnest([word_chars * 1000 // n_words, n_symbols * 100000 // n_words, n_dup_lines * 100000 // n_words, n_repeat_words * 100000 // n_words]) AS v
+  SELECT doc_id, lang, source, unnest(['word_length', 'symbols', 'dup_lines']) AS measure,
+         unnest([word_chars * 1000 // n_words, n_symbols * 100000 // n_words, n_dup_lines * 100000 // n_words]) AS v
   FROM stats WHERE NOT base_failed),
 b AS (SELECT *, CASE WHEN v < 128 THEN v ELSE 64 * (length(bin(v)) - 7) + (v >> (length(bin(v)) - 7)) END AS bucket FROM m),
 sketch AS (
