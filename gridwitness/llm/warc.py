@@ -73,8 +73,8 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         line("Content-Type", F.lit("application/http; msgtype=response")), F.lit("Content-Length: "), size.cast("string"), F.lit(END), http,
     )
     value = F.concat(head.cast("binary"), F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload")))
-    # rebalanced: files of bounded size, whatever the pages' sizes
-    records.select(value.cast("string").alias("value")).hint("rebalance").write.option("lineSep", END).option("compression", "gzip").text(path)
+    # the join before leaves partitions of AQE's advisory size, or the scan's; the count of records bounds files of small ones
+    records.select(value.cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
 
 
 def parsed(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
