@@ -12,7 +12,8 @@ windows, or min_windows of them with all slots as in the item (nine of five toke
 value that meets two document values.
 
 Defined cases. An item shorter than the window is one window of its length and must be met as such within
-a document; items without tokens match nothing. Items with equal templates count as the one of smallest item_id. Null texts match
+a document; items without tokens match nothing. Items equal in template and slots count as the one of smallest item_id; others, even of
+equal templates, are each compared with their own values. Null texts match
 nothing. A repeated document or doc_id is found once. Null ids are reported as such. Empty tables give no rows.
 """
 
@@ -144,7 +145,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     own = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     cut = own.mapInArrow(_windows(list(range(1, width + 1)), None, True), _WINDOW.format(kind=kind))
-    whole = cut.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("w"))
+    whole = cut.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "hash", "slots"))).alias("w"))
     single = whole.withColumn("t", F.md5(F.to_json("w").cast("binary"))).groupBy("t").agg(F.min("id").alias("id"), F.max(F.size("w")).alias("n_windows"))
     # Short items have a narrower window; its width is told by what the window holds.
     windows = cut.join(single.select("id", "n_windows"), "id").select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "n_windows")

@@ -126,6 +126,17 @@ def test_decontamination(spark, no_docs):
     assert decontam.contaminated(no_docs, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_with_equal_templates(spark):
+    """Items that differ in numbers and names only are different items, each with its own values."""
+    text = "once {} saw {} ships and then {} more came over to the shore where {} people with {} flags stood and sang until the sun was down and nobody there could see {} boats any more that night"
+    a, b = text.format("Ann", 3, 4, 5, 6, 7), text.format("Bob", 13, 14, 15, 16, 17)
+    items = spark.createDataFrame([(1, a), (2, b)], "item_id bigint, text string")
+    part = " ".join(b.split()[:15])  # 11 of 31 windows, all with b's values
+    docs = spark.createDataFrame([(1, f"so {b} indeed"), (2, f"so {part} something else follows"), (3, f"so {a} indeed")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 1): "re-parameterised", (1, 2): "as it is", (2, 2): "as it is", (3, 1): "as it is", (3, 2): "re-parameterised"}
+
+
 # ---- quality
 
 
