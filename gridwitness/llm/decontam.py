@@ -6,7 +6,10 @@ value consistently. So an item is found as it is, and re-parameterised with othe
 
 Rules. Tokens are runs of no white space without the punctuation around them; tokens of punctuation alone go. A
 token with a digit and no letter is <num>; a number with a unit joined, or a unit after a number, gives <unit>; a
-capitalised token that doesn't begin a sentence is <name>. All others are lower-cased. An item is found in a
+capitalised token is <name>. All others are lower-cased. A capitalised token that begins a sentence may be a name or
+any word: windows with such tokens are there twice, once with all of them as words and once with all as names, and an
+alignment is judged in each of these two readings. Windows without them belong to both; windows that the second
+reading leaves without any word aren't read so. An item is found in a
 document if alignments with at least min_run consistent windows each (all, if the item has fewer) cover min_share of the item's
 windows, or min_windows of them with all slots as in the item (nine of five tokens are thirteen tokens in a row). A window is consistent if none of its slots has, in that alignment, an item
 value that meets two document values.
@@ -72,15 +75,18 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def template(text: str | None) -> tuple[np.ndarray, dict[int, tuple[str, str]]]:
-    """Hashes of the template's tokens, and of each slot's position (kind, value)."""
+def template(text: str | None) -> tuple[np.ndarray, dict[int, tuple[str, str]], dict[int, str]]:
+    """Hashes of the template's tokens, of each slot's position (kind, value), and of the position of each capitalised token that begins a sentence, a word here, its value."""
     hashes: list[int] = []
     slots: dict[int, tuple[str, str]] = {}
+    openers: dict[int, str] = {}
     begins, after_number = True, False
     use(_TOKENS)
     for raw in (text or "").split():
         h, kind, ends = _TOKENS[raw]
         if kind == _PLAIN or (kind == _IS_NAME and begins) or (kind == _IS_UNIT and not after_number):
+            if kind == _IS_NAME:
+                openers[len(hashes)] = _PUNCTUATION.sub("", raw).lower()
             hashes.append(h)
             after_number = False
         elif kind != _SKIP:
@@ -97,10 +103,12 @@ def template(text: str | None) -> tuple[np.ndarray, dict[int, tuple[str, str]]]:
                 hashes.append(code)
             after_number = kind == _IS_NUM
         begins = ends or (begins and kind == _SKIP)
-    return np.array(hashes, np.uint64), slots
+    return np.array(hashes, np.uint64), slots, openers
 
 
-_WINDOW = "hash bigint, id {kind}, pos bigint, slots array<struct<at:int,kind:string,value:string>>"
+#: Readings of a window, as bits: tokens that begin sentences are words, or are names.
+_AS_WORDS, _AS_NAMES = 1, 2
+_WINDOW = "hash bigint, id {kind}, pos bigint, readings int, slots array<struct<at:int,kind:string,value:string>>"
 
 
 def _slot_list(slots: dict[int, tuple[str, str]], pos: int, width: int) -> list[dict]:
@@ -120,9 +128,13 @@ def _windows(widths: list[int], known: np.ndarray | None, per_item: bool):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, places, out, found_slots = [], [], [], []
+            ids, places, out, readings, found_slots = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens, slots = template(text)
+                tokens, slots, openers = template(text)
+                if openers:
+                    begins = np.array(list(openers))
+                    named, named_slots = tokens.copy(), slots | {i: ("name", v) for i, v in openers.items()}
+                    named[begins] = _NAME
                 for width in [min(longest, len(tokens))] if per_item else widths:
                     if not 0 < width <= len(tokens):
                         continue
@@ -132,9 +144,28 @@ def _windows(widths: list[int], known: np.ndarray | None, per_item: bool):
                     ids += [key] * len(at)
                     places.append(at)
                     found_slots += [_slot_list(slots, int(i), width) for i in at]
+                    if not openers:
+                        readings.append(np.full(len(at), _AS_WORDS | _AS_NAMES, np.int32))
+                        continue
+                    change = np.zeros(len(h) + width, np.int32)  # windows with such a token: those that begin up to width - 1 before it
+                    np.add.at(change, np.maximum(begins - width + 1, 0), 1)
+                    np.add.at(change, begins + 1, -1)
+                    both = np.cumsum(change)[: len(h)] > 0
+                    readings.append(np.where(both[at], _AS_WORDS, _AS_WORDS | _AS_NAMES).astype(np.int32))
+                    filled = np.zeros(len(tokens) + 1, np.int32)
+                    filled[[i + 1 for i in named_slots]] = 1
+                    filled = np.cumsum(filled)
+                    again = np.flatnonzero(both & (filled[width:] - filled[:-width] < width))  # a window of slots alone would meet any names
+                    h = window_hashes(named, width)[again]
+                    again_at = _among(h, known) if known is not None else np.arange(len(h))
+                    out.append(h[again_at].view(np.int64))
+                    ids += [key] * len(again_at)
+                    places.append(again[again_at])
+                    found_slots += [_slot_list(named_slots, int(i), width) for i in again[again_at]]
+                    readings.append(np.full(len(again_at), _AS_NAMES, np.int32))
             join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
             slot = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(join(out), pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(join(places), pa.int64()), pa.array(found_slots, slot)], names=["hash", "id", "pos", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(out), pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(join(places), pa.int64()), pa.array(join(readings), pa.int32()), pa.array(found_slots, slot)], names=["hash", "id", "pos", "readings", "slots"])
 
     return run
 
@@ -145,10 +176,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     own = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     cut = own.mapInArrow(_windows(list(range(1, width + 1)), None, True), _WINDOW.format(kind=kind))
-    whole = cut.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "hash", "slots"))).alias("w"))
-    single = whole.withColumn("t", F.md5(F.to_json("w").cast("binary"))).groupBy("t").agg(F.min("id").alias("id"), F.max(F.size("w")).alias("n_windows"))
+    whole = cut.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "readings", "hash", "slots"))).alias("w"), F.count_distinct("pos").alias("n"))
+    single = whole.withColumn("t", F.md5(F.to_json("w").cast("binary"))).groupBy("t").agg(F.min("id").alias("id"), F.max("n").alias("n_windows"))
     # Short items have a narrower window; its width is told by what the window holds.
-    windows = cut.join(single.select("id", "n_windows"), "id").select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "n_windows")
+    windows = cut.join(single.select("id", "n_windows"), "id").select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("readings").alias("item_readings"), "n_windows")
     lengths = own.mapInArrow(_item_widths(width), "width int").distinct()
     widths = sorted(r.width for r in lengths.collect() if r.width)  # width values at most
     n_windows = windows.select("hash").distinct().count()
@@ -158,20 +189,27 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     met = source.mapInArrow(_windows(widths, known, False), _WINDOW.format(kind=source.schema["id"].dataType.simpleString())).withColumnRenamed("id", "doc_id").distinct()
     pairs = met.join(windows, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    pairs = pairs.select("doc_id", "item_id", "shift", "item_pos", "n_windows", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s")).select(
-        "doc_id", "item_id", "shift", "item_pos", "n_windows", F.col("s.item_slots.kind").alias("kind"), F.col("s.item_slots.value").alias("was"), F.col("s.slots.value").alias("value")
+    # Where an item has one token as a word and a document another as a name, the match counts in both readings.
+    common = F.col("readings").bitwiseAND(F.col("item_readings"))
+    readings = F.when(common == _AS_WORDS, F.array(F.lit(_AS_WORDS))).when(common == _AS_NAMES, F.array(F.lit(_AS_NAMES))).otherwise(F.array(F.lit(_AS_WORDS), F.lit(_AS_NAMES)))
+    pairs = pairs.withColumn("reading", F.explode(readings))
+    pairs = pairs.select("doc_id", "item_id", "shift", "reading", "item_pos", "n_windows", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s")).select(
+        "doc_id", "item_id", "shift", "reading", "item_pos", "n_windows", F.col("s.item_slots.kind").alias("kind"), F.col("s.item_slots.value").alias("was"), F.col("s.slots.value").alias("value")
     )
-    by_value = pairs.groupBy("doc_id", "item_id", "shift", "kind", "was").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_pos").alias("at"), F.count_distinct("value").alias("n_values"), F.max((F.col("was") != F.col("value")).cast("int")).alias("changed"))
+    by_value = pairs.groupBy("doc_id", "item_id", "shift", "reading", "kind", "was").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_pos").alias("at"), F.count_distinct("value").alias("n_values"), F.max((F.col("was") != F.col("value")).cast("int")).alias("changed"))
     torn = F.when(F.col("n_values") > 1, F.col("at"))
     other = F.when((F.col("n_values") > 1) | (F.col("changed") == 1), F.col("at"))
-    aligned = by_value.groupBy("doc_id", "item_id", "shift").agg(
+    aligned = by_value.groupBy("doc_id", "item_id", "shift", "reading").agg(
         F.max("n_windows").alias("n_windows"), F.array_except(F.flatten(F.collect_list("at")), F.flatten(F.collect_list(other))).alias("same"),
         F.array_except(F.flatten(F.collect_list("at")), F.flatten(F.collect_list(torn))).alias("at"),
         F.count("was").alias("n_slots"), F.coalesce(F.sum("changed"), F.lit(0)).alias("n_changed"),
     )
     consistent = aligned.where(F.size("at") >= F.least(F.lit(min_run), F.col("n_windows")))
+    # Windows count in whichever reading they are met; an alignment's slots are those of the reading that meets more.
+    better = F.max_by(F.struct("n_slots", "n_changed"), F.struct(F.size("at"), -F.col("n_changed"), "n_slots"))
+    aligned = consistent.groupBy("doc_id", "item_id", "shift").agg(F.max("n_windows").alias("n_windows"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("same")).alias("same"), better.alias("better"))
     return (
-        consistent.groupBy("doc_id", "item_id")
+        aligned.select("*", "better.*").groupBy("doc_id", "item_id")
         .agg(F.max("n_windows").cast("bigint").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matched_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("same_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
         .where((F.col("matched_windows") >= F.col("item_windows") * F.lit(min_share)) | (F.col("same_windows") >= min_windows))
         .select("doc_id", "item_id", "matched_windows", "item_windows", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "re-parameterised").otherwise("as it is").alias("kind"))

@@ -137,6 +137,15 @@ def test_decontamination_of_items_with_equal_templates(spark):
     assert got == {(1, 1): "re-parameterised", (1, 2): "as it is", (2, 2): "as it is", (3, 1): "as it is", (3, 2): "re-parameterised"}
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    text = "{0} has {2} apples. {1} has {3} apples. {0} gives {1} {4} apples. How many apples does {0} have?"
+    items = spark.createDataFrame([(1, text.format("Tom", "Ann", 3, 5, 2)), (2, "Oslo")], "item_id bigint, text string")
+    torn = "Bob has 4 apples. Eve has 7 apples. Carl gives Dora 6 apples. How many apples does Fay have?"  # each name has two values
+    docs = spark.createDataFrame([(1, text.format("Bob", "Eve", 4, 7, 6)), (2, text.format("Tom", "Ann", 3, 5, 2)), (3, torn), (4, "Well, " + text.format("Bob", "Eve", 4, 7, 6))], "doc_id bigint, text string")
+    got = {r.doc_id: (r.kind, r.matched_windows, r.item_windows) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {1: ("re-parameterised", 15, 15), 2: ("as it is", 15, 15), 4: ("re-parameterised", 15, 15)}
+
+
 # ---- quality
 
 
