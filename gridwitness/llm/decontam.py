@@ -17,7 +17,7 @@ value that meets two document values.
 Defined cases. An item shorter than the window is one window of its length and must be met as such within
 a document; items without tokens match nothing. Items equal in template and slots count as the one of smallest item_id; others, even of
 equal templates, are each compared with their own values. Null texts match
-nothing. A repeated document or doc_id is found once. Null ids are reported as such. Empty tables give no rows.
+nothing. Repeated items count once, and different texts of one item_id are different items. A repeated document or doc_id is found once. Null ids are reported as such. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ _TOKENS = _Tokens()
 
 
 def template(text: str | None) -> tuple[np.ndarray, dict[int, tuple[str, str]], dict[int, str]]:
-    """Hashes of the template's tokens, of each slot's position (kind, value), and of the position of each capitalised token that begins a sentence, a word here, its value."""
+    """Hashes of the template's tokens, of each slot's position (kind, value), and of the position of each capitalised token that begins a sentence, a word here, the token as it stands."""
     hashes: list[int] = []
     slots: dict[int, tuple[str, str]] = {}
     openers: dict[int, str] = {}
@@ -86,7 +86,7 @@ def template(text: str | None) -> tuple[np.ndarray, dict[int, tuple[str, str]],
         h, kind, ends = _TOKENS[raw]
         if kind == _PLAIN or (kind == _IS_NAME and begins) or (kind == _IS_UNIT and not after_number):
             if kind == _IS_NAME:
-                openers[len(hashes)] = _PUNCTUATION.sub("", raw).lower()
+                openers[len(hashes)] = raw
             hashes.append(h)
             after_number = False
         elif kind != _SKIP:
@@ -132,9 +132,17 @@ def _windows(widths: list[int], known: np.ndarray | None, per_item: bool):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens, slots, openers = template(text)
                 if openers:
-                    begins = np.array(list(openers))
-                    named, named_slots = tokens.copy(), slots | {i: ("name", v) for i, v in openers.items()}
+                    begins = np.fromiter(openers, np.int64, len(openers))
+                    named, named_slots = tokens.copy(), None
                     named[begins] = _NAME
+                    filled = np.zeros(len(tokens) + 1, np.int32)
+                    filled[begins + 1] = 1
+                    if slots:
+                        filled[np.fromiter(slots, np.int64, len(slots)) + 1] = 1
+                    filled = np.cumsum(filled)
+                    before = np.zeros(len(tokens) + 1, np.int32)
+                    before[begins + 1] = 1
+                    before = np.cumsum(before)
                 for width in [min(longest, len(tokens))] if per_item else widths:
                     if not 0 < width <= len(tokens):
                         continue
@@ -147,18 +155,14 @@ def _windows(widths: list[int], known: np.ndarray | None, per_item: bool):
                     if not openers:
                         readings.append(np.full(len(at), _AS_WORDS | _AS_NAMES, np.int32))
                         continue
-                    change = np.zeros(len(h) + width, np.int32)  # windows with such a token: those that begin up to width - 1 before it
-                    np.add.at(change, np.maximum(begins - width + 1, 0), 1)
-                    np.add.at(change, begins + 1, -1)
-                    both = np.cumsum(change)[: len(h)] > 0
+                    both = before[width:] > before[:-width]
                     readings.append(np.where(both[at], _AS_WORDS, _AS_WORDS | _AS_NAMES).astype(np.int32))
-                    filled = np.zeros(len(tokens) + 1, np.int32)
-                    filled[[i + 1 for i in named_slots]] = 1
-                    filled = np.cumsum(filled)
                     again = np.flatnonzero(both & (filled[width:] - filled[:-width] < width))  # a window of slots alone would meet any names
                     h = window_hashes(named, width)[again]
                     again_at = _among(h, known) if known is not None else np.arange(len(h))
                     out.append(h[again_at].view(np.int64))
+                    if len(again_at) and named_slots is None:
+                        named_slots = slots | {i: ("name", _PUNCTUATION.sub("", raw).lower()) for i, raw in openers.items()}
                     ids += [key] * len(again_at)
                     places.append(again[again_at])
                     found_slots += [_slot_list(named_slots, int(i), width) for i in again[again_at]]
@@ -175,11 +179,13 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     spark = docs.sparkSession
     own = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    cut = own.mapInArrow(_windows(list(range(1, width + 1)), None, True), _WINDOW.format(kind=kind))
-    whole = cut.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "readings", "hash", "slots"))).alias("w"), F.count_distinct("pos").alias("n"))
-    single = whole.withColumn("t", F.md5(F.to_json("w").cast("binary"))).groupBy("t").agg(F.min("id").alias("id"), F.max("n").alias("n_windows"))
+    # Items are told apart by what they say, not by their ids: these may be repeated, shared or null.
+    keyed = own.mapInArrow(_item_keys, f"key bigint, id {kind}, text string")
+    single = keyed.groupBy("key").agg(F.min("id").alias("item_id"), F.min("text").alias("text"))
+    cut = single.select(F.col("key").alias("id"), "text").mapInArrow(_windows(list(range(1, width + 1)), None, True), _WINDOW.format(kind="bigint"))
+    sizes = cut.groupBy("id").agg(F.count_distinct("pos").alias("n_windows"))
     # Short items have a narrower window; its width is told by what the window holds.
-    windows = cut.join(single.select("id", "n_windows"), "id").select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("readings").alias("item_readings"), "n_windows")
+    windows = cut.join(sizes, "id").select("hash", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("readings").alias("item_readings"), "n_windows")
     lengths = own.mapInArrow(_item_widths(width), "width int").distinct()
     widths = sorted(r.width for r in lengths.collect() if r.width)  # width values at most
     n_windows = windows.select("hash").distinct().count()
@@ -193,13 +199,13 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     common = F.col("readings").bitwiseAND(F.col("item_readings"))
     readings = F.when(common == _AS_WORDS, F.array(F.lit(_AS_WORDS))).when(common == _AS_NAMES, F.array(F.lit(_AS_NAMES))).otherwise(F.array(F.lit(_AS_WORDS), F.lit(_AS_NAMES)))
     pairs = pairs.withColumn("reading", F.explode(readings))
-    pairs = pairs.select("doc_id", "item_id", "shift", "reading", "item_pos", "n_windows", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s")).select(
-        "doc_id", "item_id", "shift", "reading", "item_pos", "n_windows", F.col("s.item_slots.kind").alias("kind"), F.col("s.item_slots.value").alias("was"), F.col("s.slots.value").alias("value")
+    pairs = pairs.select("doc_id", "item", "shift", "reading", "item_pos", "n_windows", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s")).select(
+        "doc_id", "item", "shift", "reading", "item_pos", "n_windows", F.col("s.item_slots.kind").alias("kind"), F.col("s.item_slots.value").alias("was"), F.col("s.slots.value").alias("value")
     )
-    by_value = pairs.groupBy("doc_id", "item_id", "shift", "reading", "kind", "was").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_pos").alias("at"), F.count_distinct("value").alias("n_values"), F.max((F.col("was") != F.col("value")).cast("int")).alias("changed"))
+    by_value = pairs.groupBy("doc_id", "item", "shift", "reading", "kind", "was").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_pos").alias("at"), F.count_distinct("value").alias("n_values"), F.max((F.col("was") != F.col("value")).cast("int")).alias("changed"))
     torn = F.when(F.col("n_values") > 1, F.col("at"))
     other = F.when((F.col("n_values") > 1) | (F.col("changed") == 1), F.col("at"))
-    aligned = by_value.groupBy("doc_id", "item_id", "shift", "reading").agg(
+    aligned = by_value.groupBy("doc_id", "item", "shift", "reading").agg(
         F.max("n_windows").alias("n_windows"), F.array_except(F.flatten(F.collect_list("at")), F.flatten(F.collect_list(other))).alias("same"),
         F.array_except(F.flatten(F.collect_list("at")), F.flatten(F.collect_list(torn))).alias("at"),
         F.count("was").alias("n_slots"), F.coalesce(F.sum("changed"), F.lit(0)).alias("n_changed"),
@@ -207,13 +213,24 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     consistent = aligned.where(F.size("at") >= F.least(F.lit(min_run), F.col("n_windows")))
     # Windows count in whichever reading they are met; an alignment's slots are those of the reading that meets more.
     better = F.max_by(F.struct("n_slots", "n_changed"), F.struct(F.size("at"), -F.col("n_changed"), "n_slots"))
-    aligned = consistent.groupBy("doc_id", "item_id", "shift").agg(F.max("n_windows").alias("n_windows"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("same")).alias("same"), better.alias("better"))
-    return (
-        aligned.select("*", "better.*").groupBy("doc_id", "item_id")
+    aligned = consistent.groupBy("doc_id", "item", "shift").agg(F.max("n_windows").alias("n_windows"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("same")).alias("same"), better.alias("better"))
+    found = (
+        aligned.select("*", "better.*").groupBy("doc_id", "item")
         .agg(F.max("n_windows").cast("bigint").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matched_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("same_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
         .where((F.col("matched_windows") >= F.col("item_windows") * F.lit(min_share)) | (F.col("same_windows") >= min_windows))
-        .select("doc_id", "item_id", "matched_windows", "item_windows", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "re-parameterised").otherwise("as it is").alias("kind"))
     )
+    named = found.join(single.select(F.col("key").alias("item"), "item_id"), "item")
+    return named.select("doc_id", "item_id", "matched_windows", "item_windows", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "re-parameterised").otherwise("as it is").alias("kind"))
+
+
+def _item_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, text) of each row (id, text): a hash of the template and its slots, openers' values among its words."""
+    for batch in rows:
+        keys = []
+        for text in batch.column(1).to_pylist():
+            tokens, slots, openers = template(text)
+            keys.append(xxhash.xxh3_64_intdigest(tokens.tobytes() + repr((slots, sorted(openers))).encode("utf-8", "surrogatepass")) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.columns], names=["key", "id", "text"])
 
 
 def _item_widths(width: int):

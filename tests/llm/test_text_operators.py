@@ -146,6 +146,17 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert got == {1: ("re-parameterised", 15, 15), 2: ("as it is", 15, 15), 4: ("re-parameterised", 15, 15)}
 
 
+def test_decontamination_of_repeated_and_null_items(spark):
+    """Copies of an item and different texts under one id don't raise what must be met; null ids are reported."""
+    a = "seven sisters walk beside the river every evening singing"
+    b = "a merchant sold {} carpets to {} farmers before the market closed at dusk"
+    rows = [(1, "short item here")] * 2 + [(2, a)] * 4 + [(3, b.format(5, 6))] * 3 + [(4, "the quick fox jumps over some lazy dogs"), (4, "five boxing wizards jump quickly over the tall fence by the road at night while it rains"), (None, "nobody knows who wrote this line about winter")]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so short item here now"), (2, f"so {a} now"), (3, f"so {b.format(8, 9)} now"), (4, "see the quick fox jumps over some lazy dogs now"), (5, "but nobody knows who wrote this line about winter now")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.item_id, r.kind, r.matched_windows == r.item_windows) for r in decontam.contaminated(docs, items).collect()]
+    assert sorted(got) == [(1, 1, "as it is", True), (2, 2, "as it is", True), (3, 3, "re-parameterised", True), (4, 4, "as it is", True), (5, None, "as it is", True)]
+
+
 # ---- quality
 
 
