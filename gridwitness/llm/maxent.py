@@ -2,9 +2,11 @@
 
 P(word | context) = P(class | context) * P(word | class). The first factor is a softmax over CLASSES whose weights
 are rows of one hashed table, chosen by the features: none (bias), previous word, the two previous words,
-the word before the previous one (skip), and the two previous classes. The second is the maximum-entropy model with a
-bias a word, whose solution is its share in the class, add-one smoothed with one more share for all unknown words. Classes: the end
-token, each of the most frequent words, and the others by their last two bytes.
+the word before the previous one (skip), and the two previous classes. The second is the word's share in the class, add-one
+smoothed with one more share for all unknown words, and for known words moved by the context: the words of a class are the leaves of
+a binary tree by the bits of their hashes, whose depth grows with the vocabulary. Each branch is a logistic model with the share
+of its words as bias, and weights hashed from (previous word, branch), (two previous words, branch) and (skip, branch). With all
+weights 0 the product of the branches is the share. Classes: the end token, each of the most frequent words, and the others by their last two bytes.
 
 Training goes over all learned documents once, in STEPS distributed updates: in each every task takes gradient steps on its
 share of the documents from the common weights, and the row deltas are averaged by how often each task met the row. Counts of
@@ -29,15 +31,21 @@ from .common import WORD_CACHE, stored, use, words
 from .quality import bucket_sql
 
 #: Classes: those by last bytes, then the most frequent words', the end token's last.
-CLASSES, BY_ENDING = 16, 8
+CLASSES, BY_ENDING = 32, 16
 #: Rows of the weight table.
 ROWS = 1 << 15
+#: Levels of a class's tree at most, with one word a leaf up to BY_ENDING << DEPTH words; the words of a leaf share by count.
+DEPTH = 14
+#: Weights of the branches: as many as words, a power of two within these.
+LEAST_BRANCH_ROWS, MOST_BRANCH_ROWS = 1 << 16, 1 << 20
 #: Words whose counts are sent to all tasks.
 SENT_WORDS = 200_000
 STEPS = 2
 RATE = 0.35
 #: Tokens of a gradient step.
 BATCH = 16_384
+#: Tokens a training task has on average at least: each task passes on a table of deltas, whatever it has learned from.
+TASK_TOKENS = 4_000_000
 #: Tokens that are counted together.
 _CHUNK = 4_000_000
 _LOW = np.uint64(BY_ENDING - 1)
@@ -91,17 +99,83 @@ def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
     return np.maximum((x >> np.uint64(64 - (ROWS - 1).bit_length())).astype(np.uint16), 1)  # row 0 is the bias
 
 
-def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(4, tokens) rows of the weight table beside the bias, row 0; contexts don't go beyond a document's start."""
+def _contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The previous word, the two previous ones, the one before the previous, and where the first two don't exist."""
     first = np.zeros(len(ids), bool)
     first[starts] = True
     second = np.zeros(len(ids), bool)
     second[starts[starts + 1 < len(ids)] + 1] = True
     w1, w2 = np.roll(ids, 1), np.roll(ids, 2)
+    w1[first] = 1
+    w2[first | second] = 1
+    return w1, w1.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) + w2.view(np.uint64), w2, first, second
+
+
+class Branches:
+    """Trees of the words of each class by last bytes. odds: of each level the natural log-odds of a 1, by class and bits before; infinite where only one side has words."""
+
+    def __init__(self, leaves: np.ndarray, rows: int) -> None:
+        """leaves: (BY_ENDING, 1 << depth) counts of words, one more each."""
+        self.depth, self.rows = (leaves.shape[1] - 1).bit_length(), rows
+        self.odds: list[np.ndarray] = []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            while leaves.shape[1] > 1:
+                zero, one = leaves[:, 0::2], leaves[:, 1::2]
+                self.odds.insert(0, (np.log(one) - np.log(zero)).astype(np.float32).ravel())
+                leaves = zero + one
+
+    def levels(self, ids: np.ndarray, kinds: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of tokens a to b and each level: places of tokens that meet a branch there, (3, places) rows of its weights, log-odds, and 1 or -1 for the side."""
+        w1, pair, w2, _, _ = self.kept
+        at = np.flatnonzero(kinds[a:b] < BY_ENDING)
+        bits, kind = ids[a:b][at].view(np.uint64), kinds[a:b][at].astype(np.uint64)
+        salted = [(x[a:b][at].view(np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) for k, x in enumerate((w1, pair, w2), 11)]
+        salted = [x ^ (x >> np.uint64(31)) for x in salted]
+        shift = np.uint64(64 - (self.rows - 1).bit_length())
+        for level, odds in enumerate(self.odds):
+            node = kind << np.uint64(level)
+            if level:
+                node = node | (bits >> np.uint64(64 - level))
+            own = odds[node.astype(np.int64)]
+            there = np.flatnonzero(np.isfinite(own))
+            if not len(there):
+                continue
+            branch = (node[there] + np.uint64(BY_ENDING << level)) * np.uint64(0xD6E8FEB86659FD93)
+            rows = np.stack([((x[there] ^ branch) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64) for x in salted])
+            side = ((bits[there] >> np.uint64(63 - level)) & np.uint64(1)).astype(np.float32) * 2 - 1
+            yield at[there], rows, own[there], side
+
+    def hold(self, ids: np.ndarray, starts: np.ndarray) -> None:
+        """Keeps the contexts of ids for levels() of parts of them."""
+        self.kept = _contexts(ids, starts)
+
+    def gains(self, weights: np.ndarray, ids: np.ndarray, kinds: np.ndarray, a: int, b: int) -> np.ndarray:
+        """How much more likely the context makes each word within its class, in natural logarithms."""
+        found = np.zeros(b - a, np.float64)
+        for at, rows, bias, side in self.levels(ids, kinds, a, b):
+            moved = bias + weights[rows].sum(axis=0)
+            found[at] += np.logaddexp(0, -side * bias) - np.logaddexp(0, -side * moved)
+        return found
+
+
+def branches_of(vocabulary: DataFrame, top: list[int], distinct: int) -> Branches:
+    """Trees whose depth and number of weights follow the number of words."""
+    depth = min(DEPTH, max(1, (max(1, distinct) // BY_ENDING).bit_length()))
+    rows = min(MOST_BRANCH_ROWS, max(LEAST_BRANCH_ROWS, 1 << (max(1, distinct) - 1).bit_length()))
+    own = vocabulary.where(~F.col("token").isin([*top, END]))
+    leaf = F.pmod("token", F.lit(BY_ENDING)) * (1 << depth) + F.shiftrightunsigned("token", 64 - depth)
+    held = own.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("n")).toPandas()  # BY_ENDING << DEPTH rows at most
+    leaves = np.zeros(BY_ENDING << depth)
+    leaves[held["leaf"].to_numpy(np.int64)] = held["n"].to_numpy(np.float64)
+    return Branches(leaves.reshape(BY_ENDING, -1), rows)
+
+
+def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(4, tokens) rows of the weight table beside the bias, row 0; contexts don't go beyond a document's start."""
+    w1, pair, w2, first, second = _contexts(ids, starts)
     c1, c2 = np.roll(classes, 1), np.roll(classes, 2)
-    w1[first], c1[first] = 1, CLASSES
-    w2[first | second], c2[first | second] = 1, CLASSES
-    pair = w1.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) + w2.view(np.uint64)
+    c1[first] = CLASSES
+    c2[first | second] = CLASSES
     return np.stack((_hashed(w1, 1), _hashed(pair, 2), _hashed(w2, 3), _hashed((c1 * (CLASSES + 1) + c2).astype(np.int64), 4)))
 
 
@@ -131,10 +205,11 @@ def _documents(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> I
 
 
 def _train(weights_sent, classes: Classes):
-    """Row deltas of one task: (slice of rows, counts, deltas times counts)."""
+    """Row deltas of one task: (slice of rows, counts, deltas times counts); slices of branches' weights have negative numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = weights_sent.value
+        start, start_branches, branches = weights_sent.value
+        moved, moved_met, moved_squares = start_branches.copy(), np.zeros(len(start_branches), np.float32), np.ones(len(start_branches), np.float32)
         weights, met = start.copy(), np.zeros(ROWS, np.float32)
         squares = np.ones(ROWS, np.float32)
 
@@ -147,6 +222,7 @@ def _train(weights_sent, classes: Classes):
         for _, _, _, ids, starts in _documents(batches, 0, 16 * BATCH):
             kinds = classes.of(ids)
             rows = features(ids, kinds, starts)
+            branches.hold(ids, starts)
             for a in range(0, len(ids), BATCH):
                 part, own = rows[:, a : a + BATCH], kinds[a : a + BATCH]
                 grad = np.exp(class_log_probs(weights, part))
@@ -158,8 +234,22 @@ def _train(weights_sent, classes: Classes):
                     n = np.diff(np.append(first, len(order))).astype(np.float32)
                     step(sorted_rows[first], n, np.add.reduceat(grad[order], first, axis=0))
                 step(np.zeros(1, np.uint16), np.float32([len(own)]), grad.sum(axis=0, keepdims=True))
+                places, slopes = [], []
+                for _, own_rows, bias, side in branches.levels(ids, kinds, a, a + len(own)):
+                    slope = -side / (1 + np.exp(side * (bias + moved[own_rows].sum(axis=0))))
+                    places.append(own_rows.ravel())
+                    slopes.append(np.tile(slope, len(own_rows)))
+                if places:
+                    place = np.concatenate(places)
+                    n = np.bincount(place, minlength=len(moved)).astype(np.float32)
+                    mean = np.bincount(place, np.concatenate(slopes), len(moved)).astype(np.float32) / np.maximum(n, 1)
+                    moved_met += n
+                    moved_squares += mean * mean
+                    moved -= RATE * np.minimum(1, np.sqrt(n / 8)) / np.sqrt(moved_squares) * mean
         delta = (weights - start) * met[:, None]
         out = [(k, met[k : k + 256].tobytes(), delta[k : k + 256].astype(np.float32).tobytes()) for k in range(0, ROWS, 256) if met[k : k + 256].any()]
+        gone = (moved - start_branches) * moved_met
+        out += [(-1 - k // 8192, moved_met[k : k + 8192].tobytes(), gone[k : k + 8192].tobytes()) for k in range(0, len(moved), 8192) if moved_met[k : k + 8192].any()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "delta"])
 
     return run
@@ -183,24 +273,30 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "delta"])
 
 
-def trained(learned: DataFrame, classes: Classes, priors: np.ndarray) -> np.ndarray:
-    """The weight table after STEPS updates over shares of learned (text, share). What reaches the driver is one table a step."""
+def trained(learned: DataFrame, classes: Classes, priors: np.ndarray, branches: Branches, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight table and the branches' weights after STEPS updates over shares of learned (text, share). What reaches the driver is one table a step."""
     spark = learned.sparkSession
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[0] = np.log(priors)
+    moved = np.zeros(branches.rows, np.float32)
     schema = "slice bigint, met binary, delta binary"
     for step in range(STEPS):
-        sent = spark.sparkContext.broadcast(weights)
-        deltas = learned.where(F.col("share") == step).select("text").mapInArrow(_train(sent, classes), schema)
+        sent = spark.sparkContext.broadcast((weights, moved, branches))
+        deltas = learned.where(F.col("share") == step).select("text").coalesce(max(1, -(-tokens // TASK_TOKENS))).mapInArrow(_train(sent, classes), schema)
         # two levels, so that no task adds up the rows of all others
         some = deltas.withColumn("__some", F.spark_partition_id() % 64)
         once = some.repartition("slice", "__some").select("slice", "met", "delta").sortWithinPartitions("slice").mapInArrow(_summed, schema)
         total = once.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, schema)
-        weights = weights.copy()
+        weights, moved = weights.copy(), moved.copy()
         for row in total.toLocalIterator():
-            met, delta = np.frombuffer(row.met, np.float32), np.frombuffer(row.delta, np.float32).reshape(-1, CLASSES)
+            met, delta = np.frombuffer(row.met, np.float32), np.frombuffer(row.delta, np.float32)
+            if row.slice < 0:
+                k = (-1 - row.slice) * 8192
+                moved[k : k + 8192] += delta / np.maximum(met, 1)
+                continue
+            delta = delta.reshape(-1, CLASSES)
             weights[row.slice : row.slice + 256] += delta / np.maximum(met, 1)[:, None]
-    return weights
+    return weights, moved
 
 
 def frequent_words(vocabulary: DataFrame, most: int = SENT_WORDS) -> DataFrame:
@@ -232,22 +328,25 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
     for r in by_class:
         sizes[r.k], kinds[r.k] = r.n, r.v
     priors = (sizes + 1) / (total + CLASSES)
-    weights = trained(learned, classes, priors)
+    branches = branches_of(vocabulary, top, distinct)
+    weights, moved = trained(learned, classes, priors, branches, total)
     frequent = frequent_words(vocabulary).toPandas().sort_values("token")
     known, counts = frequent["token"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
     within = np.log10(sizes + kinds + 1)
     within[BY_ENDING:] = 0  # classes of one word
-    sent = spark.sparkContext.broadcast((weights, known, counts, within))  # bounded by ROWS and SENT_WORDS
+    sent = spark.sparkContext.broadcast((weights, moved, branches, known, counts, within))  # bounded by ROWS, MOST_BRANCH_ROWS, BY_ENDING << DEPTH and SENT_WORDS
     row = source.select(*[c for c in docs.columns if c != text], F.col(text).alias("__text"))
     n_kept = len(docs.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, counts, within = sent.value
+        weights, moved, branches, known, counts, within = sent.value
         for batch, a, b, ids, starts in _documents(batches, n_kept, 4 * BATCH):
             kinds = classes.of(ids)
             rows = features(ids, kinds, starts)
             shares = np.concatenate([class_log_probs(weights, rows[:, i : i + BATCH])[np.arange(len(kinds[i : i + BATCH])), kinds[i : i + BATCH]] for i in range(0, len(ids), BATCH)]).astype(np.float64) / np.log(10)
             shares -= within[kinds]
+            branches.hold(ids, starts)
+            gains = np.concatenate([branches.gains(moved, ids, kinds, i, min(i + BATCH, len(ids))) for i in range(0, len(ids), BATCH)]) / np.log(10)
             at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
             there = known[at] == ids if len(known) else np.zeros(len(ids), bool)
             log_c = np.where(there, np.log10(counts[at] + 1.0), 0.0) if len(known) else np.zeros(len(ids))
@@ -255,21 +354,21 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
             ends = np.append(starts[1:], len(ids))
             sums = lambda x: np.add.reduceat(x, starts)
             rare = np.concatenate(([0], np.cumsum(~there)))[np.append(starts, len(ids))]
-            lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(ids[~there]))
-            columns = [pa.array(ends - starts, pa.int64()), pa.array(sums(there.astype(np.int64))), pa.array(sums(log_c)), pa.array(sums(shares + np.where(single, 0.0, log_c))), lists]
+            lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.StructArray.from_arrays([pa.array(ids[~there]), pa.array(gains[~there])], ["token", "gain"]))
+            columns = [pa.array(ends - starts, pa.int64()), pa.array(sums(there.astype(np.int64))), pa.array(sums(log_c)), pa.array(sums(shares + np.where(single, 0.0, log_c) + np.where(there, gains, 0.0))), lists]
             fields = [*list(batch.schema)[:n_kept], *(pa.field(n, c.type) for n, c in zip(("n_tokens", "__known", "__base", "__model", "__rare"), columns, strict=True))]
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n_kept]), *columns], schema=pa.schema(fields))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in row.schema.fields[:n_kept])
-    more = "n_tokens bigint, __known bigint, __base double, __model double, __rare array<bigint>"
+    more = "n_tokens bigint, __known bigint, __base double, __model double, __rare array<struct<token:bigint,gain:double>>"
     scored = stored(row.mapInArrow(run, f"{types}, {more}").withColumn("__row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("__row", F.explode("__rare").alias("token"))
-    found = rare.join(vocabulary, "token").groupBy("__row").agg(F.count("*").alias("__n"), F.sum(F.log10(F.col("c") + 1)).alias("__log_c"))
+    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.token", "r.gain")
+    found = rare.join(vocabulary, "token").groupBy("__row").agg(F.count("*").alias("__n"), F.sum(F.log10(F.col("c") + 1)).alias("__log_c"), F.sum("gain").alias("__gain"))
     added = scored.drop("__rare").join(found, "__row", "left")
     more_log = F.coalesce(F.col("__log_c"), F.lit(0.0))
     return added.select(
         *[c for c in docs.columns if c != text],
         "n_tokens", (F.col("__known") + F.coalesce(F.col("__n"), F.lit(0))).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),
         (F.col("__base") + more_log - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        (F.col("__model") + more_log).alias("score"),
+        (F.col("__model") + more_log + F.coalesce(F.col("__gain"), F.lit(0.0))).alias("score"),
     )

@@ -261,3 +261,30 @@ def test_class_softmax_is_a_distribution():
     assert np.allclose(np.exp(maxent.class_log_probs(weights, rows)).sum(axis=1), 1, atol=1e-4)
     alone = maxent.features(maxent.token_ids("x"), classes.of(maxent.token_ids("x")), np.array([0]))
     assert (rows[:, 8:] == alone).all()  # contexts end at a document's start
+
+
+def test_context_tells_words_of_a_class_apart(spark):
+    """Pairs of words that always follow each other, all of one class: only the context within the class can tell which follows."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}zz" for k in range(400)]
+    text = lambda shift: " ".join(f"{words[k]} {words[(k + shift) % 400]}" for k in rng.integers(0, 400, 200))
+    rows = [(i, text(7), True) for i in range(200)] + [(1000, text(7), False), (1001, text(8), False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean").repartition(2)
+    got = {r.doc_id: r.score for r in maxent.score(docs).where("NOT learn").collect()}
+    assert got[1000] > got[1001] + 20
+
+
+def test_branches_make_a_distribution():
+    rng = np.random.default_rng(5)
+    ids = np.unique(np.array([maxent.token_ids(f"word{k}")[0] for k in range(3000)]))
+    kinds = maxent.Classes([]).of(ids)
+    counts, depth = rng.integers(1, 50, len(ids)), 8
+    leaves = np.zeros((maxent.BY_ENDING, 1 << depth))
+    leaf = (ids.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)
+    np.add.at(leaves, (kinds, leaf), counts)
+    branches = maxent.Branches(leaves, 1 << 16)
+    branches.kept = [np.full(len(ids), 5), np.full(len(ids), 6).view(np.uint64), np.full(len(ids), 7), None, None]  # one context for all
+    gains = branches.gains(rng.normal(size=1 << 16).astype(np.float32), ids, kinds, 0, len(ids))
+    for k in set(kinds.tolist()):
+        own = kinds == k
+        assert np.isclose((counts[own] / counts[own].sum() * np.exp(gains[own])).sum(), 1, atol=1e-4) and np.abs(gains[own]).max() > 0.1
