@@ -32,8 +32,8 @@ from .quality import bucket_sql
 
 #: Classes: those by last bytes, then the most frequent words', the end token's last.
 CLASSES, BY_ENDING = 32, 16
-#: Rows of the weight table.
-ROWS = 1 << 15
+#: Rows of the weight table: as many as words, a power of two from ROWS to MOST_ROWS (so that rows have 16 bits).
+ROWS, MOST_ROWS = 1 << 15, 1 << 16
 #: Levels of a class's tree at most, with one word a leaf up to BY_ENDING << DEPTH words; the words of a leaf share by count.
 DEPTH = 14
 #: Weights of the branches: as many as words, a power of two within these.
@@ -93,10 +93,10 @@ class Classes:
         return np.where(self.ids[at] == ids, self.classes[at], (ids.view(np.uint64) & _LOW).astype(np.int64))
 
 
-def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
+def _hashed(x: np.ndarray, salt: int, n_rows: int) -> np.ndarray:
     x = (x.view(np.uint64) if x.dtype == np.int64 else x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0xD6E8FEB86659FD93 % (1 << 64))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.maximum((x >> np.uint64(64 - (ROWS - 1).bit_length())).astype(np.uint16), 1)  # row 0 is the bias
+    return np.maximum((x >> np.uint64(64 - (n_rows - 1).bit_length())).astype(np.uint16), 1)  # row 0 is the bias
 
 
 def _contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,10 +158,15 @@ class Branches:
         return found
 
 
+def table_rows(distinct: int, least: int, most: int) -> int:
+    """Rows of a hashed table for so many words."""
+    return min(most, max(least, 1 << (max(1, distinct) - 1).bit_length()))
+
+
 def branches_of(vocabulary: DataFrame, top: list[int], distinct: int) -> Branches:
     """Trees whose depth and number of weights follow the number of words."""
     depth = min(DEPTH, max(1, (max(1, distinct) // BY_ENDING).bit_length()))
-    rows = min(MOST_BRANCH_ROWS, max(LEAST_BRANCH_ROWS, 1 << (max(1, distinct) - 1).bit_length()))
+    rows = table_rows(distinct, LEAST_BRANCH_ROWS, MOST_BRANCH_ROWS)
     own = vocabulary.where(~F.col("token").isin([*top, END]))
     leaf = F.pmod("token", F.lit(BY_ENDING)) * (1 << depth) + F.shiftrightunsigned("token", 64 - depth)
     held = own.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("n")).toPandas()  # BY_ENDING << DEPTH rows at most
@@ -170,13 +175,13 @@ def branches_of(vocabulary: DataFrame, top: list[int], distinct: int) -> Branche
     return Branches(leaves.reshape(BY_ENDING, -1), rows)
 
 
-def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray, n_rows: int = ROWS) -> np.ndarray:
     """(4, tokens) rows of the weight table beside the bias, row 0; contexts don't go beyond a document's start."""
     w1, pair, w2, first, second = _contexts(ids, starts)
     c1, c2 = np.roll(classes, 1), np.roll(classes, 2)
     c1[first] = CLASSES
     c2[first | second] = CLASSES
-    return np.stack((_hashed(w1, 1), _hashed(pair, 2), _hashed(w2, 3), _hashed((c1 * (CLASSES + 1) + c2).astype(np.int64), 4)))
+    return np.stack((_hashed(w1, 1, n_rows), _hashed(pair, 2, n_rows), _hashed(w2, 3, n_rows), _hashed((c1 * (CLASSES + 1) + c2).astype(np.int64), 4, n_rows)))
 
 
 def class_log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -210,8 +215,8 @@ def _train(weights_sent, classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, start_branches, branches = weights_sent.value
         moved, moved_met, moved_squares = start_branches.copy(), np.zeros(len(start_branches), np.float32), np.ones(len(start_branches), np.float32)
-        weights, met = start.copy(), np.zeros(ROWS, np.float32)
-        squares = np.ones(ROWS, np.float32)
+        weights, met = start.copy(), np.zeros(len(start), np.float32)
+        squares = np.ones(len(start), np.float32)
 
         def step(touched: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
             met[touched] += n
@@ -221,7 +226,7 @@ def _train(weights_sent, classes: Classes):
 
         for _, _, _, ids, starts in _documents(batches, 0, 16 * BATCH):
             kinds = classes.of(ids)
-            rows = features(ids, kinds, starts)
+            rows = features(ids, kinds, starts, len(weights))
             branches.hold(ids, starts)
             for a in range(0, len(ids), BATCH):
                 part, own = rows[:, a : a + BATCH], kinds[a : a + BATCH]
@@ -247,7 +252,7 @@ def _train(weights_sent, classes: Classes):
                     moved_squares += mean * mean
                     moved -= RATE * np.minimum(1, np.sqrt(n / 8)) / np.sqrt(moved_squares) * mean
         delta = (weights - start) * met[:, None]
-        out = [(k, met[k : k + 256].tobytes(), delta[k : k + 256].astype(np.float32).tobytes()) for k in range(0, ROWS, 256) if met[k : k + 256].any()]
+        out = [(k, met[k : k + 256].tobytes(), delta[k : k + 256].astype(np.float32).tobytes()) for k in range(0, len(start), 256) if met[k : k + 256].any()]
         gone = (moved - start_branches) * moved_met
         out += [(-1 - k // 8192, moved_met[k : k + 8192].tobytes(), gone[k : k + 8192].tobytes()) for k in range(0, len(moved), 8192) if moved_met[k : k + 8192].any()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "delta"])
@@ -273,10 +278,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "delta"])
 
 
-def trained(learned: DataFrame, classes: Classes, priors: np.ndarray, branches: Branches, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+def trained(learned: DataFrame, classes: Classes, priors: np.ndarray, branches: Branches, tokens: int, n_rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The weight table and the branches' weights after STEPS updates over shares of learned (text, share). What reaches the driver is one table a step."""
     spark = learned.sparkSession
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    weights = np.zeros((n_rows, CLASSES), np.float32)
     weights[0] = np.log(priors)
     moved = np.zeros(branches.rows, np.float32)
     schema = "slice bigint, met binary, delta binary"
@@ -329,12 +334,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
         sizes[r.k], kinds[r.k] = r.n, r.v
     priors = (sizes + 1) / (total + CLASSES)
     branches = branches_of(vocabulary, top, distinct)
-    weights, moved = trained(learned, classes, priors, branches, total)
+    weights, moved = trained(learned, classes, priors, branches, total, table_rows(distinct, ROWS, MOST_ROWS))
     frequent = frequent_words(vocabulary).toPandas().sort_values("token")
     known, counts = frequent["token"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
     within = np.log10(sizes + kinds + 1)
     within[BY_ENDING:] = 0  # classes of one word
-    sent = spark.sparkContext.broadcast((weights, moved, branches, known, counts, within))  # bounded by ROWS, MOST_BRANCH_ROWS, BY_ENDING << DEPTH and SENT_WORDS
+    sent = spark.sparkContext.broadcast((weights, moved, branches, known, counts, within))  # bounded by MOST_ROWS, MOST_BRANCH_ROWS, BY_ENDING << DEPTH and SENT_WORDS
     row = source.select(*[c for c in docs.columns if c != text], F.col(text).alias("__text"))
     n_kept = len(docs.columns) - 1
 
@@ -342,7 +347,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
         weights, moved, branches, known, counts, within = sent.value
         for batch, a, b, ids, starts in _documents(batches, n_kept, 4 * BATCH):
             kinds = classes.of(ids)
-            rows = features(ids, kinds, starts)
+            rows = features(ids, kinds, starts, len(weights))
             shares = np.concatenate([class_log_probs(weights, rows[:, i : i + BATCH])[np.arange(len(kinds[i : i + BATCH])), kinds[i : i + BATCH]] for i in range(0, len(ids), BATCH)]).astype(np.float64) / np.log(10)
             shares -= within[kinds]
             branches.hold(ids, starts)

@@ -288,3 +288,13 @@ def test_branches_make_a_distribution():
     for k in set(kinds.tolist()):
         own = kinds == k
         assert np.isclose((counts[own] / counts[own].sum() * np.exp(gains[own])).sum(), 1, atol=1e-4) and np.abs(gains[own]).max() > 0.1
+
+
+def test_tables_grow_with_the_vocabulary(spark, monkeypatch):
+    sizes = []
+    real = maxent.trained
+    monkeypatch.setattr(maxent, "trained", lambda *a: sizes.append(tuple(map(len, out := real(*a)))) or out)
+    for n in (100, 70_000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), F.lit(True).alias("learn"))
+        assert maxent.score(docs).count() == n
+    assert sizes == [(1 << 15, 1 << 16), (1 << 16, 1 << 17)]
