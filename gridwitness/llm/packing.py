@@ -1,12 +1,11 @@
-"""Best-fit packing of tokenised documents into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of tokenised documents into sequences, planned on the driver over runs.
 
 Documents and gaps are kept sorted by size as runs: one run of equal documents a length, one run of
 equal gaps a size. As lengths are whole numbers up to the capacity, there are at most so many runs of documents
-whatever the corpus holds, and a round's sweep reads runs, not documents. In a round each run of
-documents, longest first, goes to its successor, the smallest gaps that hold it; where more
-documents want a run of gaps than it has, those of lower rank get them and the others go to the
-next successor; the gaps then shrink and are merged into the order. What a sweep finds no gap for opens new
-sequences. The rounds yield intervals of ranks; every document looks its own rank up in them, in parallel.
+whatever the corpus holds, and the plan, one sequential loop on the driver, reads runs, not documents. Each run of
+documents, longest first, goes to its successor, the smallest gaps that hold it; those of lower rank get them and the
+others go to the next successor; the gaps then shrink and are merged into the order. What finds no gap opens new
+sequences. The plan yields intervals of ranks; every document looks its own rank up in them, in parallel.
 A document's rank among those of its length is a count by (length, bucket of its id) plus a running sum
 over the buckets, so equal lengths are never one task's work.
 
@@ -127,7 +126,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """The rounds over runs: (length, first rank, ranks, sequences' first number, documents side by side in one, offset).
+    """The sweep over runs: (length, first rank, ranks, sequences' first number, documents side by side in one, offset).
 
     Runs of gaps are (size, first sequence, sequences). A sweep goes down the lengths; of a run of k equal gaps a
     run of documents takes as many sequences as it can fill, with as many documents in each as fit. At most one
