@@ -1,7 +1,7 @@
-"""N-gram Jaccard join with prefix trees, exact at any group size.
+"""N-gram Jaccard join, exact at any group size: block signatures and sketches find candidates, prefix trees verify them.
 
 Every set of n-grams is put in one global order (of 64-bit hashes) and cut at fixed places of that order into
-blocks, the labels of the first levels of a distributed prefix tree. Two sets with similarity t or more and at most M
+blocks, whose hashes are a set's labels. Two sets with similarity t or more and at most M
 n-grams each differ in at most d = 2M(1-t)/(1+t) n-grams, so of more than d blocks at least one is equal in both:
 sets meet under equal labels, and only there. Sizes fall in bands, each with its own number of blocks; a set that
 may have a partner in the next band is labelled for that too. Blocks without n-grams don't
