@@ -53,3 +53,25 @@ def test_entry_points(spark):
 
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["server_id", "dimension", "x", "z", "status", "state_digest", "id", "observed_at", "contributors"]
+
+
+def test_the_library_stands_without_the_corpus_folders(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    for gone in (("gridwitness/llm",), ("gridwitness/llm", "corpus_pipeline.py")):
+        copy = tmp_path / str(len(gone))
+        shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+        for name in gone:
+            path = copy / name
+            if path.is_dir():
+                shutil.rmtree(path)
+            elif path.exists():
+                os.remove(path)
+        code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(*sorted(e.queries()))"
+        said = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+        assert said.stdout.split() == sorted(registry.QUERIES)
