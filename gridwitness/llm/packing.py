@@ -1,17 +1,22 @@
-"""Best-fit packing of tokenised documents into sequences, planned on the driver over runs.
+"""Bulk-synchronous best-fit packing of tokenised documents into sequences.
 
-Documents and gaps are kept sorted by size as runs: one run of equal documents a length, one run of
-equal gaps a size. As lengths are whole numbers up to the capacity, there are at most so many runs of documents
-whatever the corpus holds, and the plan, one sequential loop on the driver, reads runs, not documents. Each run of
-documents, longest first, goes to its successor, the smallest gaps that hold it; those of lower rank get them and the
-others go to the next successor; the gaps then shrink and are merged into the order. What finds no gap opens new
-sequences. The plan yields intervals of ranks; every document looks its own rank up in them, in parallel.
-A document's rank among those of its length is a count by (length, bucket of its id) plus a running sum
-over the buckets, so equal lengths are never one task's work.
+Documents and gaps are tables of runs: (length, first rank, number) of documents alike in length, (size, first sequence, number)
+of gaps alike in size. A round puts both in order of size by a range partitioning, and a sweep goes down each range,
+documents longest first: every run of documents takes its successor, the smallest gaps that hold it, as many side by side as fit.
+Where several want one gap, those of higher rank (longer, then by rank within the length) have it and the others go on to the next
+successor. What a range leaves over, documents without a gap and gaps without a document, is swept again across ranges. Then
+gaps are updated, and while documents are left new sequences are opened, never more than must be: as many as the
+volume left lacks, or as the longest documents left need that no two gaps can share. The rounds end with the documents.
+
+As lengths are whole numbers up to the capacity there are at most so many runs of documents whatever the corpus holds, so a round's tables
+are small; no single document takes part in them. The plan yields intervals of ranks; every document looks its own rank up in
+them, in parallel. A document's rank among those of its length is a count by (length, bucket of its row) plus a running sum over the
+buckets, so equal lengths, ids or rows are never one task's work.
 
 Defined cases. A null text is empty and becomes its end token alone. Only documents longer than the
-capacity are cut, into pieces of the capacity and a last one; a full piece is a sequence of its own. Repeated rows
-are packed each. Ties of length go by (id, piece), so a rerun packs alike. An empty table gives no rows.
+capacity are cut, into pieces of the capacity and a last one; a full piece is a sequence of its own. Very long texts are tokenised whole.
+Repeated rows and null ids are packed each. Ties of length go by (id, piece, row). An empty table gives no rows. Other columns, whatever
+their names, don't take part.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ import re
 import sys
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +40,7 @@ from .common import WORD_CACHE, stored, use
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 
-#: Up to this code point, composing and lower-casing a text changes characters one by one, İ (U+0130) apart.
+#: Up to this code point, composing and lower-casing a text changes characters one by one; those that are lower-cased beyond it or into two are apart.
 _SIMPLE = 0x2FF
 #: Fixed value: the split that word tokenizers of this family make before they merge bytes.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -47,7 +52,7 @@ def _class(chars) -> str:
 
 def _patterns() -> tuple[re.Pattern, re.Pattern]:
     """What may not be tokenised word by word (characters that may compose, odd spaces, controls), and _SPLIT for the rest."""
-    plain = [c for c in map(chr, range(_SIMPLE + 1)) if c in "\t\n\r " or (c.isprintable() and not c.isspace() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1)]
+    plain = [c for c in map(chr, range(_SIMPLE + 1)) if c in "\t\n\r " or (c.isprintable() and not c.isspace() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and ord(c.lower()) <= _SIMPLE)]
     letters, numbers = (_class(c for c in plain if unicodedata.category(c)[0] == k) for k in "LN")
     return re.compile(f"[^{_class(plain)}]"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+")
 
@@ -82,10 +87,11 @@ def encoder(path: str = TOKENIZER) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     odd, split = _patterns()
     by_word = WordIds(tokenizer.model, split)
     rules = json.loads(tokenizer.to_str())
+    # Texts that hold one of the tokenizer's own strings, in whatever case, go through it whole.
+    odd = re.compile("|".join([odd.pattern, *(f"(?i:{re.escape(x['content'])})" for x in rules["added_tokens"])]))
     # Runs are tokenised apart only under the rules that this shortcut is written for.
     steps = [x.get("pattern", {}).get("Regex", x["type"]) for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
     changes = [x.get("pattern", {}).get("Regex", x["type"]) for x in (rules["normalizer"] or {}).get("normalizers", [])]
@@ -125,60 +131,119 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """The sweep over runs: (length, first rank, ranks, sequences' first number, documents side by side in one, offset).
+#: Kinds of rows in a round's table: gaps, documents, and documents placed. By kind, size is the gap's or the documents' and first the sequence's number or the rank.
+GAP, DOCUMENT, PLACED = 0, 1, 2
+RUNS = "kind int, size bigint, first bigint, many bigint, sequence bigint, side bigint, gap bigint"
+
 
-    Runs of gaps are (size, first sequence, sequences). A sweep goes down the lengths; of a run of k equal gaps a
-    run of documents takes as many sequences as it can fill, with as many documents in each as fit. At most one
-    run of gaps a length is left in part, so runs, and the plan, are bounded by the capacity.
+def sweep(rows: Iterator[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """One way down runs (kind, size, first, many) in order of falling size, gaps first: RUNS of what was placed, and of the gaps and documents left.
+
+    The open gaps are a stack with the smallest on top, as no later document is longer; what is left of a gap that was used
+    comes up again when the sweep reaches its size.
     """
-    gaps: list[tuple[int, int, int]] = []
-    made: list[tuple[int, int, int, int, int, int]] = []
-    opened = 0
-    for length in sorted((n for n in counts if n), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, (length, -1, -1))
-            if at < len(gaps):
-                size, first, many = gaps.pop(at)
-                side = size // length
-            else:
-                size, first, side = capacity, opened, capacity // length
-                many = -(-left // side)
-                opened += many
-            full = min(many, left // side)
-            if full:
-                made.append((length, rank, full * side, first, side, capacity - size))
-                if size - side * length:
-                    insort(gaps, (size - side * length, first, full))
-                rank, left, first, many = rank + full * side, left - full * side, first + full, many - full
-            if many and left and left < side:  # the last sequence takes what is left
-                made.append((length, rank, left, first, side, capacity - size))
-                insort(gaps, (size - left * length, first, 1))
-                rank, left, first, many = rank + left, 0, first + 1, many - 1
-            if many:
-                insort(gaps, (size, first, many))
-    return made
+    open_gaps: list[tuple[int, int, int]] = []
+    used: list[tuple[int, int, int]] = []  # a heap by falling size
+    shortest = 0
+    for kind, size, first, many in rows:
+        while used and -used[0][0] >= size:
+            below, at, n = heappop(used)
+            open_gaps.append((-below, at, n))
+        if kind == GAP:
+            open_gaps.append((size, first, many))
+            continue
+        while many and open_gaps:
+            gap, at, n = open_gaps.pop()
+            side = gap // size
+            full = min(n, many // side)
+            for gaps, beside in ((full, side), (1 if many - full * side and full < n else 0, many - full * side)):
+                if not gaps:
+                    continue
+                yield PLACED, size, first, gaps * beside, at, beside, gap
+                if left := gap - beside * size:
+                    if left >= size:
+                        open_gaps.append((left, at, gaps))
+                    else:
+                        heappush(used, (-left, at, gaps))
+                first, many, at, n = first + gaps * beside, many - gaps * beside, at + gaps, n - gaps
+            if n:
+                if open_gaps and open_gaps[-1][0] < gap:  # what the last gap used has left is smaller
+                    open_gaps.insert(-1, (gap, at, n))
+                else:
+                    open_gaps.append((gap, at, n))
+        if many:
+            shortest = size
+            yield DOCUMENT, size, first, many, 0, 0, 0
+    for gap, at, n in (*open_gaps, *((-size, at, n) for size, at, n in used)):
+        if gap >= shortest:
+            yield GAP, gap, at, n, 0, 0, 0
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    placed: list[tuple] = []
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] == PLACED:
+                    placed.append(row)
+                else:
+                    yield row[:4]
+
+    found = [*sweep(rows()), *placed]
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int32() if i == 0 else pa.int64()) for i in range(7)], names=[f.split()[0] for f in RUNS.split(", ")])
+
+
+def needed(left: list[tuple[int, int]], gaps: int, capacity: int) -> int:
+    """Sequences to open for documents left (length, number), that fit no gap, beside that volume of gaps: no packing gets by with fewer."""
+    if not left:
+        return 0
+    volume = sum(size * many for size, many in left) - gaps
+    side = capacity // max(size for size, _ in left)
+    widest = sum(many for size, many in left if capacity // size == side)
+    return max(-(-volume // capacity), -(-widest // side))
+
+
+def plan(lengths: DataFrame, capacity: int, ranges: int = 8) -> DataFrame:
+    """PLACED rows for documents of each length (length, n), after as many rounds as it takes."""
+    spark = lengths.sparkSession
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("sequence", "side", "gap")]
+    state = lengths.select(F.lit(DOCUMENT).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("first"), F.col("n").alias("many"), *zero)
+    opened, made = 0, None
+    while True:
+        # One row for each length left, capacity at most, and one for the gaps.
+        held = state.where(F.col("kind") != PLACED).groupBy("kind", F.when(F.col("kind") == DOCUMENT, F.col("size")).alias("size")).agg(F.sum("many").alias("many"), F.sum(F.col("size") * F.col("many")).alias("volume")).collect()
+        more = needed([(r.size, r.many) for r in held if r.kind == DOCUMENT], sum(r.volume for r in held if r.kind == GAP), capacity)
+        if not more:
+            return made if made is not None else state.where("false")
+        fresh = spark.range(1).select(F.lit(GAP).alias("kind"), F.lit(capacity).cast("bigint").alias("size"), F.lit(opened).cast("bigint").alias("first"), F.lit(more).cast("bigint").alias("many"), *zero)
+        order = (F.desc("size"), F.asc("kind"), F.asc("first"))
+        runs = state.where(F.col("kind") != PLACED).unionByName(fresh)
+        by_range = runs.repartitionByRange(ranges, F.desc("size"), F.asc("kind")).sortWithinPartitions(*order).mapInArrow(_swept, RUNS)
+        # Across ranges: what is left are runs, not documents, of each length one at most.
+        state = stored(by_range.repartition(1).sortWithinPartitions(*order).mapInArrow(_swept, RUNS), "packing-round")
+        placed = state.where(F.col("kind") == PLACED)
+        made, opened = placed if made is None else made.unionByName(placed), opened + more
 
 
 def pack(parts: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
     """parts, as pieces() gives them, with sequence_id and offset."""
-    parts = stored(parts, "pieces")
+    parts = stored(parts.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     spark = parts.sparkSession
-    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}  # capacity rows at most
-    made = plan(counts, capacity)
-    rows = np.array(made, np.int64).reshape(-1, 6)
+    lengths = stored(parts.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    columns = [c for c in parts.columns if c != "__row"]
+    made = plan(lengths, capacity).select("size", "first", "sequence", "side", "gap").collect()
+    rows = np.array(made, np.int64).reshape(-1, 5)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     keys = rows[:, 0] * (1 << 40) + rows[:, 1]
-    sent = spark.sparkContext.broadcast((keys, rows))  # its rows are bounded by the capacity, see plan()
-    buckets = max(1, -(-sum(counts.values()) // bucket_rows))
-    bucketed = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    # doc_id and piece may be repeated; equal rows then share a number here and are told apart below by count.
+    sent = spark.sparkContext.broadcast((keys, rows))  # runs: their number is bounded by the capacity and the rounds, not by the documents
+    total = lengths.agg(F.sum("n").alias("n")).first().n or 0
+    buckets = max(1, -(-total // bucket_rows))
+    bucketed = parts.withColumn("__bucket", F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "__bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("n")).alias("before"))
-    local = bucketed.withColumn("__at", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    placed = local.join(before, ["length", "__bucket"]).withColumn("__rank", F.col("before") + F.col("__at")).drop("__bucket", "__at", "before")
-    columns = [c for c in placed.columns if c != "__rank"]
+    local = bucketed.withColumn("__at", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "__row")) - 1)
+    placed = local.join(before, ["length", "__bucket"]).select(*columns, (F.col("before") + F.col("__at")).alias("__rank"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = sent.value
@@ -190,7 +255,7 @@ def pack(parts: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> D
             row = rows[np.searchsorted(keys, length * (1 << 40) + rank, side="right") - 1]
             k = rank - row[:, 1]
             keep = [batch.column(batch.schema.get_field_index(n)) for n in columns]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(row[:, 3] + k // row[:, 4]), pa.array(row[:, 5] + k % row[:, 4] * length)], names=[*columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(row[:, 2] + k // row[:, 3]), pa.array(capacity - row[:, 4] + k % row[:, 3] * length)], names=[*columns, "sequence_id", "offset"])
 
     types = {f.name: f.dataType.simpleString() for f in placed.schema}
     return placed.mapInArrow(look_up, ", ".join([*(f"{c} {types[c]}" for c in columns), "sequence_id bigint, offset bigint"]))
