@@ -1,20 +1,24 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The first factor is a softmax over CLASSES whose weights
-are rows of one hashed table, chosen by the features: none (bias), previous word, the two previous words,
-the word before the previous one (skip), and the two previous classes. The second is the word's share in the class, add-one
-smoothed with one more share for all unknown words, and for known words moved by the context: the words of a class are the leaves of
-a binary tree by the bits of their hashes, whose depth grows with the vocabulary. Each branch is a logistic model with the share
-of its words as bias, and weights hashed from (previous word, branch), (two previous words, branch) and (skip, branch). With all
-weights 0 the product of the branches is the share. Classes: the end token, each of the most frequent words, and the others by their last two bytes.
-
-Training goes over all learned documents once, in STEPS distributed updates: in each every task takes gradient steps on its
-share of the documents from the common weights, and the row deltas are averaged by how often each task met the row. Counts of
+P(word | context) = P(class | context) * P(part | class, context) * P(word | part). The first factor is a softmax over CLASSES, the second one
+over the PARTS of a class; both take their weights from the rows of a hashed table that the context's features choose: none (bias),
+the previous word, the two previous words, the word before the previous one (skip), and, for classes, the two previous classes. In the second
+factor the class is part of each feature, and the bias is the part's share of the class. The third is the word's
+add-one share of its part; the unknown words of a class have one more share of it together, whatever the context.
+
+Classes: the end token, each of the most frequent words, and the others by their endings. Endings that follow the same endings are
+put in one class by clustering a table of counts whose size is fixed (ENDINGS by FOLLOWED). A word's part is told by bits of its hash.
+
+Training is by STEPS distributed gradient updates. Each takes the documents whose id hashes to it: every task adds up, at the weights the step
+began with, how often its tokens met each (feature, class) and how often the model expects them to. The
+gradient is the difference of the two sums over all tasks; each weight moves along it by RATE times the logarithm of their
+ratio, the step of iterative scaling. The sums depend on neither tasks nor order, so scores don't depend on how the table is split. Counts of
 words are taken over all learned documents. In scoring, the most frequent words' counts (a bounded number) are sent to
 all tasks; all other words are looked up by a join, one row an occurrence.
 
 Defined cases. A null or empty text is the end token alone. Documents with a null doc_id are scored, never learned from and not held out.
 Repeated documents count and are scored each time. With nothing to learn from all words are unknown. Very long texts are read whole.
+Words of equal counts go by their hashes. An empty table gives no rows. Other columns are kept, whatever their names; those added begin with __lm_.
 """
 
 from __future__ import annotations
@@ -27,38 +31,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, stored, use, words
+from .common import WORD_CACHE, stored, use, with_columns, words
 from .quality import bucket_sql
 
-#: Classes: those by last bytes, then the most frequent words', the end token's last.
+#: Classes: those of endings, then the most frequent words', the end token's last.
 CLASSES, BY_ENDING = 32, 16
-#: Rows of the weight table: as many as words, a power of two from ROWS to MOST_ROWS (so that rows have 16 bits).
+#: Parts of each class of endings.
+PARTS = 16
+#: Hashes of words' last three bytes, and of those before them, that classes are made from.
+ENDINGS, FOLLOWED = 4096, 64
+#: Rows of either weight table: as many as words, a power of two from ROWS to MOST_ROWS (so that rows have 16 bits).
 ROWS, MOST_ROWS = 1 << 15, 1 << 16
-#: Levels of a class's tree at most, with one word a leaf up to BY_ENDING << DEPTH words; the words of a leaf share by count.
-DEPTH = 14
-#: Weights of the branches: as many as words, a power of two within these.
-LEAST_BRANCH_ROWS, MOST_BRANCH_ROWS = 1 << 16, 1 << 20
 #: Words whose counts are sent to all tasks.
 SENT_WORDS = 200_000
-STEPS = 2
-RATE = 0.35
-#: Tokens of a gradient step.
+STEPS = 3
+RATE = 0.3
+#: Occurrences that either sum is taken to have besides.
+SMOOTHING = 0.5
+#: Tokens whose probabilities are held at a time.
 BATCH = 16_384
-#: Tokens a training task has on average at least: each task passes on a table of deltas, whatever it has learned from.
-TASK_TOKENS = 4_000_000
+#: Tokens a training task has on average at least: each task passes on a table of sums, whatever it has learned from.
+TASK_TOKENS = 16_000_000
 #: Tokens that are counted together.
 _CHUNK = 4_000_000
-_LOW = np.uint64(BY_ENDING - 1)
-END = (xxhash.xxh3_64_intdigest(b"\x00end") & ~(BY_ENDING - 1)) - (1 << 63)
+_LOW = ENDINGS - 1
+END = (xxhash.xxh3_64_intdigest(b"\x00end") & ~_LOW) - (1 << 63)
 
 
 class WordIds(dict):
-    """A signed 64-bit id for each word: a hash whose low bits are the class by its last two bytes."""
+    """A signed 64-bit id for each word: a hash whose low bits are the hash of its last three bytes."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        value = self[word] = (xxhash.xxh3_64_intdigest(word) & ~(BY_ENDING - 1) | xxhash.xxh32_intdigest(word[-2:]) % BY_ENDING) - (1 << 63)
+        value = self[word] = (xxhash.xxh3_64_intdigest(word) & ~_LOW | xxhash.xxh32_intdigest(word[-3:]) & _LOW) - (1 << 63)
         return value
 
 
@@ -74,23 +80,77 @@ def token_ids(text: str | None) -> np.ndarray:
     return ids
 
 
-def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, _, ids, _ in _documents(rows, 0, _CHUNK):
+def _documents(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """(batch, first row, rows after the last, ids, starts) of runs of documents with about so many tokens."""
+    for batch in batches:
+        texts = batch.column(column).to_pylist()
+        a, held, n = 0, [], 0
+        for i, text in enumerate(texts):
+            held.append(token_ids(text))
+            n += len(held[-1])
+            if n >= tokens or i == len(texts) - 1:
+                sizes = np.array([len(x) for x in held])
+                yield batch, a, i + 1, np.concatenate(held), np.cumsum(sizes) - sizes
+                a, held, n = i + 1, [], 0
+
+
+def endings(ids: np.ndarray) -> np.ndarray:
+    return ids & np.int64(_LOW)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, token, c): words, and pairs of a word's ending and a hash of the one before."""
+    pack = lambda pair, found, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(found), pair)), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["pair", "token", "c"])
+    pairs = np.zeros(ENDINGS * FOLLOWED, np.int64)
+    for _, _, _, ids, starts in _documents(batches, 0, _CHUNK):
         found, n = np.unique(ids, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["token", "c"])
+        yield pack(False, found, n)
+        inside = ids != END  # a document's first word follows no other, and its end token belongs to no class of endings
+        after = inside.copy()
+        after[starts] = False
+        at = np.flatnonzero(after)
+        before = (endings(ids[at - 1]) * 2654435761 >> 7) % FOLLOWED
+        pairs += np.bincount(endings(ids[at]) * FOLLOWED + before, minlength=len(pairs))
+    there = np.flatnonzero(pairs)
+    yield pack(True, there, pairs[there])
+
+
+def clustered(pairs: np.ndarray, k: int = BY_ENDING, rounds: int = 25) -> np.ndarray:
+    """A class from 0 to k - 1 for each ending (a row of pairs): endings with similar shares of what they follow are together."""
+    n = pairs.sum(axis=1)
+    # distances are those of the square roots of shares, against shares of all; rare endings lean to the latter
+    overall = (pairs.sum(axis=0) + 1) / (pairs.sum() + pairs.shape[1])
+    points = np.sqrt((pairs + 20 * overall) / (n[:, None] + 20))
+    weight = np.sqrt(n)
+    centres = [points[int(np.argmax(n))]]
+    for _ in range(1, k):
+        far = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0) * weight
+        centres.append(points[int(np.argmax(far))])
+    centres = np.stack(centres)
+    for _ in range(rounds):
+        own = np.argmax(points @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+        for j in range(k):
+            if (mine := weight * (own == j)).any():
+                centres[j] = (points * mine[:, None]).sum(axis=0) / mine.sum()
+    return own
 
 
 class Classes:
-    """The class of each id, given the words that are classes of their own."""
+    """The class of each id, given the words that are classes of their own and the classes of endings."""
 
-    def __init__(self, top: list[int]) -> None:
+    def __init__(self, top: list[int], by_ending: np.ndarray) -> None:
         order = np.argsort(np.array([*top, END], np.int64))
         self.ids = np.array([*top, END], np.int64)[order]
         self.classes = (np.arange(len(top) + 1) + BY_ENDING)[order]
+        self.by_ending = by_ending.astype(np.int64)
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        return np.where(self.ids[at] == ids, self.classes[at], (ids.view(np.uint64) & _LOW).astype(np.int64))
+        return np.where(self.ids[at] == ids, self.classes[at], self.by_ending[endings(ids)])
+
+
+def part_of(ids: np.ndarray) -> np.ndarray:
+    return (ids.view(np.uint64) >> np.uint64(64 - (PARTS - 1).bit_length())).astype(np.int64)
 
 
 def _hashed(x: np.ndarray, salt: int, n_rows: int) -> np.ndarray:
@@ -99,209 +159,128 @@ def _hashed(x: np.ndarray, salt: int, n_rows: int) -> np.ndarray:
     return np.maximum((x >> np.uint64(64 - (n_rows - 1).bit_length())).astype(np.uint16), 1)  # row 0 is the bias
 
 
-def _contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The previous word, the two previous ones, the one before the previous, and where the first two don't exist."""
+def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray, n_rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(4, tokens) rows of the classes' table and (3, tokens) rows of the parts' beside the bias; contexts don't go beyond a document's start."""
     first = np.zeros(len(ids), bool)
     first[starts] = True
     second = np.zeros(len(ids), bool)
     second[starts[starts + 1 < len(ids)] + 1] = True
-    w1, w2 = np.roll(ids, 1), np.roll(ids, 2)
+    w1, w2, c1, c2 = np.roll(ids, 1), np.roll(ids, 2), np.roll(classes, 1), np.roll(classes, 2)
     w1[first] = 1
     w2[first | second] = 1
-    return w1, w1.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) + w2.view(np.uint64), w2, first, second
-
-
-class Branches:
-    """Trees of the words of each class by last bytes. odds: of each level the natural log-odds of a 1, by class and bits before; infinite where only one side has words."""
-
-    def __init__(self, leaves: np.ndarray, rows: int) -> None:
-        """leaves: (BY_ENDING, 1 << depth) counts of words, one more each."""
-        self.depth, self.rows = (leaves.shape[1] - 1).bit_length(), rows
-        self.odds: list[np.ndarray] = []
-        with np.errstate(divide="ignore", invalid="ignore"):
-            while leaves.shape[1] > 1:
-                zero, one = leaves[:, 0::2], leaves[:, 1::2]
-                self.odds.insert(0, (np.log(one) - np.log(zero)).astype(np.float32).ravel())
-                leaves = zero + one
-
-    def levels(self, ids: np.ndarray, kinds: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of tokens a to b and each level: places of tokens that meet a branch there, (3, places) rows of its weights, log-odds, and 1 or -1 for the side."""
-        w1, pair, w2, _, _ = self.kept
-        at = np.flatnonzero(kinds[a:b] < BY_ENDING)
-        bits, kind = ids[a:b][at].view(np.uint64), kinds[a:b][at].astype(np.uint64)
-        salted = [(x[a:b][at].view(np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) for k, x in enumerate((w1, pair, w2), 11)]
-        salted = [x ^ (x >> np.uint64(31)) for x in salted]
-        shift = np.uint64(64 - (self.rows - 1).bit_length())
-        for level, odds in enumerate(self.odds):
-            node = kind << np.uint64(level)
-            if level:
-                node = node | (bits >> np.uint64(64 - level))
-            own = odds[node.astype(np.int64)]
-            there = np.flatnonzero(np.isfinite(own))
-            if not len(there):
-                continue
-            branch = (node[there] + np.uint64(BY_ENDING << level)) * np.uint64(0xD6E8FEB86659FD93)
-            rows = np.stack([((x[there] ^ branch) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64) for x in salted])
-            side = ((bits[there] >> np.uint64(63 - level)) & np.uint64(1)).astype(np.float32) * 2 - 1
-            yield at[there], rows, own[there], side
-
-    def hold(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        """Keeps the contexts of ids for levels() of parts of them."""
-        self.kept = _contexts(ids, starts)
-
-    def gains(self, weights: np.ndarray, ids: np.ndarray, kinds: np.ndarray, a: int, b: int) -> np.ndarray:
-        """How much more likely the context makes each word within its class, in natural logarithms."""
-        found = np.zeros(b - a, np.float64)
-        for at, rows, bias, side in self.levels(ids, kinds, a, b):
-            moved = bias + weights[rows].sum(axis=0)
-            found[at] += np.logaddexp(0, -side * bias) - np.logaddexp(0, -side * moved)
-        return found
-
-
-def table_rows(distinct: int, least: int, most: int) -> int:
-    """Rows of a hashed table for so many words."""
-    return min(most, max(least, 1 << (max(1, distinct) - 1).bit_length()))
-
-
-def branches_of(vocabulary: DataFrame, top: list[int], distinct: int) -> Branches:
-    """Trees whose depth and number of weights follow the number of words."""
-    depth = min(DEPTH, max(1, (max(1, distinct) // BY_ENDING).bit_length()))
-    rows = table_rows(distinct, LEAST_BRANCH_ROWS, MOST_BRANCH_ROWS)
-    own = vocabulary.where(~F.col("token").isin([*top, END]))
-    leaf = F.pmod("token", F.lit(BY_ENDING)) * (1 << depth) + F.shiftrightunsigned("token", 64 - depth)
-    held = own.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("n")).toPandas()  # BY_ENDING << DEPTH rows at most
-    leaves = np.zeros(BY_ENDING << depth)
-    leaves[held["leaf"].to_numpy(np.int64)] = held["n"].to_numpy(np.float64)
-    return Branches(leaves.reshape(BY_ENDING, -1), rows)
-
-
-def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray, n_rows: int = ROWS) -> np.ndarray:
-    """(4, tokens) rows of the weight table beside the bias, row 0; contexts don't go beyond a document's start."""
-    w1, pair, w2, first, second = _contexts(ids, starts)
-    c1, c2 = np.roll(classes, 1), np.roll(classes, 2)
     c1[first] = CLASSES
     c2[first | second] = CLASSES
-    return np.stack((_hashed(w1, 1, n_rows), _hashed(pair, 2, n_rows), _hashed(w2, 3, n_rows), _hashed((c1 * (CLASSES + 1) + c2).astype(np.int64), 4, n_rows)))
+    pair = w1.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) + w2.view(np.uint64)
+    own = classes.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (
+        np.stack((_hashed(w1, 1, n_rows), _hashed(pair, 2, n_rows), _hashed(w2, 3, n_rows), _hashed(c1 * (CLASSES + 1) + c2, 4, n_rows))),
+        np.stack([_hashed(x.view(np.uint64) + own, salt, n_rows) for salt, x in ((5, w1), (6, pair), (7, w2))]),
+    )
 
 
-def class_log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(tokens, CLASSES) natural logarithms."""
+def log_softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """(tokens, outcomes) natural logarithms. bias: of all tokens, or of each."""
     z = weights[rows[0]]
     for own in rows[1:]:
         z += weights[own]
-    z += weights[0]
+    z += bias
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def _documents(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    """(batch, first row, rows after the last, ids, starts) of runs of documents with about so many tokens."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        a, held, n = 0, [], 0
-        for i, text in enumerate(texts):
-            held.append(token_ids(text))
-            n += len(held[-1])
-            if n >= tokens or i == len(texts) - 1:
-                sizes = np.array([len(x) for x in held])
-                yield batch, a, i + 1, np.concatenate(held), np.cumsum(sizes) - sizes
-                a, held, n = i + 1, [], 0
+class Sums:
+    """Of each row and outcome how often it was met, and how often it was expected."""
 
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.met, self.expected = weights, np.zeros(weights.size), np.zeros(weights.shape)
 
-def _train(weights_sent, classes: Classes):
-    """Row deltas of one task: (slice of rows, counts, deltas times counts); slices of branches' weights have negative numbers."""
+    def add(self, rows: np.ndarray, outcomes: np.ndarray, bias: np.ndarray, kinds: np.ndarray | None = None) -> None:
+        """kinds: which row of bias each token has."""
+        width = self.weights.shape[1]
+        for own in rows:
+            self.met += np.bincount(own.astype(np.int64) * width + outcomes, minlength=len(self.met))
+        self.met[:width] += np.bincount(outcomes, minlength=width)
+        for a in range(0, len(outcomes), BATCH):
+            part = rows[:, a : a + BATCH]
+            p = np.exp(log_softmax(self.weights, part, bias if kinds is None else bias[kinds[a : a + BATCH]]))
+            for own in part:
+                order = np.argsort(own, kind="stable")  # by radix, as rows have 16 bits
+                in_order = own[order]
+                first = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
+                self.expected[in_order[first]] += np.add.reduceat(p[order], first, axis=0)
+            self.expected[0] += p.sum(axis=0, dtype=np.float64)
+
+    def slices(self, sign: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """Runs of rows that were met, numbered from sign."""
+        met = self.met.reshape(self.expected.shape)
+        for k in range(0, len(met), 256):
+            if met[k : k + 256].any():
+                yield sign * (k // 256 + 1), met[k : k + 256].astype(np.float32).tobytes(), self.expected[k : k + 256].astype(np.float32).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, start_branches, branches = weights_sent.value
-        moved, moved_met, moved_squares = start_branches.copy(), np.zeros(len(start_branches), np.float32), np.ones(len(start_branches), np.float32)
-        weights, met = start.copy(), np.zeros(len(start), np.float32)
-        squares = np.ones(len(start), np.float32)
 
-        def step(touched: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
-            met[touched] += n
-            mean = total / n[:, None]
-            squares[touched] += (mean * mean).sum(axis=1)
-            weights[touched] -= (RATE * np.minimum(1, np.sqrt(n / 8)) / np.sqrt(squares[touched]))[:, None] * mean
+def _gathered(sent, classes: Classes):
+    """The sums of one task's documents: slices of the classes' rows from 1 on, of the parts' from -1 down."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, own_weights, shares = sent.value
+        of_classes, of_parts = Sums(weights), Sums(own_weights)
         for _, _, _, ids, starts in _documents(batches, 0, 16 * BATCH):
             kinds = classes.of(ids)
-            rows = features(ids, kinds, starts, len(weights))
-            branches.hold(ids, starts)
-            for a in range(0, len(ids), BATCH):
-                part, own = rows[:, a : a + BATCH], kinds[a : a + BATCH]
-                grad = np.exp(class_log_probs(weights, part))
-                grad[np.arange(len(own)), own] -= 1
-                for own_rows in part:
-                    order = np.argsort(own_rows, kind="stable")  # by radix, as rows have 16 bits
-                    sorted_rows = own_rows[order]
-                    first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-                    n = np.diff(np.append(first, len(order))).astype(np.float32)
-                    step(sorted_rows[first], n, np.add.reduceat(grad[order], first, axis=0))
-                step(np.zeros(1, np.uint16), np.float32([len(own)]), grad.sum(axis=0, keepdims=True))
-                places, slopes = [], []
-                for _, own_rows, bias, side in branches.levels(ids, kinds, a, a + len(own)):
-                    slope = -side / (1 + np.exp(side * (bias + moved[own_rows].sum(axis=0))))
-                    places.append(own_rows.ravel())
-                    slopes.append(np.tile(slope, len(own_rows)))
-                if places:
-                    place = np.concatenate(places)
-                    n = np.bincount(place, minlength=len(moved)).astype(np.float32)
-                    mean = np.bincount(place, np.concatenate(slopes), len(moved)).astype(np.float32) / np.maximum(n, 1)
-                    moved_met += n
-                    moved_squares += mean * mean
-                    moved -= RATE * np.minimum(1, np.sqrt(n / 8)) / np.sqrt(moved_squares) * mean
-        delta = (weights - start) * met[:, None]
-        out = [(k, met[k : k + 256].tobytes(), delta[k : k + 256].astype(np.float32).tobytes()) for k in range(0, len(start), 256) if met[k : k + 256].any()]
-        gone = (moved - start_branches) * moved_met
-        out += [(-1 - k // 8192, moved_met[k : k + 8192].tobytes(), gone[k : k + 8192].tobytes()) for k in range(0, len(moved), 8192) if moved_met[k : k + 8192].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "delta"])
+            rows, own_rows = features(ids, kinds, starts, len(weights))
+            of_classes.add(rows, kinds, weights[0])
+            inside = np.flatnonzero(kinds < BY_ENDING)
+            of_parts.add(own_rows[:, inside], part_of(ids[inside]), shares, kinds[inside])
+        out = [*of_classes.slices(1), *of_parts.slices(-1)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "expected"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of rows sorted by slice; holds one slice at a time."""
-    at, met, delta = None, None, None
+    at, met, expected = None, None, None
     out: list[tuple] = []
     for batch in batches:
-        for k, m, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            m, d = np.frombuffer(m, np.float32), np.frombuffer(d, np.float32)
+        for k, m, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            m, e = np.frombuffer(m, np.float32), np.frombuffer(e, np.float32)
             if k != at:
                 if at is not None:
-                    out.append((at, met.astype(np.float32).tobytes(), delta.astype(np.float32).tobytes()))
-                at, met, delta = k, m.astype(np.float64), d.astype(np.float64)
+                    out.append((at, met.astype(np.float32).tobytes(), expected.astype(np.float32).tobytes()))
+                at, met, expected = k, m.astype(np.float64), e.astype(np.float64)
             else:
-                met, delta = met + m, delta + d
+                met, expected = met + m, expected + e
     if at is not None:
-        out.append((at, met.astype(np.float32).tobytes(), delta.astype(np.float32).tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "delta"])
+        out.append((at, met.astype(np.float32).tobytes(), expected.astype(np.float32).tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["slice", "met", "expected"])
 
 
-def trained(learned: DataFrame, classes: Classes, priors: np.ndarray, branches: Branches, tokens: int, n_rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The weight table and the branches' weights after STEPS updates over shares of learned (text, share). What reaches the driver is one table a step."""
+def trained(learned: DataFrame, classes: Classes, priors: np.ndarray, shares: np.ndarray, tokens: int, n_rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of parts after STEPS updates over learned (text, share). What reaches the driver is one table of sums a step."""
     spark = learned.sparkSession
-    weights = np.zeros((n_rows, CLASSES), np.float32)
-    weights[0] = np.log(priors)
-    moved = np.zeros(branches.rows, np.float32)
-    schema = "slice bigint, met binary, delta binary"
+    tables = {1: np.zeros((n_rows, CLASSES), np.float32), -1: np.zeros((n_rows, PARTS), np.float32)}
+    tables[1][0] = np.log(priors)
+    schema = "slice bigint, met binary, expected binary"
     for step in range(STEPS):
-        sent = spark.sparkContext.broadcast((weights, moved, branches))
-        deltas = learned.where(F.col("share") == step).select("text").coalesce(max(1, -(-tokens // TASK_TOKENS))).mapInArrow(_train(sent, classes), schema)
+        sent = spark.sparkContext.broadcast((tables[1], tables[-1], shares))
+        sums = learned.where(F.col("share") == step).select("text").coalesce(max(1, -(-tokens // TASK_TOKENS))).mapInArrow(_gathered(sent, classes), schema)
         # two levels, so that no task adds up the rows of all others
-        some = deltas.withColumn("__some", F.spark_partition_id() % 64)
-        once = some.repartition("slice", "__some").select("slice", "met", "delta").sortWithinPartitions("slice").mapInArrow(_summed, schema)
+        some = sums.withColumn("__some", F.spark_partition_id() % 64)
+        once = some.repartition("slice", "__some").select("slice", "met", "expected").sortWithinPartitions("slice").mapInArrow(_summed, schema)
         total = once.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, schema)
-        weights, moved = weights.copy(), moved.copy()
+        tables = {k: v.copy() for k, v in tables.items()}
         for row in total.toLocalIterator():
-            met, delta = np.frombuffer(row.met, np.float32), np.frombuffer(row.delta, np.float32)
-            if row.slice < 0:
-                k = (-1 - row.slice) * 8192
-                moved[k : k + 8192] += delta / np.maximum(met, 1)
-                continue
-            delta = delta.reshape(-1, CLASSES)
-            weights[row.slice : row.slice + 256] += delta / np.maximum(met, 1)[:, None]
-    return weights, moved
+            table = tables[1 if row.slice > 0 else -1]
+            rows = slice((abs(row.slice) - 1) * 256, abs(row.slice) * 256)
+            met, expected = (np.frombuffer(x, np.float32).astype(np.float64).reshape(-1, table.shape[1]) for x in (row.met, row.expected))
+            table[rows] += (RATE * np.log((met + SMOOTHING) / (expected + SMOOTHING))).astype(np.float32)
+    tables[-1][0] = 0  # the parts' bias is their share
+    return tables[1], tables[-1]
+
+
+def table_rows(distinct: int) -> int:
+    """Rows of a hashed table for so many words."""
+    return min(MOST_ROWS, max(ROWS, 1 << (max(1, distinct) - 1).bit_length()))
 
 
 def frequent_words(vocabulary: DataFrame, most: int = SENT_WORDS) -> DataFrame:
@@ -316,64 +295,107 @@ def frequent_words(vocabulary: DataFrame, most: int = SENT_WORDS) -> DataFrame:
     return vocabulary.where(bucket >= least) if least is not None else vocabulary.where(F.lit(False))
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: str = "learn") -> DataFrame:
-    """docs with all columns but the text, and n_tokens, n_known, train_tokens, base_score and score. learn: the boolean column of documents to learn from."""
-    spark = docs.sparkSession
-    source = docs.withColumn("__share", F.pmod(F.xxhash64(doc_id), F.lit(STEPS)))
-    learned = source.where(F.col(learn)).select(F.col(text).alias("text"), F.col("__share").alias("share"))
-    vocabulary = stored(learned.select("text").mapInArrow(_counts, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")), "vocabulary")
+class Model:
+    """All that a task needs to score: bounded by MOST_ROWS and SENT_WORDS."""
+
+    def __init__(self, classes: Classes, weights: np.ndarray, own_weights: np.ndarray, held: np.ndarray, known: np.ndarray, counts: np.ndarray) -> None:
+        """held: (BY_ENDING, PARTS) counts of words, one more for each word."""
+        self.classes, self.weights, self.own_weights, self.known, self.counts = classes, weights, own_weights, known, counts
+        self.shares = shares_of(held)
+        sums = held.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.unknown = np.concatenate((-np.log10(sums + 1), np.zeros(CLASSES - BY_ENDING)))
+            # of a known word instead: its class's known words' share, and its own of the part
+            self.part = np.where(held > 0, np.log10(sums)[:, None] - np.log10(held), 0.0)
+
+    def log10(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token the log10 probability as an unknown word of its class, and what a known word has more, without its own count."""
+        kinds = self.classes.of(ids)
+        rows, own_rows = features(ids, kinds, starts, len(self.weights))
+        one = np.empty(len(ids))
+        for a in range(0, len(ids), BATCH):
+            own = kinds[a : a + BATCH]
+            one[a : a + BATCH] = log_softmax(self.weights, rows[:, a : a + BATCH], self.weights[0])[np.arange(len(own)), own]
+        one = one / np.log(10) + self.unknown[kinds]
+        inside = np.flatnonzero(kinds < BY_ENDING)
+        more = np.zeros(len(ids))
+        for a in range(0, len(inside), BATCH):
+            at = inside[a : a + BATCH]
+            own, part = kinds[at], part_of(ids[at])
+            more[at] = log_softmax(self.own_weights, own_rows[:, at], self.shares[own])[np.arange(len(at)), part] / np.log(10) + self.part[own, part]
+        return one, more
+
+
+def shares_of(held: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the parts' shares of their class; parts without words have next to none."""
+    return np.log(np.maximum(held, 1e-9) / np.maximum(held.sum(axis=1, keepdims=True), 1e-9 * PARTS)).astype(np.float32)
+
+
+def learn_model(learned: DataFrame, vocabulary: DataFrame, pairs: DataFrame) -> tuple[Model, int, int]:
+    """(model, tokens, distinct tokens) of learned (text, share). vocabulary: (token, c); pairs: (token, c), ENDINGS * FOLLOWED rows at most."""
     top = [r.token for r in vocabulary.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(CLASSES - BY_ENDING - 1).collect()]
-    classes = Classes(top)
-    own = F.when(F.col("token") == END, F.lit(BY_ENDING + len(top)))
-    for k, token in enumerate(top):
-        own = own.when(F.col("token") == token, F.lit(BY_ENDING + k))
-    by_class = vocabulary.groupBy(own.otherwise(F.pmod("token", F.lit(BY_ENDING))).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    total, distinct = sum(r.n for r in by_class), sum(r.v for r in by_class)
-    sizes, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_class:
-        sizes[r.k], kinds[r.k] = r.n, r.v
-    priors = (sizes + 1) / (total + CLASSES)
-    branches = branches_of(vocabulary, top, distinct)
-    weights, moved = trained(learned, classes, priors, branches, total, table_rows(distinct, ROWS, MOST_ROWS))
+    follows = np.zeros(ENDINGS * FOLLOWED)
+    for r in pairs.toLocalIterator():
+        follows[r.token] = r.c
+    by_ending = clustered(follows.reshape(ENDINGS, FOLLOWED))
+    classes = Classes(top, by_ending)
+    # Sums over the words by ending and part, which are classed here: ENDINGS * PARTS rows at most, and the words of own classes.
+    part = F.shiftrightunsigned("token", 64 - (PARTS - 1).bit_length())
+    alone = F.when(F.col("token").isin([*top, END]), F.col("token"))
+    sizes, held = np.zeros(CLASSES), np.zeros((BY_ENDING, PARTS))
+    total = distinct = 0
+    for r in vocabulary.groupBy(F.col("token").bitwiseAND(F.lit(_LOW)).alias("ending"), part.alias("part"), alone.alias("alone")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toLocalIterator():
+        total, distinct = total + r.n, distinct + r.v
+        if r.alone is not None:
+            sizes[classes.of(np.array([r.alone]))[0]] += r.n
+        else:
+            sizes[by_ending[r.ending]] += r.n
+            held[by_ending[r.ending], r.part] += r.n + r.v
+    weights, own_weights = trained(learned, classes, (sizes + 1) / (total + CLASSES), shares_of(held), total, table_rows(distinct))
     frequent = frequent_words(vocabulary).toPandas().sort_values("token")
-    known, counts = frequent["token"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
-    within = np.log10(sizes + kinds + 1)
-    within[BY_ENDING:] = 0  # classes of one word
-    sent = spark.sparkContext.broadcast((weights, moved, branches, known, counts, within))  # bounded by MOST_ROWS, MOST_BRANCH_ROWS, BY_ENDING << DEPTH and SENT_WORDS
-    row = source.select(*[c for c in docs.columns if c != text], F.col(text).alias("__text"))
-    n_kept = len(docs.columns) - 1
+    return Model(classes, weights, own_weights, held, frequent["token"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)), total, distinct
+
+
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: str = "learn") -> DataFrame:
+    """docs with all columns but the text, and __lm_n_tokens, __lm_n_known, __lm_train_tokens, __lm_base_score and __lm_score. learn: the boolean column of documents to learn from."""
+    spark = docs.sparkSession
+    learned = docs.where(F.col(learn)).select(F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(STEPS)).alias("share"))
+    counted = stored(learned.select("text").mapInArrow(_counts, "pair boolean, token bigint, c bigint").groupBy("pair", "token").agg(F.sum("c").alias("c")), "vocabulary")
+    vocabulary = counted.where("NOT pair").select("token", "c")
+    model, total, distinct = learn_model(learned, vocabulary, counted.where("pair").select("token", "c"))
+    sent = spark.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c != text]
+    rows = docs.select(*kept, F.col(text).alias("__lm_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, moved, branches, known, counts, within = sent.value
-        for batch, a, b, ids, starts in _documents(batches, n_kept, 4 * BATCH):
-            kinds = classes.of(ids)
-            rows = features(ids, kinds, starts, len(weights))
-            shares = np.concatenate([class_log_probs(weights, rows[:, i : i + BATCH])[np.arange(len(kinds[i : i + BATCH])), kinds[i : i + BATCH]] for i in range(0, len(ids), BATCH)]).astype(np.float64) / np.log(10)
-            shares -= within[kinds]
-            branches.hold(ids, starts)
-            gains = np.concatenate([branches.gains(moved, ids, kinds, i, min(i + BATCH, len(ids))) for i in range(0, len(ids), BATCH)]) / np.log(10)
+        model = sent.value
+        known, counts = model.known, model.counts
+        for batch, a, b, ids, starts in _documents(batches, len(kept), 4 * BATCH):
+            one, more = model.log10(ids, starts)
             at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
             there = known[at] == ids if len(known) else np.zeros(len(ids), bool)
             log_c = np.where(there, np.log10(counts[at] + 1.0), 0.0) if len(known) else np.zeros(len(ids))
-            single = kinds >= BY_ENDING
-            ends = np.append(starts[1:], len(ids))
+            single = model.classes.of(ids) >= BY_ENDING
             sums = lambda x: np.add.reduceat(x, starts)
             rare = np.concatenate(([0], np.cumsum(~there)))[np.append(starts, len(ids))]
-            lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.StructArray.from_arrays([pa.array(ids[~there]), pa.array(gains[~there])], ["token", "gain"]))
-            columns = [pa.array(ends - starts, pa.int64()), pa.array(sums(there.astype(np.int64))), pa.array(sums(log_c)), pa.array(sums(shares + np.where(single, 0.0, log_c) + np.where(there, gains, 0.0))), lists]
-            fields = [*list(batch.schema)[:n_kept], *(pa.field(n, c.type) for n, c in zip(("n_tokens", "__known", "__base", "__model", "__rare"), columns, strict=True))]
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n_kept]), *columns], schema=pa.schema(fields))
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in row.schema.fields[:n_kept])
-    more = "n_tokens bigint, __known bigint, __base double, __model double, __rare array<struct<token:bigint,gain:double>>"
-    scored = stored(row.mapInArrow(run, f"{types}, {more}").withColumn("__row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.token", "r.gain")
-    found = rare.join(vocabulary, "token").groupBy("__row").agg(F.count("*").alias("__n"), F.sum(F.log10(F.col("c") + 1)).alias("__log_c"), F.sum("gain").alias("__gain"))
-    added = scored.drop("__rare").join(found, "__row", "left")
-    more_log = F.coalesce(F.col("__log_c"), F.lit(0.0))
+            lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.StructArray.from_arrays([pa.array(ids[~there]), pa.array(more[~there])], ["token", "more"]))
+            columns = [
+                pa.array(np.append(starts[1:], len(ids)) - starts, pa.int64()), pa.array(sums(there.astype(np.int64))), pa.array(sums(log_c)),
+                pa.array(sums(one + np.where(there & ~single, more + log_c, 0.0))), lists,
+            ]
+            fields = [*list(batch.schema)[: len(kept)], *(pa.field(n, c.type) for n, c in zip(("__lm_n_tokens", "__lm_known", "__lm_base", "__lm_model", "__lm_rare"), columns, strict=True))]
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(kept)]), *columns], schema=pa.schema(fields))
+
+    schema = with_columns(docs.select(*kept), "__lm_n_tokens bigint, __lm_known bigint, __lm_base double, __lm_model double, __lm_rare array<struct<token:bigint,more:double>>")
+    scored = stored(rows.mapInArrow(run, schema).withColumn("__lm_row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("__lm_row", F.explode("__lm_rare").alias("r")).select("__lm_row", "r.token", "r.more")
+    log_c = F.log10(F.col("c") + 1)
+    found = rare.join(vocabulary, "token").groupBy("__lm_row").agg(F.count("*").alias("__lm_n"), F.sum(log_c).alias("__lm_log_c"), F.sum(F.col("more") + log_c).alias("__lm_more"))
+    added = scored.drop("__lm_rare").join(found, "__lm_row", "left")
+    or_none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return added.select(
-        *[c for c in docs.columns if c != text],
-        "n_tokens", (F.col("__known") + F.coalesce(F.col("__n"), F.lit(0))).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),
-        (F.col("__base") + more_log - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        (F.col("__model") + more_log + F.coalesce(F.col("__gain"), F.lit(0.0))).alias("score"),
+        *kept,
+        "__lm_n_tokens", (F.col("__lm_known") + F.coalesce(F.col("__lm_n"), F.lit(0))).alias("__lm_n_known"), F.lit(int(total)).cast("bigint").alias("__lm_train_tokens"),
+        (F.col("__lm_base") + or_none("__lm_log_c") - F.col("__lm_n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("__lm_base_score"),
+        (F.col("__lm_model") + or_none("__lm_more")).alias("__lm_score"),
     )

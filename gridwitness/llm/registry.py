@@ -160,7 +160,8 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = crc_mod(F.col("doc_id"), 7)
     own = docs.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), F.coalesce(part != 2, F.lit(False)).alias("learn"), "text")
-    return maxent.score(own).drop("learn")
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return maxent.score(own).select("doc_id", "held_out", *(F.col(f"__lm_{n}").alias(n) for n in names))
 
 
 QUERIES = {"op1_langid": op1_langid, "op2_warc": op2_warc, "op3_chat": op3_chat, "op5_quality": op5_quality, "op8_urlfilter": op8_urlfilter, "op4_decontam": op4_decontam, "op6_linededup": op6_linededup, "op7_packing": op7_packing, "op9_ngramjoin": op9_ngramjoin, "op10_maxent": op10_maxent}

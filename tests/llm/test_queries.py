@@ -24,8 +24,8 @@ def test_language_query(spark):
 def test_url_and_language_model_queries(spark):
     pages = registry.QUERIES["op8_urlfilter"](spark, SF)
     assert pages.count() == table(spark, SF, "pages").count() and pages.where("verdict NOT IN ('allow', 'block')").count() == 0
-    held = registry.QUERIES["op10_maxent"](spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert held.s > held.b
+    held = registry.QUERIES["op10_maxent"](spark, SF.replace("0.001", "0.01")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert held.s > 0.95 * held.b  # logarithms: a gain of 5 % at least
 
 
 def test_pipeline(spark):
