@@ -226,7 +226,7 @@ def plan(lengths: DataFrame, capacity: int, ranges: int = 8) -> DataFrame:
         made, opened = placed if made is None else made.unionByName(placed), opened + more
 
 
-def pack(parts: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 4096, bucket_rows: int = 4_000) -> DataFrame:
     """parts, as pieces() gives them, with sequence_id and offset."""
     parts = stored(parts.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     spark = parts.sparkSession
