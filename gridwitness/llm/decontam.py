@@ -8,16 +8,20 @@ Rules. Tokens are runs of no white space without the punctuation around them; to
 token with a digit and no letter is <num>; a number with a unit joined, or a unit after a number, gives <unit>; a
 capitalised token is <name>. All others are lower-cased. A capitalised token that begins a sentence may be a name or
 any word: windows with such tokens are there twice, once with all of them as words and once with all as names, and an
-alignment is judged in each of these two readings. Windows without them belong to both; windows that the second
-reading leaves without any word aren't read so. An item is found in a
+alignment is judged in each of these two readings. Windows without them belong to both. Windows of placeholders alone, in either
+reading, are no evidence and take no part: tables of numbers or lists of names meet nothing. An item is found in a
 document if alignments with at least min_run consistent windows each (all, if the item has fewer) cover min_share of the item's
 windows, or min_windows of them with all slots as in the item (nine of five tokens are thirteen tokens in a row). A window is consistent if none of its slots has, in that alignment, an item
-value that meets two document values.
+value that meets two document values. An item's windows are those that are evidence; one without any is never found.
+
+The benchmark's hashes go to all tasks as a Bloom filter of bounded size; what passes it is joined by hash, so a full filter costs
+time only. Lists are gathered by alignment, and so are no longer than an item.
 
 Defined cases. An item shorter than the window is one window of its length and must be met as such within
 a document; items without tokens match nothing. Items equal in template and slots count as the one of smallest item_id; others, even of
 equal templates, are each compared with their own values. Null texts match
-nothing. Repeated items count once, and different texts of one item_id are different items. A repeated document or doc_id is found once. Null ids are reported as such. Empty tables give no rows.
+nothing, very long ones are read whole. Repeated items count once, and different texts of one item_id are different items. A repeated document or doc_id is found
+once. Null ids are reported as such. Empty tables give no rows. Only the columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, use, window_hashes
+from .common import WORD_CACHE, stored, use, window_hashes
 
 #: Window of template tokens.
 WIDTH = 5
-#: Benchmark windows up to which their hashes are sent to all tasks to drop others early; beyond, all windows are shuffled.
-SENT_WINDOWS = 4_000_000
+#: Bits of the Bloom filter: 16 for each benchmark window, as a power of two, and no more than 32 MB.
+LEAST_BITS, MOST_BITS = 10, 28
 #: Units of measure.
 UNITS = frozenset("mm cm m km in ft yd mi miles mile meters metres meter metre kilometers kilometres inches feet g kg mg lb lbs oz grams kilograms pounds ounces l ml liters litres gallons s sec secs seconds second min mins minutes minute h hr hrs hours hour day days week weeks month months year years mph kmh km/h m/s usd eur gbp dollars dollar euros euro cents percent % degrees celsius fahrenheit w kw kwh v a hz khz mhz ghz b kb mb gb tb j kj cal kcal".split())
 
@@ -45,12 +49,14 @@ _NUMBER = re.compile(r"^[+-]?[\d.,:/]*\d[\d.,:/]*$")
 _NUMBER_UNIT = re.compile(r"^([+-]?[\d.,]*\d)([^\W\d_]+|%)$")
 _NUM, _NAME, _UNIT = (xxhash.xxh3_64_intdigest(x) for x in (b"<num>", b"<name>", b"<unit>"))
 _SKIP, _PLAIN, _IS_NUM, _IS_NAME, _IS_UNIT, _NUM_UNIT = range(6)
+_CODES = np.array([0, 0, _NUM, _NAME, _UNIT, 0], np.uint64)
+_HASH = np.uint64(~15 % (1 << 64))
 
 
 class _Tokens(dict):
-    """raw token -> (hash, kind, ends a sentence)."""
+    """raw token -> its hash, with the kind and whether it ends a sentence in the low bits."""
 
-    def __missing__(self, raw: str) -> tuple[int, int, bool]:
+    def __missing__(self, raw: str) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
         core = _PUNCTUATION.sub("", raw)
@@ -68,42 +74,50 @@ class _Tokens(dict):
             kind = _IS_NAME
         else:
             kind = _PLAIN
-        value = self[raw] = (xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "surrogatepass")), kind, ends)
+        value = self[raw] = xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "surrogatepass")) & ~15 | kind << 1 | ends
         return value
 
 
 _TOKENS = _Tokens()
 
 
-def template(text: str | None) -> tuple[np.ndarray, dict[int, tuple[str, str]], dict[int, str]]:
-    """Hashes of the template's tokens, of each slot's position (kind, value), and of the position of each capitalised token that begins a sentence, a word here, the token as it stands."""
-    hashes: list[int] = []
-    slots: dict[int, tuple[str, str]] = {}
-    openers: dict[int, str] = {}
-    begins, after_number = True, False
-    use(_TOKENS)
-    for raw in (text or "").split():
-        h, kind, ends = _TOKENS[raw]
-        if kind == _PLAIN or (kind == _IS_NAME and begins) or (kind == _IS_UNIT and not after_number):
-            if kind == _IS_NAME:
-                openers[len(hashes)] = raw
-            hashes.append(h)
-            after_number = False
-        elif kind != _SKIP:
-            value = _PUNCTUATION.sub("", raw).lower()
-            if kind == _NUM_UNIT:
-                found = _NUMBER_UNIT.match(value)
-                slots[len(hashes)] = ("num", found[1] if found else value)
-                hashes.append(_NUM)
-                slots[len(hashes)] = ("unit", found[2] if found else "%")
-                hashes.append(_UNIT)
-            else:
-                name, code = {_IS_NUM: ("num", _NUM), _IS_NAME: ("name", _NAME), _IS_UNIT: ("unit", _UNIT)}[kind]
-                slots[len(hashes)] = (name, value or "%")
-                hashes.append(code)
-            after_number = kind == _IS_NUM
-        begins = ends or (begins and kind == _SKIP)
-    return np.array(hashes, np.uint64), slots, openers
+class Template:
+    """Of a text: hashes of the template's tokens, whether each is a slot, and where capitalised tokens begin sentences (words, here)."""
+
+    __slots__ = ("hashes", "kinds", "openers", "slot", "sources", "words")
+
+    def __init__(self, text: str | None) -> None:
+        found = (text or "").split()
+        codes = np.fromiter(map(use(_TOKENS).__getitem__, found), np.uint64, len(found))
+        kinds, ends = ((codes >> np.uint64(1)) & np.uint64(7)).astype(np.int8), (codes & np.uint64(1)).astype(bool)
+        # a token begins a sentence if the last one before it that ends one or isn't punctuation ends one
+        last = np.maximum.accumulate(np.where((kinds != _SKIP) | ends, np.arange(1, len(found) + 1), 0))
+        begins = np.concatenate(([True], ends))[np.concatenate(([0], last[:-1]))] if len(found) else np.empty(0, bool)
+        there = np.flatnonzero(kinds != _SKIP)
+        codes, kinds, begins = codes[there], kinds[there], begins[there]
+        after_number = np.concatenate(([False], kinds[:-1] == _IS_NUM)) if len(there) else np.empty(0, bool)
+        opener = (kinds == _IS_NAME) & begins
+        literal = (kinds == _PLAIN) | opener | ((kinds == _IS_UNIT) & ~after_number)
+        each = np.where(kinds == _NUM_UNIT, 2, 1)
+        self.sources = np.repeat(np.arange(len(there)), each)
+        own = kinds[self.sources]
+        second = np.concatenate(([False], self.sources[1:] == self.sources[:-1])) if len(own) else np.empty(0, bool)
+        own = np.where(own == _NUM_UNIT, np.where(second, _IS_UNIT, _IS_NUM), own)
+        self.slot = ~literal[self.sources]
+        self.hashes = np.where(self.slot, _CODES[own], codes[self.sources] & _HASH)
+        self.openers = np.flatnonzero(opener[self.sources])
+        self.kinds, self.words = own, (found, there)
+
+    def value(self, pos: int) -> tuple[str, str]:
+        """(kind, value) of the slot or opener at a position."""
+        found, there = self.words
+        raw = found[there[self.sources[pos]]]
+        value = _PUNCTUATION.sub("", raw).lower()
+        if _TOKENS[raw] >> 1 & 7 == _NUM_UNIT:
+            parts = _NUMBER_UNIT.match(value)
+            unit = self.kinds[pos] == _IS_UNIT
+            return ("unit", parts[2] if parts else "%") if unit else ("num", parts[1] if parts else value)
+        return {_IS_NUM: "num", _IS_NAME: "name", _IS_UNIT: "unit"}[int(self.kinds[pos])], value or "%"
 
 
 #: Readings of a window, as bits: tokens that begin sentences are words, or are names.
@@ -111,62 +125,72 @@ _AS_WORDS, _AS_NAMES = 1, 2
 _WINDOW = "hash bigint, id {kind}, pos bigint, readings int, slots array<struct<at:int,kind:string,value:string>>"
 
 
-def _slot_list(slots: dict[int, tuple[str, str]], pos: int, width: int) -> list[dict]:
-    return [{"at": k, "kind": slots[pos + k][0], "value": slots[pos + k][1]} for k in range(width) if pos + k in slots]
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a Bloom filter that stand for each hash."""
+    down = np.uint64(64 - bits)
+    return h >> down, (h * np.uint64(0x9E3779B97F4A7C15)) >> down
+
+
+def _bloom(windows: DataFrame) -> np.ndarray:
+    """The filter's 64-bit words: of a size by the number of windows, and 32 MB at most, whatever the benchmark."""
+    n = windows.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, n) - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
+    words = np.zeros(1 << max(0, bits - 6), np.uint64)
+    held = windows.select("hash").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
+    return words
 
-def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Positions in h of values that the sorted array known holds."""
-    if not len(known):
-        return np.empty(0, np.int64)
-    return np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
 
+def _among(h: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Of each hash whether the filter may hold it."""
+    if known is None:
+        return np.ones(len(h), bool)
+    found = np.ones(len(h), bool)
+    for at in _places(h, (len(known) * 64 - 1).bit_length()):
+        found &= (known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
 
-def _windows(widths: list[int], known: np.ndarray | None, per_item: bool):
-    """Windows of each row (id, text): of the widths, if in known. per_item: of an item only its own width."""
-    longest = max(widths, default=0)
+
+def _windows(widths: list[int], sent):
+    """Windows of each row (id, text): of the widths, if the filter sent may hold them; of items, where none is sent, each of its own width."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value if sent is not None else None
         for batch in rows:
             ids, places, out, readings, found_slots = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens, slots, openers = template(text)
-                if openers:
-                    begins = np.fromiter(openers, np.int64, len(openers))
-                    named, named_slots = tokens.copy(), None
-                    named[begins] = _NAME
-                    filled = np.zeros(len(tokens) + 1, np.int32)
-                    filled[begins + 1] = 1
-                    if slots:
-                        filled[np.fromiter(slots, np.int64, len(slots)) + 1] = 1
-                    filled = np.cumsum(filled)
-                    before = np.zeros(len(tokens) + 1, np.int32)
-                    before[begins + 1] = 1
-                    before = np.cumsum(before)
-                for width in [min(longest, len(tokens))] if per_item else widths:
-                    if not 0 < width <= len(tokens):
-                        continue
-                    h = window_hashes(tokens, width)
-                    at = _among(h, known) if known is not None else np.arange(len(h))
-                    out.append(h[at].view(np.int64))
-                    ids += [key] * len(at)
-                    places.append(at)
-                    found_slots += [_slot_list(slots, int(i), width) for i in at]
-                    if not openers:
-                        readings.append(np.full(len(at), _AS_WORDS | _AS_NAMES, np.int32))
+                t = Template(text)
+                n = len(t.hashes)
+                sums = lambda flags: np.concatenate(([0], np.cumsum(flags)))  # noqa: E731, B023
+                filled = sums(t.slot)
+                if len(t.openers):
+                    opens = np.zeros(n, bool)
+                    opens[t.openers] = True
+                    before, named = sums(opens), t.hashes.copy()
+                    named[t.openers] = _NAME
+                for width in [min(max(widths), n)] if sent is None else widths:
+                    if not 0 < width <= n:
                         continue
-                    both = before[width:] > before[:-width]
-                    readings.append(np.where(both[at], _AS_WORDS, _AS_WORDS | _AS_NAMES).astype(np.int32))
-                    again = np.flatnonzero(both & (filled[width:] - filled[:-width] < width))  # a window of slots alone would meet any names
-                    h = window_hashes(named, width)[again]
-                    again_at = _among(h, known) if known is not None else np.arange(len(h))
-                    out.append(h[again_at].view(np.int64))
-                    if len(again_at) and named_slots is None:
-                        named_slots = slots | {i: ("name", _PUNCTUATION.sub("", raw).lower()) for i, raw in openers.items()}
-                    ids += [key] * len(again_at)
-                    places.append(again[again_at])
-                    found_slots += [_slot_list(named_slots, int(i), width) for i in again[again_at]]
-                    readings.append(np.full(len(again_at), _AS_NAMES, np.int32))
+                    slots = filled[width:] - filled[:-width]
+                    both = before[width:] - before[:-width] if len(t.openers) else None
+                    for reading in (_AS_WORDS, _AS_NAMES) if both is not None else (_AS_WORDS,):
+                        h = window_hashes(t.hashes if reading == _AS_WORDS else named, width)
+                        wanted = slots < width if reading == _AS_WORDS else (both > 0) & (slots + both < width)
+                        at = np.flatnonzero(_among(h, known) & wanted)
+                        out.append(h[at].view(np.int64))
+                        ids += [key] * len(at)
+                        places.append(at)
+                        for i in at.tolist():
+                            own = [k for k in range(i, i + width) if t.slot[k] or (reading == _AS_NAMES and opens[k])]
+                            found_slots.append([{"at": k - i, "kind": kind, "value": value} for k in own for kind, value in (t.value(k),)])
+                        alone = both[at] > 0 if both is not None else np.zeros(len(at), bool)
+                        readings.append(np.where(alone, reading, _AS_WORDS | _AS_NAMES).astype(np.int32))
             join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
             slot = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
             yield pa.RecordBatch.from_arrays([pa.array(join(out), pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(join(places), pa.int64()), pa.array(join(readings), pa.int32()), pa.array(found_slots, slot)], names=["hash", "id", "pos", "readings", "slots"])
@@ -174,26 +198,22 @@ def _windows(widths: list[int], known: np.ndarray | None, per_item: bool):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", width: int = WIDTH, min_share: float = 0.5, min_windows: int = 9, min_run: int = 3, sent_windows: int = SENT_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", width: int = WIDTH, min_share: float = 0.5, min_windows: int = 9, min_run: int = 3) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, n_slots, n_changed, kind) of every document and item found in it."""
     spark = docs.sparkSession
     own = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     # Items are told apart by what they say, not by their ids: these may be repeated, shared or null.
-    keyed = own.mapInArrow(_item_keys, f"key bigint, id {kind}, text string")
-    single = keyed.groupBy("key").agg(F.min("id").alias("item_id"), F.min("text").alias("text"))
-    cut = single.select(F.col("key").alias("id"), "text").mapInArrow(_windows(list(range(1, width + 1)), None, True), _WINDOW.format(kind="bigint"))
+    keyed = own.mapInArrow(_item_keys(width), f"key bigint, width int, id {kind}, text string")
+    single = stored(keyed.groupBy("key", "width").agg(F.min("id").alias("item_id"), F.min("text").alias("text")), "items")
+    cut = stored(single.select(F.col("key").alias("id"), "text").mapInArrow(_windows([width], None), _WINDOW.format(kind="bigint")), "item-windows")
     sizes = cut.groupBy("id").agg(F.count_distinct("pos").alias("n_windows"))
     # Short items have a narrower window; its width is told by what the window holds.
     windows = cut.join(sizes, "id").select("hash", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("readings").alias("item_readings"), "n_windows")
-    lengths = own.mapInArrow(_item_widths(width), "width int").distinct()
-    widths = sorted(r.width for r in lengths.collect() if r.width)  # width values at most
-    n_windows = windows.select("hash").distinct().count()
-    known = None
-    if n_windows <= sent_windows:
-        known = np.sort(np.array([r.hash for r in windows.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
+    widths = sorted(r.width for r in single.select("width").distinct().collect() if r.width)  # width values at most
+    sent = spark.sparkContext.broadcast(_bloom(cut))
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    met = source.mapInArrow(_windows(widths, known, False), _WINDOW.format(kind=source.schema["id"].dataType.simpleString())).withColumnRenamed("id", "doc_id").distinct()
+    met = source.mapInArrow(_windows(widths, sent), _WINDOW.format(kind=source.schema["id"].dataType.simpleString())).withColumnRenamed("id", "doc_id").distinct()
     pairs = met.join(windows, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
     # Where an item has one token as a word and a document another as a name, the match counts in both readings.
     common = F.col("readings").bitwiseAND(F.col("item_readings"))
@@ -213,29 +233,31 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     consistent = aligned.where(F.size("at") >= F.least(F.lit(min_run), F.col("n_windows")))
     # Windows count in whichever reading they are met; an alignment's slots are those of the reading that meets more.
     better = F.max_by(F.struct("n_slots", "n_changed"), F.struct(F.size("at"), -F.col("n_changed"), "n_slots"))
-    aligned = consistent.groupBy("doc_id", "item", "shift").agg(F.max("n_windows").alias("n_windows"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("same")).alias("same"), better.alias("better"))
+    one = consistent.groupBy("doc_id", "item", "shift").agg(F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"), better.alias("better"))
+    # A document may hold an item any number of times, so its windows are counted as rows.
+    by_window = one.select("doc_id", "item", "n_windows", "better.*", F.explode("at").alias("pos"), "same").groupBy("doc_id", "item", "pos").agg(
+        F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"), F.bool_or(F.array_contains("same", F.col("pos"))).alias("same")
+    )
     found = (
-        aligned.select("*", "better.*").groupBy("doc_id", "item")
-        .agg(F.max("n_windows").cast("bigint").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matched_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("same_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
+        by_window.groupBy("doc_id", "item")
+        .agg(F.max("n_windows").cast("bigint").alias("item_windows"), F.count("*").alias("matched_windows"), F.count_if("same").alias("same_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
         .where((F.col("matched_windows") >= F.col("item_windows") * F.lit(min_share)) | (F.col("same_windows") >= min_windows))
     )
     named = found.join(single.select(F.col("key").alias("item"), "item_id"), "item")
     return named.select("doc_id", "item_id", "matched_windows", "item_windows", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "re-parameterised").otherwise("as it is").alias("kind"))
 
 
-def _item_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, text) of each row (id, text): a hash of the template and its slots, openers' values among its words."""
-    for batch in rows:
-        keys = []
-        for text in batch.column(1).to_pylist():
-            tokens, slots, openers = template(text)
-            keys.append(xxhash.xxh3_64_intdigest(tokens.tobytes() + repr((slots, sorted(openers))).encode("utf-8", "surrogatepass")) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.columns], names=["key", "id", "text"])
-
+def _item_keys(width: int):
+    """(key, width, id, text) of each row (id, text): a hash of the template and its slots, openers' values among its words."""
 
-def _item_widths(width: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([min(width, len(template(t)[0])) for t in batch.column(1).to_pylist()], pa.int32())], names=["width"])
+            keys, widths = [], []
+            for text in batch.column(1).to_pylist():
+                t = Template(text)
+                values = [(int(k), *t.value(int(k))) for k in np.flatnonzero(t.slot)], t.openers.tolist()
+                keys.append(xxhash.xxh3_64_intdigest(t.hashes.tobytes() + repr(values).encode("utf-8", "surrogatepass")) - (1 << 63))
+                widths.append(min(width, len(t.hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(widths, pa.int32()), *batch.columns], names=["key", "width", "id", "text"])
 
     return run

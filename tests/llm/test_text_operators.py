@@ -105,7 +105,7 @@ def test_language_held_out(spark):
 # ---- decontamination
 
 
-def test_decontamination(spark, no_docs):
+def test_decontamination(spark, no_docs, monkeypatch):
     rng = random.Random(11)
     items = [(k, f"A train leaves {name} at {h} km/h and travels {h * 3} miles with {prose(rng, 'en', 14)} How far is {name} after {k + 2} hours?") for k, (name, h) in enumerate([("Boston", 40), ("Madrid", 55), ("Oslo", 70)])]
     items += [(7, items[0][1]), (8, None), (9, ""), (10, "short one here")]
@@ -120,8 +120,10 @@ def test_decontamination(spark, no_docs):
     ]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").withColumn("hash", F.lit(1))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for sent in (decontam.SENT_WINDOWS, 0):  # windows sent to all tasks, and joined by shuffling
-        got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, bench, sent_windows=sent).collect()}
+    for most in (decontam.MOST_BITS, 6):  # a filter that tells windows apart, and one that lets all through
+        monkeypatch.setattr(decontam, "LEAST_BITS", min(10, most))
+        monkeypatch.setattr(decontam, "MOST_BITS", most)
+        got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, bench).collect()}
         assert got == {(1, 0): "as it is", (2, 1): "re-parameterised", (7, 1): "as it is", (None, 0): "as it is", (4, 2): "re-parameterised", (8, 11): "re-parameterised"}
     assert decontam.contaminated(no_docs, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -157,6 +159,134 @@ def test_decontamination_of_repeated_and_null_items(spark):
     assert sorted(got) == [(1, 1, "as it is", True), (2, 2, "as it is", True), (3, 3, "re-parameterised", True), (4, 4, "as it is", True), (5, None, "as it is", True)]
 
 
+def brute_template(text):
+    """Tokens of a template one by one: ("w", word), ("slot", kind, value), or ("opener", word)."""
+    out, begins, after_number = [], True, False
+    for raw in (text or "").split():
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", raw)
+        percent = raw.rstrip(".,;:!?)").endswith("%")
+        ends = raw.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
+        joined = re.match(r"^([+-]?[\d.,]*\d)([^\W\d_]+|%)$", core)
+        number = re.match(r"^[+-]?[\d.,:/]*\d[\d.,:/]*$", core)
+        skip = False
+        if not core and not percent:
+            skip = True
+        elif not core or core.lower() in decontam.UNITS:
+            out.append(("slot", "unit", core.lower() or "%") if after_number else ("w", core.lower()))
+            after_number = False
+        elif joined or (percent and number):
+            out += [("slot", "num", joined[1].lower() if joined else core), ("slot", "unit", joined[2].lower() if joined else "%")]
+            after_number = False
+        elif number:
+            out.append(("slot", "num", core.lower()))
+            after_number = True
+        elif core[0].isupper():
+            out.append(("opener" if begins else "slot", *(() if begins else ("name",)), core.lower()))
+            after_number = False
+        else:
+            out.append(("w", core.lower()))
+            after_number = False
+        begins = ends or (begins and skip)
+    return out
+
+
+def brute_contaminated(docs, items, width=5, min_share=0.5, min_windows=9, min_run=3):
+    """(doc_id, item_id, kind, matched, item's windows): every alignment of every document and item, one by one."""
+
+    def windows(tokens, w, names):
+        out = {}
+        for i in range(len(tokens) - w + 1):
+            own = [("slot", "name", t[1]) if names and t[0] == "opener" else t for t in tokens[i : i + w]]
+            if all(t[0] == "slot" for t in own):
+                continue
+            out[i] = tuple(t[:2] if t[0] == "slot" else ("w", t[1]) for t in own), [t[1:] for t in own if t[0] == "slot"], any(t[0] == "opener" for t in tokens[i : i + w])
+        return out
+
+    unique = {}
+    for i, text in items:
+        t = tuple(brute_template(text))
+        if t:
+            unique[t] = i if t not in unique or unique[t] is None else min(unique[t], i if i is not None else unique[t])
+    found = set()
+    for doc_id, text in docs:
+        tokens = brute_template(text)
+        for item, item_id in unique.items():
+            w = min(width, len(item))
+            n_windows = len({p for names in (False, True) for p in windows(list(item), w, names)})
+            covered, same, best = set(), set(), []
+            if not n_windows:
+                continue
+            for shift in range(-len(item), len(tokens)):
+                here, clean, kinds = set(), set(), []
+                for names in (False, True):
+                    a, b = windows(list(item), w, names), windows(tokens, w, names)
+                    # a window that only one side has in this reading is met in the other side's
+                    at = [p for p in a if p + shift in b and a[p][0] == b[p + shift][0]]
+                    values = defaultdict(set)
+                    for p in at:
+                        for x, y in zip(a[p][1], b[p + shift][1], strict=True):
+                            values[x].add(y[1])
+                    fit = {p for p in at if all(len(values[x]) == 1 for x in a[p][1])}
+                    if len(fit) >= min(min_run, n_windows):
+                        here |= fit
+                        clean |= {p for p in fit if all(values[x] == {x[1]} for x in a[p][1])}
+                        kinds.append((len(fit), -sum(any(v != x[1] for v in vs) for x, vs in values.items())))
+                if here:
+                    covered |= here
+                    same |= clean
+                    best.append(-max(kinds)[1])
+            if len(covered) >= min_share * n_windows or len(same) >= min_windows:
+                found.add((doc_id, item_id, "re-parameterised" if min(best) else "as it is", len(covered), n_windows))
+    return found
+
+
+def test_decontamination_against_every_alignment(spark):
+    rng = random.Random(21)
+    names, nouns = ["Tom", "Ann", "Bob", "Eve", "Lima", "Oslo"], "apples boats stones birds coins".split()
+
+    def story(own, numbers, thing):
+        a, b = own
+        return rng.choice([
+            f"{a} has {numbers[0]} {thing}. {b} has {numbers[1]} {thing}, and {a} gives {b} {numbers[2]} of them. How many does {a} have?",
+            f"A train leaves {a} at {numbers[0]} km/h and reaches {b} after {numbers[1]}kg of coal; 5% of it was lost near {a}.",
+            f"once {numbers[0]} {thing} were sold to {b} and {a} for {numbers[1]} dollars each, all {numbers[2]} people saw",
+        ])
+
+    pick = lambda: (rng.sample(names, 2), [str(rng.randint(2, 9)) for _ in range(3)], rng.choice(nouns))
+    items = [(i, story(*pick())) for i in range(8)] + [(50, "just two"), (51, "12 13"), (52, "Oslo"), (53, None), (None, "nobody knows this one")]
+    docs = []
+    for i in range(40):
+        parts = [prose(rng, "en", rng.randint(0, 12)) for _ in range(2)]
+        body = rng.choice([story(*pick()), rng.choice(items)[1] or "", "", "12 13 14 15 16 17 18", "see just two of nobody knows this one"])
+        if rng.random() < 0.3 and body:
+            words = body.split()
+            words[rng.randrange(len(words))] = rng.choice([*names, "7", "other"])
+            body = " ".join(words)
+        docs.append((i, f"{parts[0]}. {body} {parts[1]}"))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id, r.kind, r.matched_windows, r.item_windows) for r in got.collect()} == brute_contaminated(docs, items)
+
+
+def test_templates_one_by_one():
+    rng = random.Random(5)
+    pieces = ["Tom", "the", "12", "3.5", "5kg", "7%", "%", "km", "—", "(", "end.", "Ann!", "\"Bob\"", "x.", "::", "12:30", "dollars", "Ünder", "é1", "+4", "10m.", "a_b", "_"]
+    for _ in range(500):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        t = decontam.Template(text)
+        opens = set(t.openers.tolist())
+        got = [("opener", t.value(k)[1]) if k in opens else ("slot", *t.value(k)) if t.slot[k] else None for k in range(len(t.hashes))]
+        assert got == [x if x[0] != "w" else None for x in brute_template(text)], text
+
+
+def test_tables_of_numbers_are_no_evidence(spark):
+    """Unrelated lists of numbers or names meet in all places and say nothing."""
+    rng = random.Random(1)
+    numbers = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    docs = spark.createDataFrame([(1, numbers(4_000)), (2, "Total " + numbers(20)), (3, " ".join(["Ann Bob Eve"] * 500))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, numbers(400)), (2, "Tom Ann Lima Oslo Bob Eve Tom Bob")], "item_id bigint, text string")
+    assert decontam.contaminated(docs, items).count() == 0
+
+
 # ---- quality
 
 
