@@ -4,7 +4,8 @@ A node is a turn in the context of all turns before it; its key is a hash chaine
 sorted by their path of keys, so those with the same first turns lie together, in depth-first order, and a common
 beginning is cut at any place by the range partitioning, however many conversations share it. Within
 a sequence each node's tokens are emitted once; a sequence ends at max_tokens, and the next begins with the
-ancestors of its first node, marked `repeat`. Every node has the position id of its first token (the tokens
+ancestors of its first node, marked `repeat`; so are, but in one sequence, those that the range partitioning has put in several
+ranges. Repeats are context alone and bear no loss, so over all sequences each node is trained on once. Every node has the position id of its first token (the tokens
 of its ancestors) and the intervals of the sequence that its tokens attend to besides their own node's earlier ones.
 
 The template is `<turn>role\\ntext</turn>\\n`; the loss is on the texts of assistant turns, and their segment of
@@ -14,16 +15,20 @@ a line end in a role, one is put in; unescape() takes them away again.
 Defined cases. Null texts and roles are empty. Turns go by turn, then role and text, so repeated rows stand side by side and
 count each. A null turn comes first. A row without conv_id is a conversation of its own. Conversations with equal turns
 share all nodes. A conversation is read in one task, as its digests are those of one sequence; nothing else is gathered by conversation.
+Very long texts are tokenised whole, in a sequence of their own if they exceed max_tokens. An empty table gives no nodes. Only the columns named are
+read, so others may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +43,9 @@ _MARKED = re.compile(r"\\\\|<\\(?=/?turn>)")
 #: Paths that a task remembers so as not to send a conversation's copies on.
 _SEEN = 200_000
 
+#: key: the same for the same turn after the same turns, in whichever sequence.
 NODES = (
-    "sequence_id string, node int, parent int, repeat boolean, role string, position_start bigint, offset bigint, "
+    "sequence_id string, node int, parent int, key binary, repeat boolean, role string, position_start bigint, offset bigint, "
     "ids array<int>, loss_start int, loss_end int, attends array<struct<start:bigint,end:bigint>>, ends binary"
 )
 
@@ -85,8 +91,12 @@ class Codec:
             if all(c in byte_of for c in token):
                 self.bytes_of[i] = bytes(byte_of[c] for c in token)
 
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
+    def encode(self, text: str) -> array:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids if text else ())
+
+    @lru_cache(10_000)  # noqa: B019 - a worker has two codecs at most
+    def mark(self, text: str) -> array:
+        return self.encode(text)
 
     def decode(self, ids) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8")
@@ -136,63 +146,76 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pack()
 
 
+class _Node:
+    __slots__ = ("attends", "ends", "head", "ids", "key", "loss", "node", "offset", "parent", "position", "repeat", "role", "sequence")
+
+
+def _packed(nodes: list[_Node]) -> pa.RecordBatch:
+    """Nodes as a batch; lists by their offsets, as their tokens are most of it."""
+    offsets = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    ids = np.concatenate([np.frombuffer(n.ids, np.int32) for n in nodes]) if nodes else np.empty(0, np.int32)
+    spans = np.array([x for n in nodes for x in n.attends], np.int64).reshape(-1, 2)
+    attends = pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start", "end"])
+    plain = lambda name, kind: pa.array([getattr(n, name) for n in nodes], kind)
+    columns = {
+        "sequence_id": plain("sequence", pa.string()), "node": plain("node", pa.int32()), "parent": plain("parent", pa.int32()), "key": plain("key", pa.binary()), "repeat": plain("repeat", pa.bool_()),
+        "role": plain("role", pa.string()), "position_start": plain("position", pa.int64()), "offset": plain("offset", pa.int64()),
+        "ids": pa.ListArray.from_arrays(offsets([len(n.ids) for n in nodes]), pa.array(ids)), "loss_start": pa.array([n.loss[0] for n in nodes], pa.int32()), "loss_end": pa.array([n.loss[1] for n in nodes], pa.int32()),
+        "attends": pa.ListArray.from_arrays(offsets([len(n.attends) for n in nodes]), attends), "ends": plain("ends", pa.binary()), "head": plain("head", pa.bool_()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _tree(tokenizer: str, max_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
-        out: list[dict] = []
-        schema = pa.schema([
-            ("sequence_id", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("repeat", pa.bool_()), ("role", pa.string()), ("position_start", pa.int64()), ("offset", pa.int64()),
-            ("ids", pa.list_(pa.int32())), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("attends", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("ends", pa.binary()),
-        ])
-        stack: list[dict] = []  # the nodes on the way to the last one emitted
-        keys: list[bytes] = []
-        sequence, nodes, at = "", 0, 0
-
-        def emit(role: str, head: list[int], body: list[int], tail: list[int], repeat: bool) -> None:
-            nonlocal nodes, at
-            above = stack[-1] if stack else None
-            attends = [dict(x) for x in above["attends"]] if above else []
-            if above:  # adjoining intervals are one
-                own = (above["offset"], above["offset"] + len(above["ids"]))
-                if attends and attends[-1]["end"] == own[0]:
-                    attends[-1]["end"] = own[1]
-                else:
-                    attends.append({"start": own[0], "end": own[1]})
-            loss = role == "assistant"
-            ids = head + body + tail
-            row = {
-                "sequence_id": sequence, "node": nodes, "parent": above["node"] if above else None, "repeat": repeat, "role": role, "position_start": above["position_start"] + len(above["ids"]) if above else 0,
-                "offset": at, "ids": ids, "loss_start": len(head) if loss else 0, "loss_end": len(head) + len(body) if loss else 0, "attends": attends, "ends": None,
-            }
-            out.append(row)
-            stack.append(row)
-            nodes, at = nodes + 1, at + len(ids)
+        close = code.mark(CLOSE)
+        out: list[_Node] = []
+        held = 0
+        stack: list[_Node] = []  # the nodes on the way to the last one emitted
+        sequence, nodes, at, first = "", 0, 0, True
+
+        def emit(key: bytes, role: str, ids: array, loss: tuple[int, int], repeat: bool, head: bool) -> None:
+            nonlocal nodes, at, held
+            above, n = (stack[-1] if stack else None), _Node()
+            n.sequence, n.node, n.parent, n.key, n.repeat, n.head, n.role = sequence, nodes, None, key, repeat, head, role
+            n.position, n.offset, n.ids, n.loss, n.attends, n.ends = 0, at, ids, loss, (), None
+            if above:
+                n.parent, n.position = above.node, above.position + len(above.ids)
+                end = above.offset + len(above.ids)
+                # adjoining intervals are one
+                n.attends = (*above.attends[:-1], (above.attends[-1][0], end)) if above.attends and above.attends[-1][1] == above.offset else (*above.attends, (above.offset, end))
+            out.append(n)
+            stack.append(n)
+            nodes, at, held = nodes + 1, at + len(ids), held + len(ids)
 
         for path, path_key, roles, texts in _rows(batches):
             own = [path[i : i + 16] for i in range(0, len(path), 16)]
             common = 0
-            while common < min(len(own), len(keys)) and own[common] == keys[common]:
+            while common < min(len(own), len(stack)) and own[common] == stack[common].key:
                 common += 1
-            del stack[common:], keys[common:]
+            del stack[common:]
             if common < len(own) or not stack:
                 # Only what is new is tokenised; the ancestors' tokens are held in the stack.
-                fresh = [(r, code.encode(OPEN + escape_role(r) + "\n"), code.encode(escape(t)), code.encode(CLOSE)) for r, t in zip(roles[common:], texts[common:], strict=True)]
-                if not sequence or (at and at + sum(len(h) + len(b) + len(t) for _, h, b, t in fresh) > max_tokens):
+                fresh = []
+                for key, role, text in zip(own[common:], roles[common:], texts[common:], strict=True):
+                    head, body = code.mark(OPEN + escape_role(role) + "\n"), code.encode(escape(text))
+                    fresh.append((key, role, head + body + close, (len(head), len(head) + len(body)) if role == "assistant" else (0, 0)))
+                if not sequence or (at and at + sum(len(x[2]) for x in fresh) > max_tokens):
                     sequence, nodes, at = path_key.hex(), 0, 0
                     again, stack[:] = list(stack), []
-                    for row in again:
-                        a, b = row["loss_start"], row["loss_end"]
-                        emit(row["role"], row["ids"][:a], row["ids"][a:b], row["ids"][b:], True)
-                for (role, head, body, tail), key in zip(fresh, own[common:], strict=True):
-                    emit(role, head, body, tail, False)
-                    keys.append(key)
-            if stack[-1]["ends"] is None:
-                stack[-1]["ends"] = path_key
-            if len(out) >= 4_000:
+                    for n in again:
+                        emit(n.key, n.role, n.ids, (0, 0), True, False)
+                for key, role, ids, loss in fresh:
+                    emit(key, role, ids, loss, False, first)
+            first = False
+            if stack[-1].ends is None:
+                stack[-1].ends = path_key
+            if held > 1 << 20 or len(out) >= 20_000:
                 # A path that ends inside others comes before them, so no row here is changed later.
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out.clear()
-        yield pa.RecordBatch.from_pylist(out, schema)
+                yield _packed(out)
+                out, held = [], 0
+        yield _packed(out)
 
     return run
 
@@ -208,10 +231,20 @@ def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
     return stored(ordered.mapInArrow(_conversations, "conv_id bigint, path_key binary, path binary, roles array<string>, texts array<string>"), "conversations")
 
 
-def prefix_trees(convs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int = 65_536) -> DataFrame:
+def prefix_trees(convs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int = 65_536, ranges: int | None = None) -> DataFrame:
     """The nodes, as NODES says, of the sequences that hold all conversations. ends is the path_key of the conversation whose last turn a node is."""
     paths = convs.where("path IS NOT NULL").select("path", "path_key", "roles", "texts")
-    return stored(paths.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_tree(tokenizer, max_tokens), NODES), "chat-nodes")
+    ranged = paths.repartitionByRange(ranges, "path") if ranges else paths.repartitionByRange("path")
+    nodes = stored(ranged.sortWithinPartitions("path").mapInArrow(_tree(tokenizer, max_tokens), f"{NODES}, head boolean"), "chat-nodes")
+    # Nodes on a range's first path may be in the range before as well: a path's length of them for each range.
+    heads = nodes.where("head AND NOT repeat").select("key").distinct()
+    several = stored(
+        nodes.where("NOT repeat").select("key", "sequence_id").join(heads, "key", "left_semi").groupBy("key").agg(F.min("sequence_id").alias("__once"), F.count("*").alias("n")).where("n > 1").select("key", "__once"),
+        "chat-heads",
+    )
+    again = F.col("repeat") | (F.col("__once").isNotNull() & (F.col("__once") != F.col("sequence_id")))
+    columns = {"repeat": again} | {c: F.when(again, F.lit(0)).otherwise(F.col(c)) for c in ("loss_start", "loss_end")}
+    return nodes.join(several, "key", "left").select(*(columns.get(c, F.col(c)).alias(c) for c in nodes.columns if c != "head"))
 
 
 def _read(tokenizer: str):
@@ -253,7 +286,14 @@ def _read(tokenizer: str):
 
 
 def read_back(nodes: DataFrame, convs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Of each conversation what its way through the tree gives when its tokens are decoded. A sequence has max_tokens at most, or one conversation."""
-    ordered = nodes.select("sequence_id", "node", "parent", "ids", "loss_start", "loss_end", "ends").repartition("sequence_id").sortWithinPartitions("sequence_id", "node")
+    """Of each conversation what its way through the tree gives when its tokens are decoded. A sequence has max_tokens at most, or one conversation.
+
+    A repeated turn's loss is that of the one place where it is trained on.
+    """
+    columns = ["sequence_id", "node", "parent", "ids", "loss_start", "loss_end", "ends"]
+    repeats = nodes.where("repeat").select("key").distinct()
+    trained = nodes.where("NOT repeat").select("key", "loss_start", "loss_end").join(repeats, "key", "left_semi")
+    again = nodes.where("repeat").drop("loss_start", "loss_end").join(trained, "key").select(*columns)
+    ordered = nodes.where("NOT repeat").select(*columns).unionByName(again).repartition("sequence_id").sortWithinPartitions("sequence_id", "node")
     read = ordered.mapInArrow(_read(tokenizer), "path_key binary, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     return convs.select("conv_id", "path_key").join(stored(read.dropDuplicates(["path_key"]), "chat-read"), "path_key").drop("path_key")

@@ -231,11 +231,14 @@ def test_chat_trees(spark, max_tokens):
     rows = [*conversations(), (None, 0, "user", "lost"), (None, 0, "assistant", "lost too")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("path", F.lit("p")).repartition(3)
     convs = chat_tree.conversations(df)
-    nodes = chat_tree.prefix_trees(convs, max_tokens=max_tokens)
+    nodes = chat_tree.prefix_trees(convs, max_tokens=max_tokens, ranges=3 if max_tokens < 1000 else None)
     got = chat_tree.read_back(nodes, convs)
     assert Counter(tuple(r) for r in got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()) == brute_chat(rows)
-    for sequence in {r.sequence_id for r in nodes.collect()}:
-        own = {r.node: r for r in nodes.where(F.col("sequence_id") == sequence).collect()}
+    held = defaultdict(dict)
+    for r in nodes.collect():
+        held[r.sequence_id][r.node] = r
+    once = Counter()
+    for own in held.values():
         at = 0
         for k in sorted(own):
             r = own[k]
@@ -248,12 +251,29 @@ def test_chat_trees(spark, max_tokens):
             assert r.position_start == sum(len(w.ids) for w in way)
             seen = {i for a in r.attends for i in range(a.start, a.end)}
             assert seen == {i for w in way for i in range(w.offset, w.offset + len(w.ids))}
-    if max_tokens > 1000:  # nothing is cut: each prefix is there once in a task's range
-        assert nodes.where("repeat").count() == 0
+            assert not r.repeat or r.loss_start == r.loss_end == 0
+            once[bytes(r.key)] += not r.repeat
+    assert set(once.values()) == {1}  # each turn after the same turns is trained on once, whatever ranges and sequences it is in
     empty = chat_tree.conversations(df.limit(0))
     assert chat_tree.read_back(chat_tree.prefix_trees(empty), empty).count() == 0
 
 
+def test_shared_turns_bear_their_loss_once(spark):
+    turns = [(0, "user", "hello there"), (1, "assistant", "the shared answer")]
+    rows = [(c, *t) for c in range(200) for t in [*turns, (2, "user", f"question {c}"), (3, "assistant", f"answer {c} " * 5)]]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    convs = chat_tree.conversations(df)
+    code = chat_tree.codec(chat_tree.TOKENIZER)
+    for max_tokens in (200, 65_536):
+        nodes = chat_tree.prefix_trees(convs, max_tokens=max_tokens, ranges=4)
+        under_loss = Counter(code.decode(r.ids[r.loss_start : r.loss_end]) for r in nodes.where("role = 'assistant'").collect())
+        assert under_loss.pop("the shared answer") == 1 and under_loss.pop("", 0) == nodes.where("repeat AND role = 'assistant'").count()
+        assert under_loss == Counter(f"answer {c} " * 5 for c in range(200))
+        assert nodes.where("repeat").count() > 0
+        got = Counter(tuple(r) for r in chat_tree.read_back(nodes, convs).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect())
+        assert got == brute_chat(rows)
+
+
 # ---- URLs
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
