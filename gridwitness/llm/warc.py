@@ -1,19 +1,22 @@
 """WARC archives: writing, reading and revisit resolution.
 
-Headers (digest, size, page) are grouped by payload digest; the record of smallest page_id of equal payloads stays a response, the others
-become revisits that refer to it. Archives are written by Spark's own text writer, whose record separator is
-the two line ends that close a WARC record, so a lost executor's files are written anew and committed once. Reading goes through
-the binary reader and follows the content lengths; revisits are joined to the responses they refer to.
+Headers (digest, page) are grouped by payload digest; the record of smallest page_id of equal payloads stays a response, the others
+become revisits that refer to it. Only digests that several records have are joined back, as a table of known size: Spark sends it
+to the payloads where it is small, so that these stay where they are, and else deals both out by digest. Every record is written as a gzip member of its own, so any
+can be read by its offset; archives of bounded size are rows of Spark's own text writer, whose line separator is an empty gzip member at the end of the file, so
+a lost executor's files are written anew and committed once. Reading goes through
+the binary reader and follows the content lengths, unzipping a bounded piece at a time; revisits are joined to the responses they refer to.
 
 Defined cases. A null payload is empty. Records with payloads under min_bytes are all responses. Rows with the smallest
 page_id of a payload are all responses, if repeated. A null page_id is never the smallest one; where all are null
 all are responses. A URL with control characters is form-encoded in its header; a null URL leaves its header out. An
-empty table gives archives without records.
+empty table gives no archives. Very long payloads are written and read whole, one at a time. Only the columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import shared_path, stored
 
 END = "\r\n\r\n"
+#: A gzip member without content.
+NOTHING = bytes.fromhex("1f8b08000000000000ff") + bytes.fromhex("0300") + bytes(8)
 #: Before a URL that holds control characters or spaces, form-encoded to fit a header.
 ESCAPED = "x-escaped:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,19 +51,41 @@ def record_id(page_id: Column, digest: Column) -> Column:
 
 def resolved(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """records (page_id, url, payload) with digest, bytes and first: the page that a revisit refers to, null for responses."""
-    known = records.withColumn("payload", F.coalesce(F.col("payload"), F.lit("").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", base32(F.sha1("payload")))
+    payload = F.coalesce(F.col("payload"), F.lit("").cast("binary"))
     # md5 beside SHA-1: payloads made to collide in one are still told apart
-    keyed = known.withColumn("__key", F.concat(F.col("digest"), F.md5("payload")))
-    first = keyed.where((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("__key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    headers = records.select("page_id", F.octet_length(payload).alias("bytes"), F.concat(F.unhex(F.sha1(payload)), F.unhex(F.md5(payload))).alias("__key"))
+    copied = headers.where(F.col("bytes") >= min_bytes).groupBy("__key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    first = stored(copied.select("__key", "first"), "warc-copies")
+    known = records.select("page_id", "url", payload.alias("payload")).withColumns({"bytes": F.octet_length("payload").cast("bigint"), "digest": base32(F.sha1("payload")), "__key": F.concat(F.unhex(F.sha1("payload")), F.unhex(F.md5("payload")))})
     return (
-        keyed.join(first, "__key", "left")  # AQE splits a payload that many pages share
+        known.join(first, "__key", "left")  # by its size a broadcast, or AQE splits a payload that many pages share
         .withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")))
         .select("page_id", "url", "payload", "bytes", "digest", "first")
     )
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """records as resolved() gives them, as gzipped WARC 1.1 files with fresh headers; revisits without their payload."""
+def _archives(most_bytes: int, level: int):
+    """Rows (value), each a record, as archives (value) of about most_bytes: a gzip member a record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+        held = 0
+        for batch in batches:
+            for record in batch.column(0):
+                members.append(gzip.compress(record.as_py() + END.encode(), level, mtime=0))
+                held += len(members[-1])
+                if held >= most_bytes:
+                    yield pack()
+                    members, held = [], 0
+        if members:
+            yield pack()
+
+    return run
+
+
+def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", most_bytes: int = 1 << 25, level: int = 6) -> None:
+    """records as resolved() gives them, as gzipped WARC 1.1 files of about most_bytes with fresh headers; revisits without their payload."""
     crlf, revisit = "\r\n", F.col("first").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(crlf)), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("bytes").cast("string"), F.lit(END))
@@ -73,15 +100,18 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         line("Content-Type", F.lit("application/http; msgtype=response")), F.lit("Content-Length: "), size.cast("string"), F.lit(END), http,
     )
     value = F.concat(head.cast("binary"), F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload")))
-    # the join before leaves partitions of AQE's advisory size, or the scan's; the count of records bounds files of small ones
-    records.select(value.cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
+    archives = records.select(value.alias("value")).mapInArrow(_archives(most_bytes, level), "value binary")
+    # Bytes as they are: a value is not looked into, and the separator's characters stand for its bytes.
+    archives.select(F.col("value").cast("string").alias("value")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def parsed(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record in a stream of bytes; holds one record at a time."""
-    held = b""
+    """(headers, block) of each record in a stream of bytes; holds one record and one chunk at a time."""
+    held, wanted = bytearray(), 0
     for chunk in chunks:
-        held = held + chunk if held else chunk
+        held += chunk
+        if len(held) < wanted:
+            continue
         at = 0
         while (end := held.find(b"\r\n\r\n", at)) >= 0:
             lines = held[at:end].decode("utf-8").split("\r\n")
@@ -89,28 +119,34 @@ def parsed(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
                 raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
             headers = dict(x.split(": ", 1) for x in lines[1:])
             stop = end + 4 + int(headers["Content-Length"])
+            wanted = stop + 4 - at
             if len(held) < stop + 4:
                 break
-            yield headers, held[end + 4 : stop]
-            at = stop + 4
-        held = held[at:]
+            yield headers, bytes(held[end + 4 : stop])
+            at, wanted = stop + 4, 0
+        del held[:at]
     if held:
         raise ValueError("an archive ends inside a record")
 
 
-def _unzipped(data: bytes, step: int = 1 << 22) -> Iterator[bytes]:
-    """The content of one or more gzip members."""
-    z = zlib.decompressobj(31)
-    for at in range(0, len(data), step):
-        chunk = data[at : at + step]
-        while chunk:
-            if z.eof:
-                z = zlib.decompressobj(31)
-            if out := z.decompress(chunk):
+def _unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The content of one or more gzip members in pieces of step bytes at most, however well they compress."""
+    view, at, z = memoryview(data), 0, None
+    while at < len(data):
+        z = zlib.decompressobj(31)
+        chunk = view[at : at + step]
+        while not z.eof:
+            at += len(chunk)
+            if out := z.decompress(chunk, step):
                 yield out
-            chunk = z.unused_data if z.eof else b""
-    if data and not z.eof:
-        raise ValueError("an archive is cut short")
+            rest = z.unconsumed_tail
+            if z.eof:
+                at -= len(z.unused_data)
+            elif rest:
+                at -= len(rest)
+            elif at >= len(data) and not out:
+                raise ValueError("an archive is cut short")
+            chunk = view[at : at + step]
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:

@@ -188,6 +188,33 @@ def test_archives_round_trip_and_rewriting(spark, pages, tmp_path):
         list(warc.parsed(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"])))
 
 
+def test_archives_are_unzipped_in_bounded_pieces_and_records_read_alone(spark, pages, tmp_path):
+    import gzip
+
+    members = [b"x" * 5_000_000, b"", b"abc" * 1000, b"y" * 70_000]
+    data = b"".join(gzip.compress(m) for m in members) + warc.NOTHING
+    for step in (1000, 1 << 20):
+        got = list(warc._unzipped(data, step))
+        assert b"".join(got) == b"".join(members) and max(map(len, got)) <= step
+    with pytest.raises(ValueError):
+        list(warc._unzipped(data[:-25]))
+    assert gzip.decompress(warc.NOTHING) == b"" and list(warc._unzipped(b"")) == []
+    _, df = pages
+    records = df.select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    warc.write_archives(warc.resolved(records), f"file://{tmp_path}/c", most_bytes=2_000)
+    files = list((tmp_path / "c").glob("part-*"))
+    assert len(files) > 4
+    for file in files:
+        body, starts = file.read_bytes(), []
+        at = 0
+        while at < len(body):  # every member is a record, but for the empty one at the end
+            z = zlib.decompressobj(31)
+            one = z.decompress(body[at:])
+            starts.append(one)
+            at = len(body) - len(z.unused_data)
+        assert starts[-1] == b"" and all(len(list(warc.parsed(iter([m])))) == 1 for m in starts[:-1])
+
+
 # ---- chat
 
 
