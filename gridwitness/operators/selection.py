@@ -6,6 +6,7 @@ Withheld observations never take part: gather() alone makes what the selections
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -28,8 +29,18 @@ class Gathered:
     withheld: DataFrame
 
 
-def lit_time(at: str | datetime) -> Column:
-    return F.lit(at).cast("timestamp_ntz") if isinstance(at, str) else F.lit(at)
+_INSTANT = re.compile(r"^(\d{4}-\d\d-\d\d)(?:[T ](\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?)?Z?$")
+
+
+def instant(at: str | datetime) -> int:
+    """A UTC instant as whole nanoseconds; text may have nine decimals."""
+    if isinstance(at, datetime):
+        at = at.isoformat()
+    parts = _INSTANT.match(at)
+    if parts is None:
+        raise ValueError(f"not a UTC instant: {at!r}")
+    whole = datetime.fromisoformat(f"{parts[1]}T{parts[2] or '00:00:00'}") - datetime(1970, 1, 1)
+    return (whole.days * 86_400 + whole.seconds) * 1_000_000_000 + int((parts[3] or "").ljust(9, "0"))
 
 
 def redaction_match() -> Column:
@@ -75,34 +86,38 @@ def _ranked_groups(groups: Column) -> Column:
     return F.array_sort(groups, order)
 
 
-def _verdicts(latest: DataFrame, window_seconds: float) -> DataFrame:
-    """latest: one row a cell and contributor. One row a cell with its verdict."""
-    groups = latest.groupBy(*CELL, "state_digest").agg(
+def _verdicts(latest: DataFrame, window_seconds: float, keys: tuple[str, ...] = CELL) -> DataFrame:
+    """latest: one row a key and contributor, its last state (null if none counts) and revisits. One row a key with its verdict."""
+    groups = latest.groupBy(*keys, "last.state_digest").agg(
         F.count("*").alias("n"),
-        F.max("t").alias("latest_at"),
-        F.min("t").alias("first_at"),
-        F.max("row").alias("top"),
+        F.max("last.t").alias("latest_at"),
+        F.min("last.t").alias("first_at"),
+        F.max("last.row").alias("top"),
         F.sort_array(F.collect_list("contributor")).alias("contributors"),
-        F.array_sort(F.collect_list("row")).alias("observations"),  # a row a contributor
+        F.array_sort(F.collect_list("last.row")).alias("observations"),  # a row a contributor
+        F.flatten(F.collect_list("revisits")).alias("revisits"),
     )
-    cells = groups.groupBy(*CELL).agg(
-        F.collect_list(F.struct("n", "latest_at", "state_digest", "top", "contributors", "observations")).alias("groups"),
+    group = F.struct("n", "latest_at", "state_digest", "top", "contributors", "observations")
+    cells = groups.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("state_digest").isNotNull(), group)).alias("groups"),
         (F.max("latest_at") - F.min("first_at")).alias("spread"),
         F.max("top").alias("newest"),
+        F.array_sort(F.flatten(F.collect_list("revisits"))).alias("revisits"),
     )
-    g = _ranked_groups(F.col("groups"))
-    cells = cells.withColumn("groups", g)
-    best, second = F.col("groups")[0], F.get("groups", F.lit(1))
+    cells = cells.withColumn("groups", _ranked_groups(F.col("groups")))
+    best, second = F.get("groups", F.lit(0)), F.get("groups", F.lit(1))
     corroborated = (best["n"] >= 2) & (second.isNull() | (best["n"] > second["n"]))
-    chosen = F.when(corroborated | second.isNull(), best).otherwise(F.filter("groups", lambda s: s["top"] == F.col("newest"))[0])
+    newest = F.get(F.filter("groups", lambda s: s["top"] == F.col("newest")), F.lit(0))
     limit = F.lit(round(window_seconds * 1_000_000_000)).cast("bigint")
-    cells = cells.withColumn("chosen", chosen).withColumn(
-        "status", F.when(corroborated, "corroborated").when(second.isNull(), "single-source").when(F.col("spread") <= limit, "conflict").otherwise("superseded")
+    cells = cells.withColumn("chosen", F.when(corroborated | second.isNull(), best).otherwise(newest)).withColumn(
+        "status",
+        F.when(best.isNull(), "unknown").when(corroborated, "corroborated").when(second.isNull(), "single-source").when(F.col("spread") <= limit, "conflict").otherwise("superseded"),
     )
     others = F.filter("groups", lambda s: s["state_digest"] != F.col("chosen")["state_digest"])
     return cells.select(
-        *CELL, "status", F.col("chosen.state_digest").alias("state_digest"), F.col("chosen.top.id").alias("id"), F.col("chosen.top.observed_at").alias("observed_at"),
+        *keys, "status", F.col("chosen.state_digest").alias("state_digest"), F.col("chosen.top.id").alias("id"), F.col("chosen.top.observed_at").alias("observed_at"),
         F.col("chosen.contributors").alias("contributors"), F.when(F.size(others) > 0, F.transform(others, lambda s: F.struct(s["state_digest"].alias("state_digest"), s["contributors"].alias("contributors"), s["observations"].alias("observations")))).alias("rejected"),
+        "revisits",
     )
 
 
@@ -112,19 +127,22 @@ def nanoseconds() -> Column:
 
 
 def _rows(observations: DataFrame) -> DataFrame:
-    return observations.select(*CELL, "contributor", "state_digest", "observed_at", nanoseconds().alias("t"), order_key().alias("row"))
+    return observations.select(*CELL, "contributor", "state_digest", nanoseconds().alias("t"), order_key().alias("row"))
+
+
+def _last(until: int) -> Column:
+    """A contributor's last row up to that instant, to the nanosecond; null if all are later."""
+    return F.max_by(F.struct("state_digest", "t", "row"), F.when(F.col("t") <= F.lit(until), F.col("row")))
 
 
 def select_at(gathered: Gathered, at: str | datetime, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
     """One row a cell known at any time: status, selected state and observation, its contributors and the rejected states.
 
-    Two hash aggregates on the cell, no join: a cell without an eligible row comes out of the same aggregation as unknown.
+    One scan and no join: rows are aggregated by cell and contributor, later ones to null, and then, dealt out by cell once, by
+    state and by cell; a cell whose rows are all later than the instant comes out of the same aggregation as unknown.
     """
-    rows = _rows(gathered.observations)
-    latest = rows.where(F.col("observed_at") <= lit_time(at)).groupBy(*CELL, "contributor").agg(F.max_by(F.struct("state_digest", "t", "row"), "row").alias("last")).select(*CELL, "contributor", "last.*")
-    known = _verdicts(latest, window_seconds)
-    later = rows.groupBy(*CELL).agg(F.min("observed_at").alias("first")).where(F.col("first") > lit_time(at)).select(*CELL, F.lit("unknown").alias("status"))
-    return known.unionByName(later, allowMissingColumns=True)
+    latest = _rows(gathered.observations).groupBy(*CELL, "contributor").agg(_last(instant(at)).alias("last")).withColumn("revisits", F.array())
+    return _verdicts(latest.repartition(*CELL), window_seconds).drop("revisits")
 
 
 def status_summary(selected: DataFrame, *by: str) -> DataFrame:
@@ -137,29 +155,28 @@ def status_summary(selected: DataFrame, *by: str) -> DataFrame:
 def diff_between(gathered: Gathered, start: str | datetime, end: str | datetime) -> DataFrame:
     """What happened to each cell between two instants, in whichever order they are given.
 
-    kind: never-seen, first-seen, changed, not-revisited or unchanged; revisits: observations in (start, end].
-    One scan: both ends are two rows of the same aggregation, and absence of a revisit is never taken as no change.
+    kind: never-seen, first-seen, changed, not-revisited or unchanged; revisits: observations in (start, end], to the nanosecond.
+    One scan and no join: a contributor's last rows at both ends and its revisits come out of one aggregation, the verdicts of both
+    ends and the revisits out of the next. Absence of a revisit is never taken as no change.
     """
-    a, b = sorted((start, end))
-    a, b = lit_time(a), lit_time(b)
-    rows = _rows(gathered.observations)
-    ends = rows.select("*", F.explode(F.when(F.col("observed_at") <= a, F.array(F.lit(0), F.lit(1))).when(F.col("observed_at") <= b, F.array(F.lit(1)))).alias("end"))
-    latest = ends.groupBy(*CELL, "contributor", "end").agg(F.max_by(F.struct("state_digest", "t", "row"), "row").alias("last")).select(*CELL, "contributor", "end", "last.*")
-    # the verdict of a cell at either end: the end is made part of the cell while selecting
-    marked = latest.withColumn("server_id", F.struct("server_id", "end")).drop("end")
-    verdicts = _verdicts(marked, WINDOW_SECONDS).select(F.col("server_id.server_id").alias("server_id"), F.col("server_id.end").alias("end"), "dimension", "x", "z", "status", "state_digest")
-    sides = verdicts.groupBy(*CELL).agg(
-        *(F.max(F.when(F.col("end") == k, F.col(c))).alias(f"{name}_{c}") for k, name in ((0, "before"), (1, "after")) for c in ("status", "state_digest"))
+    a, b = sorted((instant(start), instant(end)))
+    seen = F.struct(F.col("row.observed_at").alias("observed_at"), F.col("row.observed_nanos").alias("observed_nanos"), F.col("row.id").alias("id"), "contributor", "state_digest")
+    people = _rows(gathered.observations).groupBy(*CELL, "contributor").agg(
+        _last(a).alias("before"), _last(b).alias("after"), F.collect_list(F.when((F.col("t") > F.lit(a)) & (F.col("t") <= F.lit(b)), seen)).alias("revisits")
     )
-    seen = rows.groupBy(*CELL).agg(
-        F.array_sort(F.collect_list(F.when((F.col("observed_at") > a) & (F.col("observed_at") <= b), F.struct(F.col("row.observed_at").alias("observed_at"), F.col("row.observed_nanos").alias("observed_nanos"), F.col("row.id").alias("id"), "contributor", "state_digest")))).alias("revisits")
+    nothing = F.filter("revisits", lambda _: F.lit(False))
+    both = F.array(F.struct(F.lit(0).alias("end"), F.col("before").alias("last"), nothing.alias("revisits")), F.struct(F.lit(1).alias("end"), F.col("after").alias("last"), F.col("revisits").alias("revisits")))
+    ends = people.repartition(*CELL).select(*CELL, "contributor", F.inline(both))
+    verdicts = _verdicts(ends, WINDOW_SECONDS, (*CELL, "end"))
+    sides = verdicts.groupBy(*CELL).agg(
+        *(F.max(F.when(F.col("end") == k, F.col(c))).alias(f"{name}_{c}") for k, name in ((0, "before"), (1, "after")) for c in ("status", "state_digest")),
+        F.max_by("revisits", "end").alias("revisits"),
     )
-    both = seen.join(sides, list(CELL), "left")
     before, after = F.col("before_state_digest"), F.col("after_state_digest")
     kind = (
         F.when(before.isNull() & after.isNull(), "never-seen").when(before.isNull(), "first-seen").when(before != after, "changed").when(F.size("revisits") == 0, "not-revisited").otherwise("unchanged")
     )
-    return both.select(*CELL, kind.alias("kind"), F.coalesce("before_status", F.lit("unknown")).alias("before_status"), before, F.coalesce("after_status", F.lit("unknown")).alias("after_status"), after, "revisits", F.array_distinct(F.transform("revisits", lambda r: r["contributor"])).alias("revisited_by"))
+    return sides.select(*CELL, kind.alias("kind"), "before_status", before, "after_status", after, "revisits", F.array_distinct(F.transform("revisits", lambda r: r["contributor"])).alias("revisited_by"))
 
 
 DIFF_KINDS = ("never-seen", "first-seen", "changed", "not-revisited", "unchanged")

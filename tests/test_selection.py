@@ -148,6 +148,25 @@ def test_summary_counts_each_status(ledger):
     assert (s.chunks, s.single_source, s.unknown, s.corroborated) == (2, 1, 1, 0)
 
 
-def test_plans_need_no_join_for_a_selection(spark, ledger):
-    plan = selection.select_at(ledger([row("a", 1, "A")]), AT)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan
+def test_instants_are_exact_to_the_nanosecond(ledger):
+    """Rows a nanosecond before, at and after an instant; the time in microseconds is the same for all."""
+    at, rows = "2026-08-09 13:00:00.000000500", [row("a", 60, "before", nanos=499), row("b", 60, "at", (2, 2), nanos=500), row("c", 60, "after", (3, 3), nanos=501)]
+    got = {r.x: (r.status, r.state_digest) for r in selection.select_at(ledger(rows), at).collect()}
+    assert got == {1: ("single-source", "before"), 2: ("single-source", "at"), 3: ("unknown", None)}
+    later = "2026-08-09 13:00:00.000000501"
+    assert {r.x: r.kind for r in selection.diff_between(ledger(rows), at, later).collect()} == {1: "not-revisited", 2: "not-revisited", 3: "first-seen"}
+    # an interval is open at its start and closed at its end
+    rows = [row("a", 60, "A", nanos=0), row("a", 60, "A", nanos=499, n="start"), row("a", 60, "A", nanos=500, n="in"), row("a", 60, "A", nanos=501, n="end"), row("a", 60, "B", nanos=502, n="late")]
+    d = selection.diff_between(ledger(rows), "2026-08-09T13:00:00.000000499Z", later).first()
+    assert [r.id for r in d.revisits] == ["in", "end"] and d.kind == "unchanged" and d.after_state_digest == "A"
+    assert selection.instant("1970-01-01 00:00:01.5") == 1_500_000_000 and selection.instant("1969-12-31 23:59:59.999999999") == -1 and selection.instant(START) == selection.instant("2026-08-09 12:00:00")
+    with pytest.raises(ValueError):
+        selection.instant("yesterday")
+
+
+def test_plans_read_once_and_join_nothing(spark, tmp_path):
+    spark.createDataFrame([row("a", 1, "A")], SCHEMA).write.parquet(f"{tmp_path}/rows")
+    held = selection.gather(spark.read.parquet(f"{tmp_path}/rows"))
+    for df in (selection.select_at(held, AT), selection.diff_between(held, AT, "2026-08-09 14:00:00")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 2
