@@ -6,6 +6,10 @@ dimensions, of the ledger over servers. So equal roots settle a comparison, and
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,53 @@ def _sorted(*columns: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*columns)))
 
 
+def _running(keys: int, head: bytes):
+    """Of rows (keys, item) in order: keys, number of items and the digest of head and the items, each closed by NUL. Holds a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, n, out, schema = None, hashlib.sha256(head), 0, [], None
+
+        def pack() -> pa.RecordBatch:
+            columns = [pa.array([x[i] for x in out], schema.field(i).type) for i in range(keys)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x[-2] for x in out], pa.int64()), pa.array([x[-1] for x in out], pa.string())], names=[*schema.names[:keys], "items", "digest"])
+
+        for batch in batches:
+            schema, a = batch.schema, 0
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True)) if keys else [()] * batch.num_rows
+            items = batch.column(keys).to_pylist()
+            while a < len(items):
+                b = a
+                while b < len(items) and own[b] == own[a]:
+                    b += 1
+                if at is not None and own[a] != at:
+                    out.append((*at, n, digest.hexdigest()))
+                    digest, n = hashlib.sha256(head), 0
+                at = own[a]
+                digest.update(("\0".join(items[a:b]) + "\0").encode())
+                a, n = b, n + b - a
+            if len(out) > 10_000:
+                yield pack()
+                out.clear()
+        if at is not None:
+            out.append((*at, n, digest.hexdigest()))
+            yield pack()
+
+    return run
+
+
+def running_digest(rows: DataFrame, keys: list[str], order: list[str], item: Column, head: str = "") -> DataFrame:
+    """(keys, items, digest) of rows by key. A digest is one sequence, so a key's rows go through one task in order; they are
+    sorted there, on disk if need be, and streamed. Without keys, one row, also of none."""
+    parts = rows.select(*keys, *order, item.alias("__item"))
+    dealt = parts.repartition(*keys) if keys else parts.repartition(1)
+    types = ", ".join([*(f"`{k}` {parts.schema[k].dataType.simpleString()}" for k in keys), "items bigint, digest string"])
+    found = dealt.sortWithinPartitions(*keys, *order).select(*keys, "__item").mapInArrow(_running(len(keys), head.encode()), types)
+    if keys:
+        return found
+    none = hashlib.sha256(head.encode()).hexdigest()
+    return found.agg(F.coalesce(F.max("items"), F.lit(0)).alias("items"), F.coalesce(F.max("digest"), F.lit(none)).alias("digest"))  # one row at most
+
+
 # ---- manifests -------------------------------------------------------------------------------------------------
 
 
@@ -26,8 +77,11 @@ def chunk_manifest(observations: DataFrame) -> DataFrame:
 
 
 def dimension_manifest(chunk: DataFrame) -> DataFrame:
-    lines = F.transform(_sorted("x", "z", "digest"), lambda c: F.concat_ws(":", c["x"].cast("string"), c["z"].cast("string"), c["digest"]))
-    return chunk.groupBy("server_id", "dimension").agg(F.count("*").alias("chunks"), F.sum("observations").alias("observations"), chained(lines).alias("digest"))
+    """(server_id, dimension, chunks, observations, digest); a dimension's cells are streamed, none are gathered."""
+    keys = ["server_id", "dimension"]
+    digests = running_digest(chunk, keys, ["x", "z"], F.concat_ws(":", F.col("x").cast("string"), F.col("z").cast("string"), "digest"))
+    counts = chunk.groupBy(*keys).agg(F.count("*").alias("chunks"), F.sum("observations").alias("observations"))
+    return counts.join(digests.select(*keys, "digest"), keys)
 
 
 def _named(column: str) -> Column:
@@ -85,10 +139,11 @@ def fingerprint_components(components: DataFrame) -> DataFrame:
 
 
 def fingerprint_root(states: DataFrame, components: DataFrame) -> DataFrame:
-    """One row: the digest over the sorted lines of states, then of components."""
-    s = states.agg(F.transform(_sorted(*CELL, "state_digest"), lambda r: F.concat_ws(" ", F.lit("state"), *(r[c].cast("string") for c in (*CELL, "state_digest")))).alias("s"))
-    c = components.agg(F.transform(_sorted("name", "digest", "size"), lambda r: F.concat_ws(" ", F.lit("component"), r["name"], r["digest"], r["size"].cast("string"))).alias("c"))
-    return s.join(c).select(chained(F.concat("s", "c")).alias("root"), F.size("s").alias("states"), F.size("c").alias("components"))  # two single rows
+    """One row: the digest over the sorted lines of states, then of components, streamed."""
+    s = states.select(F.lit(0).alias("part"), F.col("server_id").alias("a"), F.col("dimension").alias("b"), "x", "z", F.col("state_digest").alias("d"), F.concat_ws(" ", F.lit("state"), *(F.col(c).cast("string") for c in (*CELL, "state_digest"))).alias("line"))
+    c = components.select(F.lit(1).alias("part"), F.col("name").alias("a"), F.col("digest").alias("b"), F.lit(0).alias("x"), F.lit(0).alias("z"), F.lpad(F.col("size").cast("string"), 20, "0").alias("d"), F.concat_ws(" ", F.lit("component"), "name", "digest", F.col("size").cast("string")).alias("line"))
+    root = running_digest(s.unionByName(c), [], ["part", "a", "b", "x", "z", "d"], F.col("line")).select(F.col("digest").alias("root"))
+    return root.join(states.agg(F.count("*").alias("states"))).join(components.agg(F.count("*").alias("components")))  # single rows
 
 
 def compare_fingerprints(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -153,9 +208,10 @@ def epoch_manifest(selected: DataFrame) -> DataFrame:
 
 def epoch_root(epoch: DataFrame, server: str, dimension: str, at: str, nanos: int = 0, policy: str = "corroborated-first", namespace: str = NAMESPACE) -> DataFrame:
     """One row: the digest of the selected world, whoever contributed to it."""
-    head = F.array(F.lit(f"{namespace}.archive-epoch/v1"), F.lit(server), F.lit(dimension), rfc3339_nano(F.lit(at).cast("timestamp_ntz"), F.lit(nanos)), F.lit(policy))
-    cells = F.flatten(F.transform(_sorted("x", "z", "state_digest"), lambda c: F.array(c["x"].cast("string"), c["z"].cast("string"), c["state_digest"])))
-    return epoch.agg(cells.alias("cells"), F.count("*").alias("chunks")).select(chained(F.concat(head, "cells")).alias("root"), "chunks")
+    world = epoch.sparkSession.range(1).select(rfc3339_nano(F.lit(at).cast("timestamp_ntz"), F.lit(nanos)).alias("at")).first().at
+    head = "".join(f"{x}\0" for x in (f"{namespace}.archive-epoch/v1", server, dimension, world, policy))
+    found = running_digest(epoch, [], ["x", "z", "state_digest"], F.concat_ws("\0", F.col("x").cast("string"), F.col("z").cast("string"), "state_digest"), head)
+    return found.select(F.col("digest").alias("root"), F.col("items").alias("chunks"))
 
 
 def compare_epochs(a: DataFrame, b: DataFrame) -> DataFrame:

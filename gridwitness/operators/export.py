@@ -172,8 +172,10 @@ def coverage_map(cells: DataFrame, scale: int = 1) -> bytes:
     if max(w, h) * scale > MOST_PIXELS:
         raise ValueError(f"a map of {w} x {h} cells is too large at that scale")
     out = np.full((h, w, 3), BACKGROUND, np.uint8)
-    for r in known.select("x", "z", "status").toLocalIterator():
-        out[r.z - b.min_z, r.x - b.min_x] = COLOURS[r.status]
+    names = list(COLOURS)
+    code = F.array_position(F.array(*map(F.lit, names)), F.col("status")).cast("int")
+    for r in known.groupBy("z").agg(F.collect_list("x").alias("x"), F.collect_list(code).alias("code")).toLocalIterator():  # a row of the map at a time
+        out[r.z - b.min_z, np.array(r.x) - b.min_x] = np.array([BACKGROUND, *COLOURS.values()], np.uint8)[r.code]
     return png(out.repeat(scale, 0).repeat(scale, 1))
 
 

@@ -15,20 +15,22 @@ from .selection import CELL
 
 #: Sizes of contiguous areas and regions at which structures show.
 SMALL_CLUSTER, REGION_CELLS, REGIONS_OF_CONCERN, DENSE_FILL = 64, 1024, 4, 0.25
-DISPOSITIONS = ("public", "embargo", "private")
+#: What may be declared about a server.
+DISPOSITIONS = ("private", "embargoed", "research", "public")
 
 
 # ---- policies --------------------------------------------------------------------------------------------------
 
 
 def may_distribute(disposition: Column, embargo_until: Column, now: Column) -> Column:
-    """struct(allowed, reason); an embargo ends strictly after its time, and no policy means no."""
-    allowed = F.when(disposition == "public", True).when(disposition == "embargo", F.coalesce(now > embargo_until, F.lit(False))).otherwise(False)
+    """struct(allowed, reason); an embargo ends strictly after its time, research is no publication, and no policy means no."""
+    known = normalized(disposition)
+    over = F.coalesce(now > embargo_until, F.lit(False))
     reason = (
-        F.when(disposition.isNull(), "no policy was declared").when(disposition == "public", "public")
-        .when(disposition == "embargo", F.when(allowed, "the embargo is over").otherwise("under embargo")).when(disposition == "private", "private").otherwise("unknown disposition")
+        F.when(disposition.isNull(), "no policy was declared").when(known.isin("public", "private"), known).when(known == "research", "research only")
+        .when(known == "embargoed", F.when(over, "the embargo is over").otherwise("under embargo")).otherwise("unknown disposition")
     )
-    return F.struct(F.coalesce(allowed, F.lit(False)).alias("allowed"), reason.alias("reason"))
+    return F.struct(F.coalesce((known == "public") | ((known == "embargoed") & over), F.lit(False)).alias("allowed"), reason.alias("reason"))
 
 
 def policy_status(observations: DataFrame, policies: DataFrame, now: str) -> DataFrame:
@@ -77,7 +79,10 @@ def _box_ok() -> Column:
 #: What valid declarations and observations fulfil, by kind.
 VALID = {
     "redaction": lambda: {"server is required": _given("server_id"), "declared_by is required": _given("declared_by"), "reason is required": _given("reason"), "declared_at is required": F.col("declared_at").isNotNull(), "bounds are in order": _box_ok()},
-    "policy": lambda: {"server is required": _given("server"), "disposition is known": F.col("disposition").isin(*DISPOSITIONS), "an embargo has an end": (F.col("disposition") != "embargo") | F.col("embargo_until").isNotNull()},
+    "policy": lambda: {
+        "server is required": _given("server"), "disposition is known": normalized("disposition").isin(*DISPOSITIONS), "declared_by is required": _given("declared_by"), "declared_at is required": F.col("declared_at").isNotNull(),
+        "an embargo, and nothing else, has an end": (normalized("disposition") == "embargoed") == F.col("embargo_until").isNotNull(),
+    },
     "landmark": lambda: {"server is required": _given("server_id"), "dimension is required": _given("dimension"), "name is required": _given("name"), "name has at most 128 bytes": F.octet_length("name") <= 128, "bounds are in order": F.col("min_x").isNotNull() & _box_ok()},
     "identity": lambda: {"label is required": _given("label"), "key is 32 bytes in hex": F.col("public_key").rlike("^[0-9a-f]{64}$")},
     "observation": lambda: {"server is required": _given("server_id"), "dimension is required": _given("dimension"), "protocol is required": _given("protocol"), "contributor is required": _given("contributor"), "observed_at is required": F.col("observed_at").isNotNull(), "state is a digest": is_digest("state_digest"), "id is a digest": is_digest("id")},
@@ -96,16 +101,17 @@ def validated(rows: DataFrame, kind: str) -> DataFrame:
 def landmark_coverage(cells: DataFrame, landmarks: DataFrame) -> DataFrame:
     """Of each landmark the cells observed, all in its box, and their ratio.
 
-    Cells meet a landmark through the 32 x 32 regions that its box touches, so no landmark is compared to all cells.
+    Every box lies on a grid as coarse as itself, where it touches four squares at most, however large it is. Cells look their
+    squares up on the grids that the landmarks of their own server and dimension use, 32 at most; no landmark is compared to all cells.
     """
-    spans = landmarks.select(
-        "server_id", "dimension", "name", "min_x", "min_z", "max_x", "max_z",
-        F.explode(F.sequence(F.shiftright("min_x", 5), F.shiftright("max_x", 5))).alias("rx"),
-    ).withColumn("rz", F.explode(F.sequence(F.shiftright("min_z", 5), F.shiftright("max_z", 5))))
-    here = cells.select("server_id", "dimension", "x", "z").distinct().withColumns({"rx": F.shiftright("x", 5), "rz": F.shiftright("z", 5)})
-    inside = here.join(spans, ["server_id", "dimension", "rx", "rz"]).where(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("z").between(F.col("min_z"), F.col("max_z")))
-    counts = inside.groupBy("server_id", "dimension", "name").agg(F.count("*").alias("observed"))
     side = lambda c: F.col(f"max_{c}").cast("bigint") - F.col(f"min_{c}") + 1
+    boxes = landmarks.select("server_id", "dimension", "name", "min_x", "min_z", "max_x", "max_z").withColumn("grid", F.greatest(F.lit(0), F.length(F.bin(F.greatest(side("x"), side("z")) - 1))).cast("int"))
+    square = lambda c, grid: F.floor(F.col(c).cast("bigint") / F.pow(F.lit(2.0), F.col(grid))).cast("bigint")
+    spans = boxes.withColumn("gx", F.explode(F.array_distinct(F.array(square("min_x", "grid"), square("max_x", "grid"))))).withColumn("gz", F.explode(F.array_distinct(F.array(square("min_z", "grid"), square("max_z", "grid")))))
+    grids = boxes.groupBy("server_id", "dimension").agg(F.collect_set("grid").alias("grids"))
+    here = cells.select("server_id", "dimension", "x", "z").distinct().join(grids, ["server_id", "dimension"]).withColumn("grid", F.explode("grids")).withColumns({"gx": square("x", "grid"), "gz": square("z", "grid")}).drop("grids")
+    inside = here.join(spans, ["server_id", "dimension", "grid", "gx", "gz"]).where(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("z").between(F.col("min_z"), F.col("max_z")))
+    counts = inside.groupBy("server_id", "dimension", "name").agg(F.count("*").alias("observed"))
     total = side("x") * side("z")
     joined = landmarks.join(counts, ["server_id", "dimension", "name"], "left")
     observed = F.coalesce("observed", F.lit(0))
@@ -149,14 +155,17 @@ def clusters(cells: DataFrame) -> DataFrame:
     border = local.where(step("x")).select("server_id", (F.col("x") + 1).alias("x"), "z", F.col("label").alias("a")).unionByName(local.where(step("z")).select("server_id", "x", (F.col("z") + 1).alias("z"), F.col("label").alias("a")))
     edges = border.join(local.withColumnRenamed("label", "b"), ["server_id", "x", "z"]).select("server_id", "a", "b").distinct().checkpoint()
     roots = sizes.select("server_id", F.col("label").alias("node"), F.col("label").alias("root"))
+    # Each label takes its first neighbour in the order of hashes, which runs along no direction, so the labels left are a
+    # fraction of those before and rounds grow as the logarithm; edges are relabelled and vanish where both ends agree.
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     while not edges.isEmpty():
-        # each label takes its smallest neighbour; edges are relabelled and vanish where both ends agree
         both = edges.unionByName(edges.select("server_id", F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("server_id", F.col("a").alias("at")).agg(F.min("b").alias("m")).select("server_id", "at", F.least("at", "m").alias("to")).checkpoint()
+        parent = both.groupBy("server_id", F.col("a").alias("at")).agg(F.min(rank("b")).alias("m")).select("server_id", "at", F.least(rank("at"), F.col("m"))["v"].alias("to")).checkpoint()
         roots = roots.join(parent.withColumnRenamed("at", "root"), ["server_id", "root"], "left").select("server_id", "node", F.coalesce("to", "root").alias("root")).checkpoint()
         pa, pb = (parent.select("server_id", F.col("at").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b"))
         edges = edges.join(pa, ["server_id", "a"]).join(pb, ["server_id", "b"]).where("a2 <> b2").select("server_id", F.col("a2").alias("a"), F.col("b2").alias("b")).distinct().checkpoint()
-    return sizes.join(roots.withColumnRenamed("node", "label"), ["server_id", "label"]).groupBy("server_id", "root").agg(F.sum("n").alias("size"))
+    joined = sizes.join(roots.withColumnRenamed("node", "label"), ["server_id", "label"]).groupBy("server_id", "root").agg(F.sum("n").alias("size"), F.min("label").alias("least"))
+    return joined.select("server_id", F.col("least").alias("root"), "size")
 
 
 def exposure(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -292,11 +294,14 @@ def _scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """Iterations cut their lineage in the shared folder; an own one only where none is set."""
+    """Iterations cut their lineage in the shared folder; an own one only where none is set and all runs on one machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridwitness-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridwitness-"))
 
 
 _CLUSTER_SQL = """
@@ -413,8 +418,8 @@ ORACLES = {
     + """, n AS (SELECT l.server_id, l.dimension, l.name, count(DISTINCT (o.x, o.z)) AS observed FROM lm l JOIN obs o ON o.server_id = l.server_id AND o.dimension = l.dimension AND o.x BETWEEN min_x AND max_x AND o.z BETWEEN min_z AND max_z GROUP BY ALL)
        SELECT l.server_id, l.dimension, l.name, coalesce(observed, 0) AS observed, CAST((max_x - min_x + 1) * (max_z - min_z + 1) AS BIGINT) AS total, coalesce(observed, 0) / ((max_x - min_x + 1) * (max_z - min_z + 1)) AS ratio FROM lm l LEFT JOIN n USING (server_id, dimension, name)""",
     "policy_status": _with(_V, _PO)
-    + f"""SELECT o.server_id, o.observations, o.chunks, disposition, coalesce(disposition = 'public' OR (disposition = 'embargo' AND TIMESTAMP '{AT}' > embargo_until), FALSE) AS allowed,
-       CASE WHEN disposition IS NULL THEN 'no policy was declared' WHEN disposition = 'public' THEN 'public' WHEN disposition = 'private' THEN 'private' WHEN TIMESTAMP '{AT}' > embargo_until THEN 'the embargo is over' ELSE 'under embargo' END AS reason
+    + f"""SELECT o.server_id, o.observations, o.chunks, disposition, coalesce(disposition = 'public' OR (lower(trim(disposition)) = 'embargoed' AND TIMESTAMP '{AT}' > embargo_until), FALSE) AS allowed,
+       CASE WHEN disposition IS NULL THEN 'no policy was declared' WHEN disposition IN ('public', 'private') THEN disposition WHEN disposition = 'research' THEN 'research only' WHEN TIMESTAMP '{AT}' > embargo_until THEN 'the embargo is over' ELSE 'under embargo' END AS reason
        FROM (SELECT server_id, count(*) AS observations, count(DISTINCT (dimension, x, z)) AS chunks FROM obs GROUP BY 1) o LEFT JOIN po ON po.server = o.server_id""",
     "undeclared_servers": _with(_V, _PO) + "SELECT DISTINCT server_id FROM obs WHERE server_id NOT IN (SELECT server FROM po)",
     "exposure": _with(_V, "g AS (SELECT DISTINCT server_id, dimension, x, z FROM obs)", _CLUSTER_SQL)

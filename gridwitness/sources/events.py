@@ -79,9 +79,9 @@ SELECT * FROM (VALUES
 POLICIES_SQL = """
 SELECT * FROM (VALUES
   ('srv-view', 'public', CAST(NULL AS TIMESTAMP)),
-  ('srv-click', 'embargo', TIMESTAMP '2024-02-01 00:00:00'),
-  ('srv-error', 'embargo', TIMESTAMP '2024-01-02 00:00:00'),
-  ('srv-purchase', 'private', NULL),
+  ('srv-click', 'embargoed', TIMESTAMP '2024-02-01 00:00:00'),
+  ('srv-error', 'Embargoed ', TIMESTAMP '2024-01-02 00:00:00'),
+  ('srv-purchase', 'research', NULL),
   ('srv-nowhere', 'public', NULL)
 ) AS p(server, disposition, embargo_until)"""
 

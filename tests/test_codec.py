@@ -103,7 +103,8 @@ def test_seed_search(spark):
     got, report = search.search_seeds(spark, evidence, 0, 99_999, "me")
     assert 31_337 in {r.seed for r in got.collect()} and report["scanned"] == 100_000 and not report["truncated"]
     few, report = search.search_seeds(spark, evidence[:1], 0, 99_999, "me", 3)
-    assert few.count() == 3 and report["truncated"] and len(report["caveats"]) == 6
+    assert few.count() == 3 and report["truncated"] and report["caveats"] == {"ambiguous": 3, "few_observations": 1, "partial_space": 100_000 / 2**48, "seed_bits": 48, "truncated": 3}
+    assert search.worded("few_observations", 1) == "few observations: 1"
     with pytest.raises(PermissionError):
         search.search_seeds(spark, evidence, 0, 1, "")
 
