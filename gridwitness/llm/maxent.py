@@ -48,12 +48,14 @@ STEPS = 3
 RATE = 0.3
 #: Occurrences that either sum is taken to have besides.
 SMOOTHING = 0.5
-#: Tokens whose probabilities are held at a time.
-BATCH = 16_384
+#: Weights beside the bias lie within this of 0.
+MOST_WEIGHT = 12
+#: Tokens whose weights are read at a time.
+BATCH = 8_192
 #: Tokens a training task has on average at least: each task passes on a table of sums, whatever it has learned from.
 TASK_TOKENS = 16_000_000
-#: Tokens that are counted together.
-_CHUNK = 4_000_000
+#: Tokens that are counted together, and tokens whose expectations are.
+_CHUNK, _SUMMED = 4_000_000, 1 << 18
 _LOW = ENDINGS - 1
 END = (xxhash.xxh3_64_intdigest(b"\x00end") & ~_LOW) - (1 << 63)
 
@@ -178,45 +180,46 @@ def features(ids: np.ndarray, classes: np.ndarray, starts: np.ndarray, n_rows: i
     )
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """(tokens, outcomes) natural logarithms. bias: of all tokens, or of each."""
-    z = weights[rows[0]]
+def logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """(tokens, outcomes) sums of the weights of each token's rows. bias: of all tokens, or of each. Weights are bounded, so that none overflows as a power of e."""
+    z = weights.take(rows[0], axis=0)
     for own in rows[1:]:
-        z += weights[own]
+        z += weights.take(own, axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
 class Sums:
-    """Of each row and outcome how often it was met, and how often it was expected."""
+    """Of each row and outcome how often it was met, and how often it was expected; the latter by outcome, so that each is added up in one go."""
 
     def __init__(self, weights: np.ndarray) -> None:
-        self.weights, self.met, self.expected = weights, np.zeros(weights.size), np.zeros(weights.shape)
+        self.weights, self.met, self.expected = weights, np.zeros(weights.size), np.zeros(weights.T.shape)
 
     def add(self, rows: np.ndarray, outcomes: np.ndarray, bias: np.ndarray, kinds: np.ndarray | None = None) -> None:
         """kinds: which row of bias each token has."""
-        width = self.weights.shape[1]
-        for own in rows:
-            self.met += np.bincount(own.astype(np.int64) * width + outcomes, minlength=len(self.met))
-        self.met[:width] += np.bincount(outcomes, minlength=width)
-        for a in range(0, len(outcomes), BATCH):
-            part = rows[:, a : a + BATCH]
-            p = np.exp(log_softmax(self.weights, part, bias if kinds is None else bias[kinds[a : a + BATCH]]))
-            for own in part:
-                order = np.argsort(own, kind="stable")  # by radix, as rows have 16 bits
-                in_order = own[order]
-                first = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
-                self.expected[in_order[first]] += np.add.reduceat(p[order], first, axis=0)
-            self.expected[0] += p.sum(axis=0, dtype=np.float64)
+        n_rows, width = self.weights.shape
+        for start in range(0, len(outcomes), _SUMMED):  # a document may be very long
+            some, own_outcomes = rows[:, start : start + _SUMMED].astype(np.intp), outcomes[start : start + _SUMMED]
+            own_bias = None if kinds is None else kinds[start : start + _SUMMED]
+            held = np.empty((width, len(own_outcomes)), np.float32)
+            for a in range(0, len(own_outcomes), BATCH):
+                p = logits(self.weights, some[:, a : a + BATCH], bias if own_bias is None else bias[own_bias[a : a + BATCH]])
+                np.exp(p, out=p)
+                p /= p.sum(axis=1, keepdims=True)
+                held[:, a : a + BATCH] = p.T
+            for own in some:
+                np.add.at(self.met, own * width + own_outcomes, 1.0)
+                for k in range(width):
+                    self.expected[k] += np.bincount(own, held[k], n_rows)
+            self.met[:width] += np.bincount(own_outcomes, minlength=width)
+            self.expected[:, 0] += held.sum(axis=1, dtype=np.float64)
 
     def slices(self, sign: int) -> Iterator[tuple[int, bytes, bytes]]:
         """Runs of rows that were met, numbered from sign."""
-        met = self.met.reshape(self.expected.shape)
+        met, expected = self.met.reshape(self.weights.shape), self.expected.T
         for k in range(0, len(met), 256):
             if met[k : k + 256].any():
-                yield sign * (k // 256 + 1), met[k : k + 256].astype(np.float32).tobytes(), self.expected[k : k + 256].astype(np.float32).tobytes()
+                yield sign * (k // 256 + 1), met[k : k + 256].astype(np.float32).tobytes(), expected[k : k + 256].astype(np.float32).tobytes()
 
 
 def _gathered(sent, classes: Classes):
@@ -225,7 +228,7 @@ def _gathered(sent, classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, own_weights, shares = sent.value
         of_classes, of_parts = Sums(weights), Sums(own_weights)
-        for _, _, _, ids, starts in _documents(batches, 0, 16 * BATCH):
+        for _, _, _, ids, starts in _documents(batches, 0, _SUMMED):
             kinds = classes.of(ids)
             rows, own_rows = features(ids, kinds, starts, len(weights))
             of_classes.add(rows, kinds, weights[0])
@@ -274,7 +277,9 @@ def trained(learned: DataFrame, classes: Classes, priors: np.ndarray, shares: np
             rows = slice((abs(row.slice) - 1) * 256, abs(row.slice) * 256)
             met, expected = (np.frombuffer(x, np.float32).astype(np.float64).reshape(-1, table.shape[1]) for x in (row.met, row.expected))
             table[rows] += (RATE * np.log((met + SMOOTHING) / (expected + SMOOTHING))).astype(np.float32)
-    tables[-1][0] = 0  # the parts' bias is their share
+        tables[-1][0] = 0  # the parts' bias is their share
+        for table in tables.values():
+            np.clip(table[1:], -MOST_WEIGHT, MOST_WEIGHT, out=table[1:])
     return tables[1], tables[-1]
 
 
@@ -315,17 +320,23 @@ class Model:
         one = np.empty(len(ids))
         for a in range(0, len(ids), BATCH):
             own = kinds[a : a + BATCH]
-            one[a : a + BATCH] = log_softmax(self.weights, rows[:, a : a + BATCH], self.weights[0])[np.arange(len(own)), own]
+            one[a : a + BATCH] = _chosen(logits(self.weights, rows[:, a : a + BATCH], self.weights[0]), own)
         one = one / np.log(10) + self.unknown[kinds]
         inside = np.flatnonzero(kinds < BY_ENDING)
         more = np.zeros(len(ids))
         for a in range(0, len(inside), BATCH):
             at = inside[a : a + BATCH]
             own, part = kinds[at], part_of(ids[at])
-            more[at] = log_softmax(self.own_weights, own_rows[:, at], self.shares[own])[np.arange(len(at)), part] / np.log(10) + self.part[own, part]
+            more[at] = _chosen(logits(self.own_weights, own_rows[:, at], self.shares[own]), part) / np.log(10) + self.part[own, part]
         return one, more
 
 
+def _chosen(z: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probabilities of those outcomes."""
+    own = z[np.arange(len(z)), outcomes]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def shares_of(held: np.ndarray) -> np.ndarray:
     """Natural logarithms of the parts' shares of their class; parts without words have next to none."""
     return np.log(np.maximum(held, 1e-9) / np.maximum(held.sum(axis=1, keepdims=True), 1e-9 * PARTS)).astype(np.float32)
@@ -370,11 +381,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         known, counts = model.known, model.counts
-        for batch, a, b, ids, starts in _documents(batches, len(kept), 4 * BATCH):
+        for batch, a, b, ids, starts in _documents(batches, len(kept), 16 * BATCH):
             one, more = model.log10(ids, starts)
-            at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
-            there = known[at] == ids if len(known) else np.zeros(len(ids), bool)
-            log_c = np.where(there, np.log10(counts[at] + 1.0), 0.0) if len(known) else np.zeros(len(ids))
+            each, at = np.unique(ids, return_inverse=True)
+            place = np.minimum(np.searchsorted(known, each), max(0, len(known) - 1))
+            there = (known[place] == each)[at] if len(known) else np.zeros(len(ids), bool)
+            log_c = np.where(there, np.log10(counts[place] + 1.0)[at], 0.0) if len(known) else np.zeros(len(ids))
             single = model.classes.of(ids) >= BY_ENDING
             sums = lambda x: np.add.reduceat(x, starts)
             rare = np.concatenate(([0], np.cumsum(~there)))[np.append(starts, len(ids))]
