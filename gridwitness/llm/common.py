@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all runs on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = spark.conf.get("spark.gridwitness.ownCheckpointDir", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="gridwitness-")
@@ -36,30 +39,57 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The paths given out within each scratch() that is open.
+_scratches: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scratches:
+        _scratches[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end all tables that were put into the shared folder within; what is made of them has to be written by then."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            remove(spark, path)
+
+
+#: With this Spark removes the shuffle files of a job when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, whichever executor is lost."""
+    """df written to the shared folder and read again: its lineage ends there, whichever executor is lost, and its shuffle files go."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Removes a table that stored() wrote and that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of jobs that are over: its cleaner acts when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+        remove(df.sparkSession, folder)
 
 
 def ascii_lower(column: Column) -> Column:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mixed, stored, tidy, window_hashes, word_hashes, words
+from .common import forget, mixed, stored, window_hashes, word_hashes, words
 
 #: Sets in one prefix tree, and sketches that a task compares with as many others.
 TREE, SKETCHES = 256, 2_048
@@ -359,7 +359,6 @@ def _once(met: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs."""
-    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     wide = stored(source.mapInArrow(_sets_and_labels(percent, width), f"doc_id {kind}, n bigint, key bigint, labels array<bigint>"), "labels")
@@ -371,14 +370,12 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     noted = stored(wide.select("doc_id", "n", "key"), "sets")
     forget(wide)
-    tidy(spark)
     met = stored(_once(met), "met")
     holders = noted.select("key", "doc_id").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
     sets = stored(
         source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width), "key bigint, n bigint, sketch binary, grams binary"),
         "grams",
     )
-    tidy(spark)
     edges, roots, rest = None, None, met
     for last in (*(False,) * PIVOT_ROUNDS, True):
         if roots is None:
@@ -400,7 +397,6 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         found = _links(stored(_candidates(tasks, sets, percent), "candidates"), sets, percent)
         edges = stored(found if edges is None else edges.union(found), "links")
         roots = components(edges)
-        tidy(spark)
     classes = noted.select("doc_id", "n", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("class"))
     smallest = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("__least"))
     return classes.join(smallest, "class", "left").select(
