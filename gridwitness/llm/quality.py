@@ -8,7 +8,8 @@ uneven a group is. Groups with few documents take the limits of their language,
 
 Defined cases. A null text has no words and fails the base rules. Documents that fail these are not
 sketched. Null languages and sources are groups like others. Repeated rows count each time. An empty table gives no
-rows. Very long texts are read whole.
+rows. Very long texts are read whole. Documents with equal measures are judged alike; a value on a limit is within it. Only the columns named are
+read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -27,17 +28,19 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = [
     ("word_length", "word_chars * 1000 div n_words", True, True, 1_000),
     ("symbols", "n_symbols * 100000 div n_words", False, True, 5_000),
-    ("dup_lines", "n_dup_lines * 100000 div n_words", False, True, 5_000),
+    # of repeated lines and words those beyond what one repeated line makes
+    ("dup_lines", "greatest(n_dup_lines - 1, 0) * 100000 div n_lines", False, True, 10_000),
+    ("repeats", "greatest(n_repeat_words - 40, 0) * 100000 div n_words", False, True, 5_000),
 ]
 #: Documents under which a group takes the limits of its language, or of all.
 LEAST = 100
-BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
+BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, base_failed boolean"
 
 
-def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
+def base_measures(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (those with a word) of a whole text."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     found = text.encode("utf-8", "surrogatepass").split()
     n = len(found)
     chars = len(text) - sum(map(text.count, SPACES))
@@ -52,7 +55,7 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
             np.add.at(change, starts, 1)
             np.add.at(change, starts + 5, -1)
             repeated = int(np.count_nonzero(np.cumsum(change[:-1])))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
 def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -63,9 +66,9 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             found = [base_measures(t) for t in batch.column(3).to_pylist()]
-            columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(5)]
-            failed = pa.array([n < 10 or 100 * r > 20 * n for n, _, _, _, r in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, failed], names=["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+            columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(6)]
+            failed = pa.array([n < 10 or 100 * r > 20 * n for n, _, _, _, r, _ in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, failed], names=["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed"])
 
     return own.mapInArrow(run, f"{kinds}, {BASE}")
 
@@ -91,7 +94,6 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 def limits(sketch: DataFrame) -> DataFrame:
     """(lang, source, <measure>_low, <measure>_high) for each group of level 0. A measure's sketch has some thousand rows at most."""
-    sketch.createOrReplaceTempView("__gw_sketch")
     quantile = sketch.sparkSession.sql(f"""
         SELECT level, lang, source, measure, max(total) AS total,
                min(CASE WHEN 20 * upto >= total THEN edge END) AS q05,
@@ -100,8 +102,8 @@ def limits(sketch: DataFrame) -> DataFrame:
         FROM (SELECT level, lang, source, measure, {low_edge_sql('bucket')} AS edge,
                      sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto,
                      sum(n) OVER (PARTITION BY level, lang, source, measure) AS total
-              FROM __gw_sketch)
-        GROUP BY level, lang, source, measure""")
+              FROM {{sketch}})
+        GROUP BY level, lang, source, measure""", sketch=sketch)
     slack = F.create_map(*(F.lit(x) for name, _, _, _, s in MEASURES for x in (name, s)))[F.col("measure")]
     sides = quantile.withColumn("low", F.col("q50") - 2 * (F.col("q50") - F.col("q05")) - slack).withColumn("high", F.col("q50") + 2 * (F.col("q95") - F.col("q50")) + slack)
     wide = sides.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("measure") == name, F.col(side))).alias(f"{name}_{side}") for name, _, low, high, _ in MEASURES for side, on in (("low", low), ("high", high)) if on))

@@ -91,15 +91,15 @@ wins AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform
 twice AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1),
 reps AS (SELECT doc_id, count(DISTINCT p + k) AS r FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
-dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS d FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS d, count(*) AS nl FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 base AS (
   SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(d, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(d, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, nl
   FROM w LEFT JOIN dups ON dups.doc_id = w.doc_id LEFT JOIN reps ON reps.doc_id = w.doc_id),
 stats AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 m AS (
-  SELECT doc_id, lang, source, unnest(['word_length', 'symbols', 'dup_lines']) AS measure,
-         unnest([word_chars * 1000 // n_words, n_symbols * 100000 // n_words, n_dup_lines * 100000 // n_words]) AS v
+  SELECT doc_id, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure,
+         unnest([word_chars * 1000 // n_words, n_symbols * 100000 // n_words, greatest(n_dup_lines - 1, 0) * 100000 // nl, greatest(n_repeat_words - 40, 0) * 100000 // n_words]) AS v
   FROM stats WHERE NOT base_failed),
 b AS (SELECT *, CASE WHEN v < 128 THEN v ELSE 64 * (length(bin(v)) - 7) + (v >> (length(bin(v)) - 7)) END AS bucket FROM m),
 sketch AS (
@@ -112,7 +112,7 @@ upto AS (
 q AS (
   SELECT level, lang, source, measure, max(total) AS total, min(edge) FILTER (WHERE 20 * upto >= total) AS q05, min(edge) FILTER (WHERE 2 * upto >= total) AS q50,
          min(edge) FILTER (WHERE 20 * upto >= 19 * total) AS q95 FROM upto GROUP BY level, lang, source, measure),
-sides AS (SELECT *, q50 - 2 * (q50 - q05) - CASE measure WHEN 'word_length' THEN 1000 ELSE 5000 END AS low, q50 + 2 * (q95 - q50) + CASE measure WHEN 'word_length' THEN 1000 ELSE 5000 END AS high FROM q),
+sides AS (SELECT *, q50 - 2 * (q50 - q05) - CASE measure WHEN 'word_length' THEN 1000 WHEN 'dup_lines' THEN 10000 ELSE 5000 END AS low, q50 + 2 * (q95 - q50) + CASE measure WHEN 'word_length' THEN 1000 WHEN 'dup_lines' THEN 10000 ELSE 5000 END AS high FROM q),
 lim AS (
   SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= 100 THEN a.low WHEN l.total >= 100 THEN l.low ELSE o.low END AS low,
          CASE WHEN a.total >= 100 THEN a.high WHEN l.total >= 100 THEN l.high ELSE o.high END AS high
