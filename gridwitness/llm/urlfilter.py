@@ -8,8 +8,9 @@ Both models are learned from a bounded sample: of each verdict the `sample` dist
 `most_chars` characters. All URLs are scored, whole.
 
 Defined cases. Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: then up to `?`, `#`
-or the end; a null URL or one without `://` has both empty. The longest rule that fits wins, of equally long ones the first by name. An empty
-URL scores 0. Without URLs of one verdict there is nothing to tell apart, and all others are allowed. Repeated URLs are learned once.
+or the end; a null URL or one without `://` has both empty, and its whole text is judged by the models. The longest rule that fits wins, of equally long ones the first by name. An empty
+or null URL scores 0. Without URLs of one verdict there is nothing to tell apart, and all others are allowed. Repeated URLs are learned once; those of equal
+hashes go by text. Very long URLs are scored whole. An empty table gives no rows. Other columns are kept, whatever their names; those added begin with __uf_.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD_CACHE, ascii_lower, with_columns
 
-#: Rules are tried as one expression, so there may not be more.
-MAX_RULES = 1_000
-
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path."""
@@ -36,15 +34,41 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
-    """The longest rule that fits, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    found = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r), [-ord(c) for c in r])):
-        name, slash, rest = rule.partition("/")
-        found = F.when(((host == name) | host.endswith(f".{name}")) & path.startswith(slash + rest), F.lit(rule)).otherwise(found)
-    return found
+class Rules:
+    """Rules (`host/path` -> verdict) by host; a URL's host is looked up with all it is a subdomain of."""
+
+    def __init__(self, rules: dict[str, str]) -> None:
+        self.by_host: dict[str, list[tuple[str, str]]] = defaultdict(list)
+        for rule in sorted(rules, key=lambda r: (-len(r), r)):
+            name, slash, rest = rule.partition("/")
+            self.by_host[name].append((slash + rest, rule))
+
+    def find(self, host: str, path: str) -> str | None:
+        """The longest rule that fits."""
+        best: tuple[int, str] | None = None
+        at = 0
+        while at >= 0:
+            for start, rule in self.by_host.get(host[at:], ()):
+                if path.startswith(start):
+                    best = min(best or (0, rule), (-len(rule), rule))
+                    break
+            dot = host.find(".", at)
+            at = dot + 1 if dot >= 0 else -1
+        return best[1] if best else None
+
+
+def with_rule(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """rows, with __uf_host and __uf_path, and __uf_rule of each: the longest that fits, or null. The rules are the caller's own and go to all tasks."""
+    sent = rows.sparkSession.sparkContext.broadcast(Rules(rules))
+    at = [rows.columns.index(c) for c in ("__uf_host", "__uf_path")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = sent.value.find
+        for batch in batches:
+            found = [find(h, p) for h, p in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema=pa.schema([*batch.schema, pa.field("__uf_rule", pa.string())]))
+
+    return rows.mapInArrow(run, with_columns(rows, "__uf_rule string"))
 
 
 class Markov:
@@ -110,8 +134,9 @@ def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", order: int
     """pages with all their columns, and __uf_host, __uf_path, __uf_rule, __uf_verdict and __uf_score."""
     host, path = parts(F.col(url))
     rows = pages.withColumns({"__uf_host": host, "__uf_path": path})
-    rows = rows.withColumn("__uf_rule", rule_of(F.col("__uf_host"), F.col("__uf_path"), rules))
-    read = F.concat("__uf_host", F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*(.*)$", 1), F.lit("")))
+    rows = with_rule(rows, rules)
+    rest = F.concat("__uf_host", F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*(.*)$", 1))
+    read = F.coalesce(F.when(F.col(url).contains("://"), rest).otherwise(F.col(url)), F.lit(""))
     verdict = F.create_map(*(F.lit(x) for item in rules.items() for x in item))[F.col("__uf_rule")] if rules else F.lit(None).cast("string")
     labelled = rows.where("__uf_rule IS NOT NULL").select(read.alias("text"), verdict.alias("verdict")).where(F.char_length("text") <= most_chars).distinct()
     split: dict[tuple[str, bool], list[str]] = defaultdict(list)
