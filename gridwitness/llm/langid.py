@@ -5,7 +5,8 @@ profile by out-of-place distance: the sum of rank differences, the largest one f
 
 Defined cases. A null text, or one without a letter, is `und` with score 0. Whole texts are read. Equal
 counts rank by the n-gram's code, equal distances by the language's name. With no labelled row every
-document is `und`. Repeated rows count each time. Rows with a null doc_id are predicted and never learned from.
+document is `und`. Repeated rows count each time. Rows with a null doc_id are predicted and never learned from. An empty table gives no
+rows. Other columns are kept, whatever their names; those added begin with __li_.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import with_columns
 
 #: N-grams in a profile and of a document that are ranked.
 PROFILE = 400
-#: Profiles are sent to every task, so there may not be more labels than this.
-MAX_LANGUAGES = 1_000
+#: Languages whose ranks are looked up together.
+_TOGETHER = 64
 #: Stands for a missing character in the code of a shorter n-gram; no character has this code point.
 _NONE = 0x1FFFFF
 #: Codes that are counted together while learning.
@@ -96,30 +97,41 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
     found: dict[str, list] = defaultdict(list)
     for row in top.select("lang", "rank", "gram").toLocalIterator():
         found[row.lang].append((row.rank, row.gram))
-        if len(found) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {k: np.array([g for _, g in sorted(v)], np.int64) for k, v in sorted(found.items())}
 
 
+class _Block:
+    """The ranks of some languages' n-grams: a row an n-gram that one of them has, and one for all others."""
+
+    def __init__(self, names: list[str], learned: dict[str, np.ndarray]) -> None:
+        self.names = names
+        self.known = np.unique(np.concatenate([learned[n] for n in names]))
+        self.places = np.full((len(self.known) + 1, len(names)), -1, np.int16)
+        for k, name in enumerate(names):
+            self.places[np.searchsorted(self.known, learned[name]), k] = np.arange(len(learned[name]))
+
+    def best(self, own: np.ndarray, size: int) -> tuple[int, str]:
+        """(distance, language) of the nearest one; own: a document's n-grams in order."""
+        at = np.searchsorted(self.known, own)
+        at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] != own)] = len(self.known)
+        there = self.places[at].astype(np.int64)
+        away = np.where(there < 0, size, np.abs(there - np.arange(len(own))[:, None])).sum(axis=0)
+        k = int(np.argmin(away))
+        return int(away[k]), self.names[k]
+
+
 def predictor(learned: dict[str, np.ndarray], size: int = PROFILE) -> Callable[[str | None], tuple[str, float]]:
     """text -> (language, score). The score is 1 for the profile's own order and 0 for nothing in common."""
     names = sorted(learned)
-    known = np.unique(np.concatenate([*learned.values(), np.empty(0, np.int64)]))
-    places = np.full((len(known) + 1, max(1, len(names))), -1, np.int64)
-    for k, name in enumerate(names):
-        places[np.searchsorted(known, learned[name]), k] = np.arange(len(learned[name]))
+    blocks = [_Block(names[a : a + _TOGETHER], learned) for a in range(0, len(names), _TOGETHER)]
 
     def predict(text: str | None) -> tuple[str, float]:
         codes = grams(text)
-        if not len(codes) or not names:
+        if not len(codes) or not blocks:
             return "und", 0.0
         own = ranked(codes, size)
-        at = np.searchsorted(known, own)
-        at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] != own)] = len(known)
-        there = places[at]
-        away = np.where(there < 0, size, np.abs(there - np.arange(len(own))[:, None])).sum(axis=0)
-        best = int(np.argmin(away))
-        return names[best], float(min(1.0, max(0.0, 1 - away[best] / (size * len(own)))))
+        away, name = min(block.best(own, size) for block in blocks)
+        return name, float(min(1.0, max(0.0, 1 - away / (size * len(own)))))
 
     return predict
 
@@ -128,9 +140,10 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text"
     """docs with all their columns, and of each row __li_lang and __li_score."""
 
     at = docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(learned)  # size codes a language
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = predictor(learned, size)
+        predict = predictor(sent.value, size)
         for batch in rows:
             found = [predict(t) for t in batch.column(at).to_pylist()]
             fields = [*batch.schema, pa.field("__li_lang", pa.string()), pa.field("__li_score", pa.float64())]

@@ -4,7 +4,7 @@ Defined cases. A null or empty text is one empty line and comes back as an empty
 line stripped of [\\x20\\x09-\\x0D] at both ends with A-Z lower-cased; keys under min_chars code points never
 lose a line. A document that repeats a key counts once for it, and keeps all its lines of that key if it is
 the largest doc_id holding it. Rows that share a doc_id are one document. A null doc_id counts as no
-document and is never the keeper. Extra columns, whatever their names, are untouched.
+document and is never the keeper. Very long texts are read whole; an empty table gives no rows. Extra columns, whatever their names, are untouched.
 """
 
 from __future__ import annotations

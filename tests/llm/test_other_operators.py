@@ -317,16 +317,67 @@ def brute_rule(url):
     return host, path, max(fit, key=len, default=None)
 
 
+def read(url):
+    """What the models see of a URL."""
+    if url is None or "://" not in url:
+        return url or ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host) + rest[len(host) :]
+
+
+def brute_markov(texts, text, at, order=5):
+    """log10 of the smoothed probability of a character, with counts taken anew for each context."""
+    padded = "\n" * order + text
+    at += order
+    p = 1 / 0x110000
+    for k in range(order + 1):
+        context, after = padded[at - k : at], Counter()
+        for t in texts:
+            own = "\n" * order + t
+            for i in range(order, len(own)):
+                if own[i - k : i] == context:
+                    after[own[i]] += 1
+        if not after:
+            break
+        p = (after[padded[at]] + len(after) * p) / (sum(after.values()) + len(after))
+    return log10(p)
+
+
+def test_many_rules():
+    rng = random.Random(3)
+    rules = {f"{rng.choice(['', 'a.', 'b.a.'])}h{rng.randrange(300)}.org/{rng.choice(['', 'x', 'x/y', 'z/'])}": rng.choice(["allow", "block"]) for _ in range(2_000)}
+    found = urlfilter.Rules(rules)
+    for _ in range(2_000):
+        host, path = f"{rng.choice(['', 'a.', 'b.a.', 'c.b.a.', '.'])}h{rng.randrange(300)}.org", rng.choice(["", "/", "/x", "/x/y/z", "/z/"])
+        fit = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        assert found.find(host, path) == min(fit, key=lambda r: (-len(r), r), default=None)
+
+
 def test_url_filter(spark):
     rng = random.Random(4)
-    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'www.', 'A.'])}{rng.choice(['example', 'other', 'fourth'])}.{rng.choice(['net', 'com', 'org', 'NET'])}/{rng.choice(['en', 'de', 'fr', ''])}/{rng.randrange(1000)}" for _ in range(300)]
-    urls += [None, "", "nothing", "http://net", "http://net/", "http://x.net?y://z/", "a://b://c/d", "http://example.net/en/?q#f", "http://É.NET/", "x" * 100_000 + "://h.org/fr/", "http://org/fr/\nnext"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'www.', 'A.'])}{rng.choice(['example', 'other', 'fourth'])}.{rng.choice(['net', 'com', 'org', 'NET'])}/{rng.choice(['en', 'de', 'fr', ''])}/{rng.randrange(1000)}" for _ in range(120)]
+    urls += [None, "", "nothing", "www.example.net/de/5", "http://net", "http://net/", "http://x.net?y://z/", "a://b://c/d", "http://example.net/en/?q#f", "http://É.NET/", "x" * 100_000 + "://h.org/fr/", "http://org/fr/\nnext"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("host", F.lit("mine"))
     got = {r.page_id: r for r in urlfilter.judge(df, RULES).collect()}
     for i, url in enumerate(urls):
         host, path, rule = brute_rule(url)
         assert (got[i]["__uf_host"], got[i]["__uf_path"], got[i]["__uf_rule"]) == (host, path, rule)
         assert got[i]["__uf_verdict"] == (RULES[rule] if rule else got[i]["__uf_verdict"]) and got[i].host == "mine"
+    # the verdicts of all others, by models learned and scored one character after the other
+    split = defaultdict(list)
+    labelled = {(read(url), RULES[got[i]["__uf_rule"]]) for i, url in enumerate(urls) if got[i]["__uf_rule"]}
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t, _ in labelled], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    for t, verdict in labelled:
+        if len(t) <= 2_000:
+            split[verdict, hashes[t] % 5 == 0].append(t)
+    brute = lambda t: (sum(brute_markov(split["allow", False], t, k) - brute_markov(split["block", False], t, k) for k in range(len(t))) / len(t)) if t else 0.0
+    least = urlfilter.threshold([brute(t) for t in split["allow", True]], [brute(t) for t in split["block", True]])
+    some = [i for i, url in enumerate(urls) if not got[i]["__uf_rule"] and len(url or "") < 1000][-40:]
+    assert sum(1 for i in some if urls[i] and "://" not in urls[i]) >= 2
+    for i in some:
+        score = brute(read(urls[i]))
+        assert isclose(got[i]["__uf_score"], score, rel_tol=1e-9, abs_tol=1e-12) and got[i]["__uf_verdict"] == ("block" if score < least else "allow")
     assert urlfilter.judge(df.limit(0), RULES).count() == 0
     assert {r["__uf_verdict"] for r in urlfilter.judge(df, {}).collect()} == {"allow"}
 

@@ -91,6 +91,8 @@ def test_language(docs, awkward, no_docs):
     expected = brute_language([g[0] for g in got], [(r[1], r[2]) for r in awkward])
     assert [g[1] for g in got] == expected
     assert all(0 <= g[2] <= 1 for g in got) and {g[1] for g in got if not (g[0] or "").strip() or g[0] == "123 456 !!"} == {"und"}
+    many = {f"{k}-{c}": v for c in range(70) for k, v in learned.items()}  # several blocks of languages, the first by name wins
+    assert [r[0] for r in langid.identify(docs, many).select("__li_lang").collect()] == [g if g == "und" else f"{g}-0" for g in expected]
     assert langid.profiles(no_docs) == {} and {r[0] for r in langid.identify(docs, {}).select("__li_lang").collect()} == {"und"}
 
 
@@ -305,13 +307,19 @@ def brute_quality(text):
 
 
 def test_quality(spark, docs, awkward, no_docs):
+    rng = random.Random(14)
     extra = [(300, "a b c d e f a b c d e f # * dup\ndup\ndup\n  \n", "en", "src0"), (301, "x " * 50, "en", "src0")]
+    line = prose(rng, "en", 12)
+    once, often = (f"{prose(rng, 'en', 900)}\n{(line + chr(10)) * n}{prose(rng, 'en', 900)}" for n in (2, 15))
+    extra += [(302, once, "en", "src0"), (303, often, "en", "src0")]
     both = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumns({"kept": F.lit(3), "n_words": F.lit(1)})
     stats = quality.measured(both)
     got = Counter(tuple(r) for r in stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())
     assert got == Counter((r[0], *brute_quality(r[1])) for r in [*awkward, *extra])
     judged = quality.judged(stats)
-    assert judged.count() == len(awkward) + 2 and judged.where("kept AND base_failed").count() == 0 and judged.where("kept").count() > 50
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in judged.where("doc_id IN (302, 303)").collect()}
+    assert kept == {302: (False, True), 303: (False, False)}  # one repeated line is spared, many are more than the group has
+    assert judged.count() == len(awkward) + 4 and judged.where("kept AND base_failed").count() == 0 and judged.where("kept").count() > 50
     assert quality.judged(quality.measured(no_docs)).count() == 0
 
 
