@@ -1,14 +1,21 @@
 """The registered corpus queries against their SQL, and the pipeline against brute force, at the smallest scale."""
 
+import hashlib
+import pathlib
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridwitness.llm import registry
-from gridwitness.llm.common import table
+from gridwitness.llm.common import shared_dir, table
 
 from ..conftest import SF
 from ..test_queries import duck, rows
+from .conftest import prose
+from .test_text_operators import brute_groups, brute_language, brute_lines
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -57,10 +64,56 @@ def test_pipeline(spark):
     assert whole.select("doc_id", "piece", "ids_crc32").exceptAll(five.select("doc_id", "piece", "ids_crc32")).count() == 0
 
 
-def test_stages_take_empty_and_awkward_tables(spark, docs, no_docs):
-    own = docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, own, SF)
-        assert out.count() >= 0 and stage(spark, own.limit(0), SF).count() == 0
+def test_stages_take_empty_and_awkward_tables(spark, docs, no_docs, awkward):
+    """Each stage on nulls, repeated rows, shared and missing ids and a clashing column, against what its operator's brute force says."""
+    own = docs.withColumns({"n_chars": F.char_length("text").cast("bigint"), "hash": F.lit("mine"), "length": F.lit(7)})
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, own.limit(0), SF).count() == 0
         if name != "best_fit_packing":
-            assert out.columns == own.columns
+            assert stage(spark, own, SF).columns == own.columns
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    whole = Counter((r[0], r[1]) for r in awkward)
+    labelled = [(r[1], r[2]) for r in awkward]
+    languages = brute_language([t for _, t in whole.elements()], labelled)
+    kept = texts(stages["language_id"](spark, own, SF))
+    undetermined = Counter(x for x, lang in zip(whole.elements(), languages, strict=True) if lang == "und")
+    assert kept == whole - undetermined  # nothing in the fixture is far from all profiles
+    lines = stages["line_dedup"](spark, own, SF)
+    dropped = {(i, sha): n for i, _, n, sha in brute_lines(awkward)}
+    got = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in lines.collect())
+    left = Counter((i, sha) for i, _, n, sha in brute_lines(awkward).elements() if not (n and sha in {hashlib.sha256(e.encode()).hexdigest() for e in ("", " ", "\n", "\n\n")}))
+    assert got == left and set(got) <= set(dropped)
+    near = texts(stages["near_duplicates"](spark, own, SF))
+    numbered = [(k, r[1]) for k, r in enumerate(awkward)]
+    groups = {}
+    for k, n, component in brute_groups(numbered, 5, 80):
+        groups.setdefault(component if n else ("none", k), []).append(awkward[k])
+    first = lambda rows: min(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    ids = Counter(first(rows)[0] for rows in groups.values())
+    assert Counter(i for i, _ in near.elements()) == ids
+    packed = stages["best_fit_packing"](spark, own, SF).groupBy("doc_id").agg(F.count_if(F.col("piece") == 0).alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == Counter(r[0] for r in awkward)
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    """Copies under one id leave one row; a clean row that shares its id with a bad one, or has none, stays, and a bad one without an id goes."""
+    rng = random.Random(4)
+    item = table(spark, SF, "benchmark").first().text
+    a, b, c = (prose(rng, "en", 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, f"{a} more"), (3, f"{c} {item} {c}"), (3, c), (None, f"{b} {item} {b}"), (None, prose(rng, "fr", 50)), (None, b), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    for own in (docs.repartition(3).cache(), spark.read.parquet(f"file://{tmp_path}/docs")):
+        near = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, own, SF).collect())
+        assert near == Counter(rows) - Counter([(1, a), (2, f"{a} more"), (None, b)])
+        clean = Counter((r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, own, SF).collect())
+        assert clean == Counter(rows) - Counter([rows[4], rows[6]])
+
+
+def test_run_leaves_only_its_result(spark):
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert [n.rsplit("-", 1)[0] for n in {p.name for p in folder.iterdir()} - before] == ["stage-best_fit_packing"]
+    assert out.count() > 0
