@@ -83,6 +83,15 @@ def namespace_of(location: Column | str) -> Column:
     return F.substring_index(col(location), ":", 1)
 
 
+def dimension_parts(dimension: Column | str) -> Column:
+    """struct(namespace, path) of a dimension's name; null unless it is one of safe segments."""
+    d = normalized(dimension)
+    parts = F.split(d, ":", -1)
+    path = F.get(parts, F.lit(1))
+    safe = ~F.exists(F.concat(F.split(path, "/", -1), F.array(F.get(parts, F.lit(0)))), lambda s: s.isin("", ".", ".."))
+    return F.when((F.size(parts) == 2) & safe, F.struct(F.get(parts, F.lit(0)).alias("namespace"), path.alias("path")))
+
+
 def short_digest(c: Column | str) -> Column:
     return F.left(col(c), F.lit(12))
 

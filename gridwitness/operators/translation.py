@@ -82,6 +82,23 @@ def translate_chunks(sections: DataFrame, target: DataFrame, rules: DataFrame, m
     return rebuilt_palette(kept, resolved.select("source", "target")), translation_report(counted), dropped
 
 
+def translate_for_target(sections: DataFrame, entries: DataFrame, rules: DataFrame, dimension: dict, policy: str = "skip-chunk") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """translate_chunks() to a release's entries (kind, name) and one of its dimensions {min_section_y, section_count}.
+
+    Under the report policy nothing at all comes out if a state can't be shown or a section has no place: the error says how many.
+    """
+    target = entries.where("kind = 'block'").select("name")
+    if entries.where("kind = 'block'").isEmpty():
+        raise ValueError("the target has no blocks")
+    out, report, dropped = translate_chunks(sections, target, rules, dimension["min_section_y"], dimension["section_count"], policy)
+    if policy == "report":
+        lost = report.where("outcome = 'unrepresentable'").agg(F.count("*").alias("states"), F.coalesce(F.sum("positions"), F.lit(0)).alias("positions")).first()
+        places = dropped.agg(F.coalesce(F.sum("dropped_sections"), F.lit(0)).alias("n")).first().n
+        if lost.states or places:
+            raise ValueError(f"nothing is translated: {lost.states} states at {lost.positions} positions can't be shown, {places} sections have no place")
+    return out, report, dropped
+
+
 def profile_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(kind, name, change) between two releases' entries (kind, name, value): added, removed, changed or narrowed ones.
 

@@ -16,6 +16,11 @@ def decoded_name(segment: Column) -> Column:
     return F.decode(F.unbase64(F.rpad(F.translate(segment, "-_", "+/"), F.ceil(F.length(segment) / 4).cast("int") * 4, "=")), "UTF-8")
 
 
+def encoded_name(name: Column) -> Column:
+    """A name as a directory segment: base64url without padding."""
+    return F.rtrim(F.translate(F.base64(F.encode(name, "UTF-8")), "+/", "-_"), F.lit("="))
+
+
 def _ledger_columns(o: DataFrame) -> DataFrame:
     return o.select(
         "schema", "id", F.col("chunk.server_id").alias("server_id"), F.col("chunk.dimension").alias("dimension"), F.col("chunk.x").alias("x"), F.col("chunk.z").alias("z"),
@@ -24,20 +29,29 @@ def _ledger_columns(o: DataFrame) -> DataFrame:
     )
 
 
+def record_rows(docs: DataFrame, text: str = "value") -> DataFrame:
+    """Observation records from a column of JSON documents, as OBSERVATIONS has them."""
+    return _ledger_columns(docs.select(F.from_json(text, OBSERVATION_JSON, {"mode": "FAILFAST"}).alias("o")).select("o.*"))
+
+
 def read_records(spark: SparkSession, root: str) -> DataFrame:
     """The observation records below root/observations, as OBSERVATIONS has them; unknown keys are passed over."""
     return _ledger_columns(spark.read.schema(OBSERVATION_JSON).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(f"{root}/observations"))
 
 
-def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """(server_id, dimension, x, z, id, valid) of the cells' index files: root/index/<server>/<dimension>/<x>/<z>, an id a line."""
-    lines = spark.read.option("recursiveFileLookup", True).text(f"{root}/index").select("value", F.col("_metadata.file_path").alias("p"))
+def index_rows(lines: DataFrame) -> DataFrame:
+    """(server_id, dimension, x, z, id, valid) of index lines (value, p), p the path .../<server>/<dimension>/<x>/<z>."""
     parts = F.split("p", "/")
     at = lambda k: F.element_at(parts, -k)
     number = lambda c: F.regexp_extract(c, r"^(-?\d+)", 1).cast("int")
     return lines.where("value <> ''").select(decoded_name(at(4)).alias("server_id"), decoded_name(at(3)).alias("dimension"), number(at(2)).alias("x"), number(at(1)).alias("z"), F.col("value").alias("id"), is_digest("value").alias("valid"))
 
 
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    """(server_id, dimension, x, z, id, valid) of the cells' index files: root/index/<server>/<dimension>/<x>/<z>, an id a line."""
+    return index_rows(spark.read.option("recursiveFileLookup", True).text(f"{root}/index").select("value", F.col("_metadata.file_path").alias("p")))
+
+
 def read_objects(spark: SparkSession, root: str) -> DataFrame:
     """(digest, size, bytes) of the content-addressed files root/objects/sha256/ab/cd/<digest>."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/objects/sha256")
@@ -116,14 +130,19 @@ def read_spool(spark: SparkSession, spool: str) -> tuple[DataFrame, DataFrame]:
 # ---- fingerprints as text --------------------------------------------------------------------------------------
 
 
-def write_fingerprint(states: DataFrame, components: DataFrame, root: str, namespace: str) -> list[str]:
-    """The lines of a fingerprint's text form; distinct states are few by design."""
-    s = states.orderBy("server_id", "dimension", "x", "z", "state_digest").toLocalIterator()
-    c = components.orderBy("name", "digest").toLocalIterator()
-    lines = [f"state {r.server_id} {r.dimension} {r.x} {r.z} {r.state_digest}" for r in s] + [f"component {r.name} {r.digest} {r.size}" for r in c]
-    if any(len(x.split()) != (6 if x.startswith("state") else 4) for x in lines):
+def fingerprint_lines(states: DataFrame, components: DataFrame, root: str, namespace: str) -> DataFrame:
+    """The lines (value) of a fingerprint's text form, in order; they are sorted and written by Spark, none goes through the driver."""
+    spark = states.sparkSession
+    none = F.lit("")
+    odd = lambda *names: F.greatest(*(F.col(n).rlike(r"(?U)\s").cast("int") for n in names)) == 1
+    if not (states.where(odd("server_id", "dimension")).isEmpty() and components.where(F.col("name").rlike(r"(?U)\s")).isEmpty()):
         raise ValueError("names with spaces can't be written as a fingerprint")
-    return [f"{namespace}.capture-fingerprint/v1", *lines, f"root {root}"]
+    line = lambda part, a, b, x, z, d, value: [F.lit(part).alias("part"), a.alias("a"), b.alias("b"), x.alias("x"), z.alias("z"), d.alias("d"), value.alias("value")]
+    zero = F.lit(0)
+    s = states.select(*line(1, F.col("server_id"), F.col("dimension"), F.col("x"), F.col("z"), F.col("state_digest"), F.concat_ws(" ", F.lit("state"), *(F.col(c).cast("string") for c in ("server_id", "dimension", "x", "z", "state_digest")))))
+    c = components.select(*line(2, F.col("name"), F.col("digest"), zero, zero, none, F.concat_ws(" ", F.lit("component"), "name", "digest", F.col("size").cast("string"))))
+    ends = [spark.range(1).select(*line(part, none, none, zero, zero, none, F.lit(value))) for part, value in ((0, f"{namespace}.capture-fingerprint/v1"), (3, f"root {root}"))]
+    return ends[0].unionByName(s).unionByName(c).unionByName(ends[1]).orderBy("part", "a", "b", "x", "z", "d").select("value")
 
 
 def read_fingerprint(lines: DataFrame) -> tuple[DataFrame, DataFrame, str]:

@@ -87,8 +87,11 @@ def test_fingerprint_text_round_trip(spark):
     states = comparison.fingerprint_states(a)
     parts = comparison.fingerprint_components(a.select(F.explode("components").alias("name", "c")).select("name", "c.digest", "c.size"))
     root = comparison.fingerprint_root(states, parts).first().root
-    lines = files.write_fingerprint(states, parts, root, "gridwitness")
-    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    df = files.fingerprint_lines(states, parts, root, "gridwitness")
+    lines = [r.value for r in df.collect()]
+    assert lines[0] == "gridwitness.capture-fingerprint/v1" and lines[-1] == f"root {root}"
+    with pytest.raises(ValueError):
+        files.fingerprint_lines(states.withColumn("server_id", F.lit("a b")), parts, root, "gridwitness")
     assert files.read_fingerprint(df)[2] == root
     body = "".join(x + "\0" for x in lines[1:-1])
     assert hashlib.sha256(body.encode()).hexdigest() == root
@@ -120,6 +123,28 @@ def test_store_append_purge_and_exchange(spark, tmp_path):
     assert Ledger.open(spark, f"file://{tmp_path}/a").observations().count() == 12
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Another writer publishes between reading the version and publishing the next; the change is worked out anew."""
+    root = f"file://{tmp_path}/w"
+    one, two = Ledger.create(spark, root), Ledger.open(spark, root)
+    real, done = one._write, []
+
+    def write(kind, rows):
+        if not done:
+            done.append(two.append(records(spark, n=3, contributors=("bob",))))
+        return real(kind, rows)
+
+    one._write = write
+    assert one.append(records(spark, n=4)) == {"observations": 5, "already_held": 3, "objects": 0}
+    assert one.observations().count() == 8 == one.observations().select("id").distinct().count()
+    assert [json.loads((tmp_path / "w" / "versions" / n).read_text())["version"] for n in one._versions()] == [0, 1, 2]
+    assert len(list((tmp_path / "w" / "observations").iterdir())) == 2  # what was written for the refused version is gone
+    assert not one._publish({"format": "1", "version": 2, "observations": [], "objects": []}) and one.observations().count() == 8
+    before = set(one._pointer()["observations"])
+    one.purge(records(spark, n=1, contributors=("alice",)))  # alice's first is in one of the two folders
+    assert len(before & set(one._pointer()["observations"])) == 1 and one.observations().count() == 7
+
+
 def test_a_tampered_transfer_is_refused_whole(spark, tmp_path):
     ledger = Ledger.create(spark, f"file://{tmp_path}/c")
     for name, rows, things in (("x", records(spark).withColumn("x", F.col("x") + 1), objects(spark)), ("y", records(spark), objects(spark, n=2))):
@@ -190,6 +215,117 @@ def test_exposure_counts_both_dimensions(spark, tmp_path):
     assert e.densest_region_fill == 2.0 and e.largest_cluster == 1024
 
 
+def test_a_corridor_of_regions_takes_few_rounds(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    df = spark.range(64 * 32).select(F.lit("s").alias("server_id"), F.col("id").cast("int").alias("x"), F.lit(7).alias("z"))
+    from pyspark.sql import DataFrame
+
+    rounds = []
+    real = DataFrame.isEmpty
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda self: rounds.append(1) or real(self))
+    assert [(r.root, r["size"]) for r in governance.clusters(df).collect()] == [((1 << 63) + (1 << 31) + 7 - (1 << 63), 64 * 32)]
+    assert len(rounds) - 1 <= 10
+
+
+def test_landmarks_of_any_size(spark):
+    rng = random.Random(6)
+    cells = {(rng.choice("ab"), "d", rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(400)} | {("a", "d", 2**31 - 1, -(2**31)), ("a", "d", 0, 0)}
+    boxes = [("a", "d", f"n{k}", *(sorted(rng.sample(range(-350, 350), 2)) + sorted(rng.sample(range(-350, 350), 2)))) for k in range(30)]
+    marks = [(s, d, n, x0, z0, x1, z1) for s, d, n, x0, x1, z0, z1 in boxes] + [("a", "d", "world", -(2**30), -(2**31), 2**30, -1), ("b", "d", "one", 0, 0, 0, 0), ("c", "d", "none", 0, 0, 9, 9)]
+    got = governance.landmark_coverage(spark.createDataFrame(sorted(cells), "server_id string, dimension string, x int, z int"), spark.createDataFrame(marks, "server_id string, dimension string, name string, min_x int, min_z int, max_x int, max_z int"))
+    found = {r.name: (r.observed, r.total) for r in got.collect()}
+    for s, d, n, x0, z0, x1, z1 in marks:
+        assert found[n] == (sum(c[0] == s and x0 <= c[2] <= x1 and z0 <= c[3] <= z1 for c in cells), (x1 - x0 + 1) * (z1 - z0 + 1))
+
+
+def test_policies(spark):
+    rows = [(" Private", None), ("embargoed", "2024-01-02 00:00:00"), ("Embargoed", "2024-01-01 00:00:00"), ("research", None), ("public", None), ("embargo", None), (None, None)]
+    df = spark.createDataFrame(rows, "disposition string, until string").select("disposition", F.col("until").cast("timestamp_ntz").alias("embargo_until"))
+    got = df.select(governance.may_distribute(F.col("disposition"), F.col("embargo_until"), F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).alias("r")).select("r.*").collect()
+    assert [(r.allowed, r.reason) for r in got] == [(False, "private"), (False, "under embargo"), (True, "the embargo is over"), (False, "research only"), (True, "public"), (False, "unknown disposition"), (False, "no policy was declared")]
+    whole = df.withColumns({"server": F.lit("s"), "declared_by": F.lit("me"), "declared_at": F.lit("2024-01-01").cast("timestamp")})
+    faults = [r.problems for r in governance.validated(whole, "policy").collect()]
+    assert faults == [[], [], [], [], [], ["disposition is known"], ["disposition is known", "an embargo, and nothing else, has an end"]]
+    odd = whole.withColumns({"embargo_until": F.lit("2025-01-01").cast("timestamp_ntz"), "declared_by": F.lit(" ")}).where("disposition = 'public'")
+    assert governance.validated(odd, "policy").first().problems == ["declared_by is required", "an embargo, and nothing else, has an end"]
+
+
+def test_manifests_are_computed_anew_when_read(spark, tmp_path):
+    from gridwitness.sources import documents
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    obs = records(spark).unionByName(records(spark, n=2).withColumn("server_id", F.lit("other")))
+    parts = obs.select("id", F.explode("components").alias("name", "c")).select("id", "name", "c.digest", "c.size")
+    path = f"file://{tmp_path}/manifest.json"
+    root = documents.write_ledger_manifest(obs, parts, path, "2026-01-01T00:00:00Z")
+    cells, again = documents.read_ledger_manifest(spark, path)
+    assert root == again and cells.exceptAll(comparison.chunk_manifest(obs).select(*cells.columns)).count() == 0 and cells.count() == 8
+    doc = json.loads((tmp_path / "manifest.json").read_text())
+    assert doc["observations"] == 16 and doc["servers"][0]["dimensions"][0]["earliest"] == "2026-08-09T12:00:00.123456789Z"
+    doc["servers"][0]["dimensions"][0]["chunk_digests"][0]["digest"] = "0" * 64
+    (tmp_path / "bad.json").write_text(json.dumps(doc))
+    with pytest.raises(ValueError, match="root"):
+        documents.read_ledger_manifest(spark, f"file://{tmp_path}/bad.json")
+    with pytest.raises(ValueError, match="schema"):
+        documents.read_ledger_manifest(spark, path, "elsewhere")
+    from gridwitness.operators import selection
+
+    at = "2026-08-09 12:03:00"
+    own = selection.select_at(selection.gather(obs, None, "example.org", "overworld"), at)
+    epoch = comparison.epoch_manifest(own)
+    summary = selection.status_summary(own).first().asDict()
+    path = f"file://{tmp_path}/epoch.json"
+    root = documents.write_epoch_manifest(epoch, summary, path, "example.org", "overworld", at, "2026-01-01T00:00:00Z")
+    rows, about = documents.read_epoch_manifest(spark, path)
+    assert about["root"] == root and about["summary"]["unknown"] == 3 and rows.count() == 6 and comparison.compare_epochs(epoch, rows).where("kind <> 'equal'").count() == 0
+    (tmp_path / "cut.json").write_text((tmp_path / "epoch.json").read_text().replace('"x": 1,', '"x": 9,'))
+    with pytest.raises(ValueError, match="root"):
+        documents.read_epoch_manifest(spark, f"file://{tmp_path}/cut.json")
+
+
+def test_profiles_rules_and_evidence(spark, tmp_path):
+    from gridwitness.sources import documents
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    put = lambda name, doc: (tmp_path / name).write_bytes(b"\xef\xbb\xbf" + json.dumps(doc).encode()) and f"file://{tmp_path}/{name}"
+    profile = {"schema": "gridwitness.minecraft-profile/v1", "version": "9", "data_version": 5, "dimensions": {"m:o": {"min_section_y": -4, "section_count": 24}}, "blocks": ["m:air", "m:new", "m:stone"], "biomes": ["m:plains"]}
+    head, entries = documents.read_profile(spark, put("p.json", profile))
+    assert head["data_version"] == 5 and {tuple(r) for r in entries.where("kind <> 'block'").collect()} == {("biome", "m:plains", ""), ("dimension", "m:o", "-4:24")}
+    for change in ({"version": " "}, {"blocks": ["b", "a"]}, {"biomes": []}, {"surprise": 1}, {"schema": "x"}, {"dimensions": {"d": {"min_section_y": 0, "section_count": 0}}}):
+        with pytest.raises(ValueError):
+            documents.read_profile(spark, put("q.json", {**profile, **change}))
+    rules = documents.read_rules(spark, put("r.json", {"schema": "gridwitness.translation-rules/v1", "renames": {"m:old": "m:new", "odd": "m:stone"}, "substitutions": {"m:old": {"block": "m:gone"}, "m:odd": {"block": "m:stone", "keep_properties": True}}, "biome_renames": {"m:a": "m:plains"}}))
+    assert {tuple(r) for r in documents.rule_problems(rules, entries).collect()} == {("block", "m:old", "the target has no such name"), ("block", "odd", "not a name with a namespace"), ("block", "m:old", "renamed and substituted")}
+    sections = spark.createDataFrame([("c1", 0, ["m:odd[a=b]", "m:stone"], [0, 1]), ("c2", 0, ["m:bad"], [0, 0]), ("c3", 99, ["m:stone"], [0, 0])], "chunk string, section_y int, palette array<string>, indices array<int>")
+    block = rules.where("of = 'block'").drop("of")
+    out = translation.translate_for_target(sections, entries, block, head["dimensions"]["m:o"])[0]
+    assert [(r.chunk, r.palette) for r in out.collect()] == [("c1", ["m:stone", "m:stone[a=b]"])]
+    with pytest.raises(ValueError, match="1 states at 2 positions can't be shown, 1 sections"):
+        translation.translate_for_target(sections, entries, block, head["dimensions"]["m:o"], "report")
+    o = {"placement": {"spacing": 32, "separation": 8, "salt": 5, "spread_type": "linear"}, "chunk": {"x": 3, "z": -4}}
+    evidence = {"schema": "gridwitness.seed-observations/v1", "observations": [o]}
+    assert documents.read_evidence(spark, put("e.json", evidence)) == [{"spacing": 32, "separation": 8, "salt": 5, "spread_type": "linear", "x": 3, "z": -4}]
+    for bad in ({**evidence, "observations": []}, {**evidence, "observations": [{**o, "placement": {**o["placement"], "separation": 32}}]}, {**evidence, "schema": "x"}):
+        with pytest.raises(ValueError):
+            documents.read_evidence(spark, put("f.json", bad))
+
+
+def test_status_and_words(spark):
+    from gridwitness.operators import status
+
+    obs, none = records(spark), records(spark).limit(0)
+    policies = spark.createDataFrame([("example.org", "Private", None)], "server string, disposition string, embargo_until timestamp_ntz")
+    steps = [status.next_step(o, p, r) for o, p, r in ((obs, policies, 2), (none, policies, None), (none, policies, 0), (obs, policies.limit(0), 0), (obs, policies, None))]
+    assert steps == list(status.STEPS)
+    r = status.server_status(obs, policies, "2026-01-01 00:00:00").first()
+    assert (r.dimensions, r.chunks, r.observations, r.declared, r.allowed) == (1, 6, 12, True, False)
+    shown, more = status.truncated(obs.orderBy("id"), 5)
+    assert shown.count() == 5 and more == 7 and status.truncated(obs, 0)[1] == 0 and status.truncated(obs, 50)[1] == 0
+    reds = spark.createDataFrame([("s", None, "d", 1, 2, 3, 4), ("s", "c", "", None, None, None, None)], "server_id string, contributor string, dimension string, min_x int, min_z int, max_x int, max_z int")
+    assert [r.t for r in reds.select(status.redaction_text().alias("t")).collect()] == ["server s; every contributor; dimension d; x 1 to 3, z 2 to 4", "server s; contributor c; every dimension; every place"]
+    assert policies.select(status.policy_text().alias("t")).first().t == "example.org: private"
+
+
 def test_declarations(spark):
     df = spark.createDataFrame([("s", None, "why", None, 1, 1, 0, 0)], "server_id string, declared_by string, reason string, declared_at timestamp, min_x int, min_z int, max_x int, max_z int")
     assert governance.validated(df, "redaction").first().problems == ["declared_by is required", "declared_at is required", "bounds are in order"]
