@@ -19,7 +19,8 @@ it, and a subtree is left when what remains of the query and of the longest set
 Defined cases. The set of a text with fewer than width words is its whole sequence as one n-gram; a null
 text or one without words has none, links with nothing and is its own class. Equal sets are one node from the
 start, however many copies there are. Rows that share a doc_id are separate texts with one id. Null ids are passed
-over when a class takes its smallest id; a class without any other has null. Very long texts are read whole.
+over when a class takes its smallest id; a class without any other has null. Very long texts are read whole. Of sets that share equally many
+labels the one of larger key is the pivot. An empty table gives no rows. Only the columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import forget, mixed, stored, window_hashes, word_hashes, words
 
-#: Sets in one prefix tree, and sketches that a task compares with as many others.
+#: Sets in one prefix tree, and sketches that a task compares with as many others; both also by bytes, so that a task holds no more of long sets.
 TREE, SKETCHES = 256, 2_048
+TREE_BYTES, SKETCH_BYTES = 1 << 25, 1 << 24
 #: Rounds with one pivot a label; after these, bounded blocks of its members are compared pair by pair.
 PIVOT_ROUNDS = 2
 #: Keys a task remembers so as not to label copies again.
@@ -48,8 +51,10 @@ def gram_set(text: str | None, width: int = 4) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(words(text)), width))
 
 
-def set_key(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+def set_key(grams: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two signed halves of a 128-bit hash: the key that stands for a set, and what tells two sets of one key apart."""
+    whole = xxhash.xxh3_128_intdigest(grams.tobytes(), seed)
+    return (whole & (1 << 64) - 1) - (1 << 63), (whole >> 64) - (1 << 63)
 
 
 @lru_cache
@@ -147,16 +152,17 @@ class SetTrie:
                     stack.append((child, depth, at, overlap))
 
 
-def _sets_and_labels(percent: int, width: int):
+def _sets_and_labels(percent: int, width: int, seed: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
-            sizes, keys, marks = [], [], []
+            sizes, keys, others, marks = [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = gram_set(text, width)
-                key = set_key(grams) if len(grams) else None
+                key, other = set_key(grams, seed) if len(grams) else (None, None)
                 sizes.append(len(grams))
                 keys.append(key)
+                others.append(other)
                 if key is None or key in seen:
                     marks.append(None)
                 else:
@@ -164,7 +170,7 @@ def _sets_and_labels(percent: int, width: int):
                         seen.clear()
                     seen.add(key)
                     marks.append(labels(grams, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "other", "labels"])
 
     return run
 
@@ -218,14 +224,14 @@ def may_link(asking: list[np.ndarray], asked: list[np.ndarray], n_asking: np.nda
     return fit
 
 
-def _grams_of(width: int):
+def _grams_of(width: int, seed: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
             keys, sizes, sketches, found = [], [], [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = gram_set(text, width)
-                if wanted not in seen and len(grams) and set_key(grams) == wanted:
+                if wanted not in seen and len(grams) and set_key(grams, seed)[0] == wanted:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(wanted)
@@ -238,58 +244,83 @@ def _grams_of(width: int):
     return run
 
 
-def _grouped(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
-    """The rows of one (group, block) after the other, without these two."""
-    at, held = None, []
-    for batch in rows:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
-            if row[:2] != at:
-                if held:
-                    yield held
-                at, held = row[:2], []
-            held.append(row[2:])
+def _grouped(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[Iterator[tuple]]:
+    """The rows of one (group, block) after the other, without these two, as they come."""
+    each = (row for batch in rows for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True))
+    for _, members in groupby(each, key=lambda row: row[:2]):
+        yield (row[2:] for row in members)
+
+
+def _in_parts(members: Iterator[tuple], column: int, most: int) -> Iterator[list[tuple]]:
+    """members in lists of about so many bytes in a column."""
+    held, size = [], 0
+    for m in members:
+        held.append(m)
+        size += len(m[column])
+        if size >= most:
+            yield held
+            held, size = [], 0
     if held:
         yield held
 
 
 def _sketch_pairs(percent: int):
-    """Of rows (group, block, role, key, class, n, sketch) sorted by group and block: pairs of different classes that may link, role 1 or 2 with 0 or 2."""
+    """Of rows (group, block, role, key, class, n, sketch) sorted by group, block and falling role: pairs of different classes that may link, role 1 or 2 with 0 or 2."""
 
     def pack(found: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key", "pivot"])
 
+    column = lambda side, i: np.array([m[i] for m in side], np.int64)
+    bits = lambda side: [np.frombuffer(m[4], np.uint64) for m in side]
+
+    def met(asking: list[tuple], asked: list[tuple]) -> np.ndarray:
+        ok = may_link(bits(asking), bits(asked), column(asking, 3), column(asked, 3), percent) & (column(asking, 2)[:, None] != column(asked, 2)[None, :])
+        i, j = np.nonzero(ok)
+        a, b = column(asking, 1)[i], column(asked, 1)[j]
+        return np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         for members in _grouped(rows, 7):
-            asking, asked = [m for m in members if m[0] != 0], [m for m in members if m[0] != 1]
-            if not asking or not asked:
+            asking: list[tuple] = []  # a pivot, or the members of a block, which is bounded by bytes
+            rest: Iterator[tuple] = iter(())
+            for m in members:
+                if m[0] == 0:
+                    rest = chain((m,), members)
+                    break
+                asking.append(m)
+            if not asking:
                 continue
-            column = lambda side, i: np.array([m[i] for m in side], np.int64)
-            bits = lambda side: [np.frombuffer(m[4], np.uint64) for m in side]
-            ok = may_link(bits(asking), bits(asked), column(asking, 3), column(asked, 3), percent) & (column(asking, 2)[:, None] != column(asked, 2)[None, :])
-            i, j = np.nonzero(ok)
-            a, b = column(asking, 1)[i], column(asked, 1)[j]
-            out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1))
-            if len(out) >= 1_000 or len(out[-1]) > 100_000:
-                yield pack(out)
-                out = []
+            both = [m for m in asking if m[0] == 2]
+            for asked in chain([both] if both else [], _in_parts(rest, 4, SKETCH_BYTES)):
+                out.append(met(asking, asked))
+                if len(out) >= 1_000 or len(out[-1]) > 100_000:
+                    yield pack(out)
+                    out = []
         yield pack(out)
 
     return run
 
 
 def _tree_links(percent: int):
-    """Of rows (group, block, role, key, grams) sorted by group and block: links between its queries (role 1) and its other sets."""
+    """Of rows (group, block, role, key, grams) sorted by group, block and falling role: links between its queries (role 1) and its other sets, put in one tree after the other."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
         for members in _grouped(rows, 5):
-            tree = SetTrie.of([(np.frombuffer(grams, np.uint64), key) for role, key, grams in members if role == 0])
-            for role, key, grams in members:
-                if role == 1 and tree:
-                    out += [(key, other) for other in tree.links(np.frombuffer(grams, np.uint64), percent)]
+            queries: list[tuple[int, np.ndarray]] = []
+            rest: Iterator[tuple] = iter(())
+            for m in members:
+                if m[0] == 0:
+                    rest = chain((m,), members)
+                    break
+                queries.append((m[1], np.frombuffer(m[2], np.uint64)))
+            for sets in _in_parts(rest, 2, TREE_BYTES):
+                tree = SetTrie.of([(np.frombuffer(grams, np.uint64), key) for _, key, grams in sets])
+                for key, grams in queries:
+                    out += [(key, other) for other in tree.links(grams, percent)]
             if len(out) >= 10_000:
                 yield pack()
                 out = []
@@ -301,14 +332,14 @@ def _tree_links(percent: int):
 def _candidates(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (key, pivot) that may link. tasks: (group, block, role, key, class); role 1 asks, 0 is asked, 2 does both."""
     rows = tasks.join(sets.select("key", "n", "sketch"), "key").select("group", "block", "role", "key", "class", "n", "sketch")
-    return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_sketch_pairs(percent), "key bigint, pivot bigint").distinct()
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block", F.desc("role")).mapInArrow(_sketch_pairs(percent), "key bigint, pivot bigint").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (key, pivot) that link. Each pivot's n-grams traverse trees of about TREE of its sets."""
     tasks = _pivot_tasks(pairs.select("key", F.lit(0).cast("bigint").alias("class"), "pivot", F.lit(0).cast("bigint").alias("pivot_class")), TREE).drop("class")
     rows = tasks.join(sets.select("key", "grams"), "key").select("group", "block", "role", "key", "grams")
-    return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_tree_links(percent), "a bigint, b bigint").distinct()
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block", F.desc("role")).mapInArrow(_tree_links(percent), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,8 +371,9 @@ def _pivot_tasks(pairs: DataFrame, size: int) -> DataFrame:
 
 
 def _block_tasks(members: DataFrame, size: int) -> DataFrame:
-    """members: (label, key, class). All pairs of blocks, of about size, of a label's members."""
-    many = members.groupBy("label").agg(F.ceil(F.count("*") / F.lit(size)).alias("blocks"))
+    """members: (label, key, class, n). All pairs of blocks, of about size and of bounded bytes, of a label's members."""
+    share = F.lit(1.0) + F.col("n") / F.lit(4.0) * F.lit(size / SKETCH_BYTES)  # a sketch has at most a quarter of a byte for each n-gram
+    many = members.groupBy("label").agg(F.ceil(F.sum(share) / F.lit(size)).alias("blocks"))
     dealt = members.join(many, "label").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
     pair = lambda i, j: i * F.lit(1 << 31) + j
     own = dealt.select(F.col("label").alias("group"), pair(F.col("i"), F.col("i")).alias("block"), F.lit(2).alias("role"), "key", "class")
@@ -361,19 +393,28 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(doc_id, n_shingles, component_id) of each row of docs."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    wide = stored(source.mapInArrow(_sets_and_labels(percent, width), f"doc_id {kind}, n bigint, key bigint, labels array<bigint>"), "labels")
+    for seed in range(8):
+        wide = stored(source.mapInArrow(_sets_and_labels(percent, width, seed), f"doc_id {kind}, n bigint, key bigint, other bigint, labels array<bigint>"), "labels")
+        noted = stored(wide.select("doc_id", "n", "key", "other"), "sets")
+        # Sets go by 64 of 128 bits; should two different ones share these, all are hashed anew.
+        if noted.where("key is not null").groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").isEmpty():
+            break
+        forget(wide)
+        forget(noted)
+    else:
+        raise RuntimeError("different sets share a hash under every seed")
     met = stored(
         wide.where("labels is not null").select(F.explode("labels").alias("label"), "key")
         .repartition("label").sortWithinPartitions("label", "key")
         .mapInArrow(_shared, "label bigint, key bigint"),
         "met",
     )
-    noted = stored(wide.select("doc_id", "n", "key"), "sets")
     forget(wide)
-    met = stored(_once(met), "met")
+    met, first = stored(_once(met), "met"), met
+    forget(first)
     holders = noted.select("key", "doc_id").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
     sets = stored(
-        source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width), "key bigint, n bigint, sketch binary, grams binary"),
+        source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width, seed), "key bigint, n bigint, sketch binary, grams binary"),
         "grams",
     )
     edges, roots, rest = None, None, met
@@ -387,7 +428,7 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             if rest.isEmpty():
                 break
         if last:
-            tasks = _block_tasks(rest, SKETCHES)
+            tasks = _block_tasks(rest.join(sets.select("key", "n"), "key"), SKETCHES)
         else:
             degree = rest.groupBy("key").agg(F.count("*").alias("degree"))
             chosen = rest.join(degree, "key").groupBy("label").agg(F.max_by(F.struct("key", "class"), F.struct("degree", "key")).alias("p"))

@@ -371,6 +371,8 @@ def test_similar_groups_of_many_sizes(spark, monkeypatch):
     """Small sets, chains of links and groups larger than a tree, through all rounds."""
     monkeypatch.setattr(ngramjoin, "TREE", 4)
     monkeypatch.setattr(ngramjoin, "SKETCHES", 4)
+    monkeypatch.setattr(ngramjoin, "TREE_BYTES", 700)
+    monkeypatch.setattr(ngramjoin, "SKETCH_BYTES", 60)
     rng = random.Random(2)
     rows = []
     for size in (3, 6, 8, 9, 12, 13, 20, 40, 90):
@@ -386,6 +388,37 @@ def test_similar_groups_of_many_sizes(spark, monkeypatch):
         assert Counter(map(tuple, ngramjoin.similar_groups(docs, width=width, percent=percent).collect())) == brute_groups(rows, width, percent)
 
 
+def test_sets_that_share_a_key_are_hashed_anew(spark, monkeypatch):
+    real, seeds = ngramjoin.set_key, []
+
+    def poor(grams, seed=0):
+        seeds.append(seed)
+        key, other = real(grams, seed)
+        return (key % 2, other) if seed == 0 else (key, other)
+
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(6)]
+    rows.append((9, rows[0][1]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    source = docs.select("doc_id", "text").toArrow().to_batches()
+    monkeypatch.setattr(ngramjoin, "set_key", poor)
+    keys = [k for b in ngramjoin._sets_and_labels(85, 4, 0)(iter(source)) for k in b.column(2).to_pylist()]
+    assert len(set(keys)) == 2  # what the check below sees of the first hash
+    monkeypatch.setattr(ngramjoin, "_sets_and_labels", lambda percent, width, seed, made=ngramjoin._sets_and_labels: _replayed(made(percent, width, seed), source))
+    got = {r.doc_id: r.component_id for r in ngramjoin.similar_groups(docs).collect()}
+    assert got == {k: k for k in range(6)} | {9: 0} and {0, 1} <= set(seeds)
+
+
+def _replayed(run, source):
+    """A function for mapInArrow that gives what run makes of source on the driver, where the test has changed it."""
+    made = list(run(iter(source)))
+
+    def give(rows):
+        if any(b.num_rows for b in rows):
+            yield from made
+
+    return give
+
+
 def test_labels_miss_no_link():
     rng = np.random.default_rng(1)
     for n in (6, 7, 12, 13, 25, 60, 200, 1500):
