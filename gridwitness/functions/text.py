@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ STATE_TOKEN = r"(?U)^[^\s,=\[\]]+$"
 BLOCKS_NAME = r"^mcjava\.blocks\.(0|-?[1-9][0-9]*)$"
 BIOMES_NAME = r"^mcjava\.biomes\.(0|-?[1-9][0-9]*)$"
 RELEASE = r"^minecraft-java/([^;]+)"
+#: What no relative POSIX path has: a root, a drive, a backslash, NUL, or an empty, `.` or `..` segment.
+RELATIVE_PATH_FAULTS = re.compile(r"^[A-Za-z]:|[\\\x00]|(?:^|/)(?:\.\.?)?(?:/|$)")
 
 
 def col(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 TICK_MS = 50
 #: Limits of block entities of a cell.
 MOST_ENTRIES, MOST_BYTES = 4_096, 16 << 20
+#: Fixed value: bytes of block entities of all cells together.
+MOST_BYTES_OF_ALL = 128 << 20
 
 CLAIM = "x int, z int, first_tick bigint, last_tick bigint, reason string"
 
@@ -57,9 +59,13 @@ class DirtyCell:
             self.last = last if self.last is None else max(self.last, last)
 
 
-def dirty_claims(events: DataFrame, coalesce_ticks: int = 4) -> DataFrame:
-    """Claims from a stream (x, z, tick, kind). A window whose time has come is claimed when the watermark passes it, in event time of 50 ms a tick (from 1: a watermark begins at 0 and rows there would be late)."""
-    timed = events.withColumn("at", F.timestamp_millis((F.col("tick") + 1) * TICK_MS)).withWatermark("at", "0 seconds")
+def dirty_claims(events: DataFrame, coalesce_ticks: int = 4, late: str = "10 seconds") -> DataFrame:
+    """Claims from a stream (x, z, tick, kind). A window whose time has come is claimed when the watermark passes it, in event time of 50 ms a tick (from 1: a watermark begins at 0 and rows there would be late).
+
+    late: how far events may lag behind the latest one of all cells, such as those of a slower file or partition, and still count; claims of windows that no
+    later event of their cell closes wait as long.
+    """
+    timed = events.withColumn("at", F.timestamp_millis((F.col("tick") + 1) * TICK_MS)).withWatermark("at", late)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else (False, None, None)
@@ -127,6 +133,28 @@ class BlockEntities:
             self.known, self.entries = False, {}
 
 
+class BlockEntityCache:
+    """The block entities of all cells of a session. Beyond the bytes for all of them, whole cells are forgotten, the one changed longest ago first: known in part is never known."""
+
+    def __init__(self, most_bytes: int = MOST_BYTES_OF_ALL) -> None:
+        self.most_bytes, self.cells, self.sizes = most_bytes, {}, {}
+
+    def change(self, cell: tuple[int, int], act: Callable[[BlockEntities], None]) -> BlockEntities:
+        """Applies act to a cell and gives the cell; it is unknown afterwards if it alone is too large."""
+        own = self.cells.pop(cell, None) or BlockEntities()
+        act(own)
+        self.cells[cell] = own  # the latest is last
+        self.sizes[cell] = sum(len(p) for _, p in own.entries.values())
+        total = sum(self.sizes.values())
+        for other in list(self.cells):
+            if total <= self.most_bytes:
+                break
+            total -= self.sizes.pop(other)
+            gone = self.cells.pop(other)
+            gone.known, gone.entries = False, {}
+        return own
+
+
 def block_entity_states(events: DataFrame) -> DataFrame:
     """(x, z, seq, known, positions) after each event of a stream (x, z, seq, kind, position, type, payload); kind is baseline, delta or forget, a baseline's rows share a seq."""
 

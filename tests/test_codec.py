@@ -1,6 +1,7 @@
 """Codecs, seeds, capture shapes, exports and the stateful capture operators."""
 
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -186,6 +187,62 @@ def test_dirty_windows_as_a_stream(spark, tmp_path):
     assert got >= {c for c in CLAIMS if c[3] < 57} and got <= CLAIMS
 
 
+def test_an_event_that_comes_a_batch_late_still_counts(spark, tmp_path):
+    import os
+
+    batches = [[(0, 0, 0, "load"), (1, 1, 0, "load"), (0, 0, 100, "dirty")], [(1, 1, 90, "dirty")], [(0, 0, 600, "dirty"), (1, 1, 600, "dirty")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "x int, z int, tick bigint, kind string").coalesce(1).write.parquet(str(tmp_path / "made" / str(k)))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (file,) = (tmp_path / "made" / str(k)).glob("part-*")
+        file.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("x int, z int, tick bigint, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = capture.dirty_claims(stream).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.x, r.first_tick, r.last_tick) for r in spark.sql("SELECT * FROM late").collect()} >= {(1, 90, 90), (0, 100, 100)}
+
+
+def test_the_cells_together_are_bounded():
+    cache = capture.BlockEntityCache(most_bytes=10)
+    cells = [cache.change((k, 0), lambda c: c.baseline({"p": ("sign", b"1234")})) for k in range(2)]
+    cache.change((0, 0), lambda c: c.delta("q", "sign", b"5"))
+    third = cache.change((2, 0), lambda c: c.baseline({"p": ("sign", b"12345")}))
+    assert [c.known for c in (*cells, third)] == [True, False, True] and list(cache.cells) == [(0, 0), (2, 0)]
+    alone = cache.change((3, 0), lambda c: c.baseline({"p": ("sign", b"x" * 11)}))
+    assert not alone.known and not cache.cells
+
+
+def test_a_spool_is_written_whole_and_recovered(spark, tmp_path):
+    from gridwitness.sources import files
+    from gridwitness.streaming import spool
+
+    writer = spool.SpoolWriter(tmp_path / "spool")
+    manifest = lambda n: {"schema": "gridwitness.capture-bundle/v1", "server_id": "s", "dimension": "d", "chunk": {"x": n, "z": 0}, "observed_at": "2026-08-09T12:00:00Z", "protocol": "p", "source": {"contributor": "me"}, "capture": {"session_id": "a", "sequence": n, "trigger": "t"}}
+    one, two = (writer.write(manifest(n), {"x": b"same", "y": str(n).encode()}) for n in (1, 2))
+    with pytest.raises(FileExistsError):
+        writer.write(manifest(2), {"x": b"other"})
+    names = {n: json.loads((one / "bundle.json").read_text())["components"][n]["path"] for n in "xy"}
+    assert (one / names["x"]).stat().st_ino == (two / names["x"]).stat().st_ino and spool.bundle_fault(one) is None
+    rows, _ = files.read_spool(spark, str(tmp_path / "spool"))
+    assert [(r.x, r.problems) for r in rows.collect()] == [(1, []), (2, [])]
+    # a crash leaves folders that were never renamed: one whole, one cut short, one twice
+    writer.write(manifest(3), {"x": b"3"}).rename(tmp_path / "spool" / ".tmp-whole")
+    cut = writer.write(manifest(4), {"x": b"4"})
+    (cut / "bundle.json").write_text("{")
+    cut.rename(tmp_path / "spool" / ".tmp-cut")
+    left = [p.name for p in (tmp_path / "spool").iterdir() if p.name.startswith(".tmp-")]
+    found = spool.recover(tmp_path / "spool")
+    assert len(left) == 3 and found.pop(spool.ready_name("a", 3)) is None and sorted(x.split(":")[0] for x in found.values()) == ["its sequence was published already", "no strict JSON"]
+    assert spool.recover(tmp_path / "spool") == {}
+    with pytest.raises(OSError, match="full"):
+        spool.SpoolWriter(tmp_path / "spool", most=1).write(manifest(9), {"x": b"9"})
+    for bad in ("/a", "a//b", "a/../b", "./a", "C:a", "a\\b", "a/", "", ".."):
+        assert spool.RELATIVE_PATH_FAULTS.search(bad), bad
+    for good in ("a", "a/b.c", "..a/b", "a..b"):
+        assert not spool.RELATIVE_PATH_FAULTS.search(good)
+
+
 def test_block_entities():
     cell = capture.BlockEntities()
     cell.delta("p", "sign", b"1")
