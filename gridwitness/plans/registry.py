@@ -427,6 +427,10 @@ ORACLES = {
        s AS (SELECT server_id, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS regions, max(n) / 1024.0::DOUBLE AS densest_region_fill, min(ax) AS min_x, max(bx) AS max_x, min(az) AS min_z, max(bz) AS max_z FROM rg GROUP BY 1),
        m AS (SELECT server_id, max(size) AS largest_cluster FROM cl GROUP BY 1)
        SELECT s.*, largest_cluster, CASE WHEN largest_cluster >= 1024 OR (regions >= 4 AND densest_region_fill >= 0.25) THEN 'substantial' WHEN largest_cluster >= 64 THEN 'moderate' ELSE 'minimal' END AS exposure FROM s JOIN m USING (server_id)""",
+    "largest_clusters": """WITH RECURSIVE pt AS (SELECT DISTINCT 'srv-' || o_orderstatus AS server_id, CAST(o_orderkey * 31 % 90 - 45 AS INT) AS x, CAST(o_custkey * 17 % 90 - 45 AS INT) AS z FROM orders),
+       cc(server_id, x, z, root) USING KEY (server_id, x, z) AS (SELECT server_id, x, z, (x + 1000) * 10000 + z + 1000 FROM pt
+         UNION SELECT c.server_id, c.x, c.z, min(n.root) FROM recurring.cc c JOIN cc n ON n.server_id = c.server_id AND abs(n.x - c.x) + abs(n.z - c.z) = 1 WHERE n.root < c.root GROUP BY c.server_id, c.x, c.z)
+       SELECT server_id, CAST(size AS BIGINT) AS size, count(*) AS clusters FROM (SELECT server_id, root, count(*) AS size FROM cc GROUP BY ALL) GROUP BY ALL""",
     "purge_summary": _with(_V, _C, _PURGE_SQL)
     + "SELECT (SELECT count(*) FROM obs WHERE contributor = 'c1') AS removed_observations, (SELECT count(*) FROM gone WHERE digest NOT IN (SELECT digest FROM lft)) AS removed_objects, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM gone WHERE digest NOT IN (SELECT digest FROM lft)) AS removed_bytes, (SELECT count(*) FROM gone WHERE digest IN (SELECT digest FROM lft)) AS retained_objects",
     "purge_retained": _with(_V, _C, _PURGE_SQL) + "SELECT digest, max(g.size) AS size, string_agg(DISTINCT contributor, ',' ORDER BY contributor) AS contributors FROM gone g JOIN lft USING (digest) GROUP BY digest",
