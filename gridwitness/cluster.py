@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED = "spark.gridwitness.shipped"
+#: Bytes of an Arrow batch at most: texts are long, and a batch is held several times over on its way to Python and back.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to all Python workers, once an application: they need not find it by any path of their own."""
+    """Sends this package to all Python workers, once an application: they need not find it by any path of their own. Arrow batches are held small in the session."""
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if spark.conf.get(_SHIPPED, None) != spark.sparkContext.applicationId:
         root = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="gridwitness-")) / "gridwitness.zip"
