@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, identity, text
+from ..functions import codec, fixtures, identity, text
 from ..functions.strict_json import json_problem
 from ..operators import catalog, comparison, export, governance, integrity, search, selection, status, translation
 from ..sources import documents, events, files
@@ -169,6 +170,18 @@ def object_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.object_problems(_objects(spark, sf_dir).withColumn("bytes", altered)).select("kind", "subject")
 
 
+def document_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files of which some are cut short or have another's name, and a journal with entries left."""
+    e = F.col("event_id")
+    obs = _obs(spark, sf_dir)
+    doc = F.when(e % 41 == 7, F.lit('{"id": ')).when(e % 41 == 8, F.lit("{}")).otherwise(F.to_json(F.struct("id", "server_id")))
+    name = F.when(e % 37 == 3, F.concat(F.lit("x"), "id")).otherwise(F.col("id"))
+    files_ = obs.select(F.concat(F.lit("file:/ledger/observations/"), F.left("id", F.lit(2)), F.lit("/"), name, F.lit(".json")).alias("path"), F.encode(doc, "UTF-8").alias("content"))
+    journal = obs.where(e % 53 == 5).select(F.concat(F.lit("file:/ledger/journal/"), F.when(e % 2 == 0, ".tmp-").otherwise(""), F.col("id")).alias("path"), F.encode(F.lit(""), "UTF-8").alias("content"))
+    found = integrity.document_problems(files_.unionByName(journal))
+    return found.select("kind", "subject", F.when(F.col("kind") == "unreadable record", "").otherwise(F.col("detail")).alias("detail"))
+
+
 def transfer_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The local observations of cells whose digests differ."""
     a, b = _two(spark, sf_dir)
@@ -402,6 +415,24 @@ def codec_biomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("k", F.sha2(F.array_join(codec.expanded(F.col("s.palette"), F.col("s.indices")), ",").cast("binary"), 256).alias("digest"), codec.state_at(F.col("s.palette"), F.col("s.indices"), F.lit(5), F.lit(0), F.lit(0)).alias("fifth"))
 
 
+def codec_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the exact bytes of shapes and sections described in a few words."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k in pdf["s_suppkey"].tolist():
+                y = k % 16 - 8
+                shape = fixtures.component("shape", {"min_section_y": y, "section_count": k % 30 + 1})
+                blocks = fixtures.component("block_section", {"section_y": y, "constant": f"minecraft:b{k}"})
+                biomes = fixtures.component("biome_section", {"section_y": y, "in_turn": ["minecraft:a", "minecraft:b"]})
+                numbered = fixtures.states({"numbered": "m:b", "width": 4}, k % 5 + 1)
+                out.append((k, *(hashlib.sha256(b).hexdigest() for b in (shape, blocks, biomes)), ",".join(numbered)))
+            yield pd.DataFrame(out, columns=["k", "shape", "blocks", "biomes", "numbered"])
+
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(run, "k bigint, shape string, blocks string, biomes string, numbered string")
+
+
 def packed_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indices packed into longs of 4 bits each or more, for palettes by the part's size."""
 
@@ -685,9 +716,9 @@ def _held_sql(step: str, rows: str, digests: str) -> str:
 _USED = lambda where: f"b IN (SELECT biomes FROM rec WHERE {where} UNION ALL SELECT terrain FROM rec WHERE {where})"
 
 _FUNCTIONS = (
-    observation_identity, stored_record_check, record_json, index_lines, encoded_names, store_steps, store_exchange, object_check, transfer_selection, bundle_manifests, spool_kinds, fingerprint_text, ledger_manifest,
+    observation_identity, stored_record_check, record_json, index_lines, encoded_names, store_steps, store_exchange, object_check, document_check, transfer_selection, bundle_manifests, spool_kinds, fingerprint_text, ledger_manifest,
     epoch_manifest, dimension_scan, landmark_summary, fingerprint_of_server, releases, foreign_namespaces, id_prefix, truncated_listing, server_status, ledger_status, next_steps, why_empty, scope_texts, name_checks,
-    block_states, rfc3339_times, region_slots, digests, sizes_and_bounds, strict_json, codec_shapes, codec_blocks, codec_biomes, packed_indices, region_export, capture_shapes, coverage_pixels, palette_counts, resolved_states,
+    block_states, rfc3339_times, region_slots, digests, sizes_and_bounds, strict_json, codec_shapes, codec_blocks, codec_biomes, codec_bytes, packed_indices, region_export, capture_shapes, coverage_pixels, palette_counts, resolved_states,
     translation_report, translated_sections, filled_sections, profile_delta, release_effect, seed_search, seed_report, dirty_claims, due_claims, sequence_faults, validation, declarations_current, export_gates, signatures,
     attestation_tally, completeness,
 )
@@ -709,6 +740,11 @@ ORACLES = {
     + f"""SELECT 'two' AS receiver, (SELECT count(*) FROM rec WHERE event_id % 3 = 1) AS received, (SELECT count(*) FROM ob WHERE {_USED('event_id % 3 <> 0')} AND NOT ({_USED('event_id % 3 <> 1')})) AS objects_sent, TRUE AS all_accounted, CAST(0 AS BIGINT) AS received_again, TRUE AS same_root
        UNION ALL SELECT 'one', (SELECT count(*) FROM rec WHERE event_id % 3 = 0), (SELECT count(*) FROM ob WHERE {_USED('event_id % 3 <> 1')} AND NOT ({_USED('event_id % 3 <> 0')})), TRUE, 0, TRUE""",
     "object_check": _with(_V, _REC, _OBJECTS_SQL) + "SELECT 'corrupt object' AS kind, digest AS subject FROM ob WHERE CAST('0x' || left(digest, 4) AS BIGINT) % 7 = 3",
+    "document_check": _with(_V)
+    + """, d AS (SELECT event_id, id, CASE WHEN event_id % 37 = 3 THEN 'x' ELSE '' END || id AS name FROM obs)
+       SELECT CASE WHEN event_id % 41 = 7 THEN 'unreadable record' ELSE 'misnamed record' END AS kind, 'file:/ledger/observations/' || left(id, 2) || '/' || name || '.json' AS subject,
+         CASE WHEN event_id % 41 = 7 THEN '' WHEN event_id % 41 = 8 THEN 'it holds no id' ELSE 'it holds ' || id END AS detail FROM d WHERE event_id % 41 IN (7, 8) OR event_id % 37 = 3
+       UNION ALL SELECT 'unfinished change', 'file:/ledger/journal/' || id, 'left in the journal' FROM obs WHERE event_id % 53 = 5 AND event_id % 2 = 1""",
     "transfer_selection": _with(_V, _TWO_SQL)
     + """, ca AS (SELECT server_id, dimension, x, z, string_agg(id, ',' ORDER BY id) AS d FROM la GROUP BY ALL), cb AS (SELECT server_id, dimension, x, z, string_agg(id, ',' ORDER BY id) AS d FROM lb GROUP BY ALL)
        SELECT id FROM la JOIN ca USING (server_id, dimension, x, z) LEFT JOIN cb USING (server_id, dimension, x, z) WHERE ca.d IS DISTINCT FROM cb.d AND (server_id, dimension) IN (SELECT (server_id, dimension) FROM lb)""",
@@ -761,6 +797,11 @@ ORACLES = {
        CASE WHEN s_suppkey % 4 > 0 THEN CAST(s_suppkey % 40 - 20 AS INT) END AS first_y, CASE WHEN s_suppkey % 4 > 0 THEN 'items,name' END AS fields, CASE WHEN s_suppkey % 4 > 0 THEN TRUE END AS nested FROM supplier""",
     "codec_blocks": "SELECT s_suppkey AS k, CAST(s_suppkey % 8 - 4 AS INT) AS section_y, 'minecraft:b' || (i * i + s_suppkey) % (s_suppkey % 6 + 1) AS state, count(*) AS positions FROM supplier, range(4096) t(i) GROUP BY ALL",
     "codec_biomes": "SELECT s_suppkey AS k, sha256(string_agg('minecraft:m' || (i + s_suppkey) % 3, ',' ORDER BY i)) AS digest, 'minecraft:m' || (5 + s_suppkey) % 3 AS fifth FROM supplier, range(64) t(i) GROUP BY s_suppkey",
+    "codec_bytes": "WITH t AS (SELECT s_suppkey AS k, s_suppkey % 16 - 8 AS y FROM supplier) SELECT k, "
+    + f"sha256({_t8(repr(codec.domain('chunk-shape')))} || {_u4('y')} || {_u4('k % 30 + 1')}) AS shape, "
+    + f"sha256({_t8(repr(codec.domain('block-section')))} || {_u4('y')} || unhex('0001') || " + _t8("'minecraft:b' || k") + " || unhex(repeat('0000', 4096))) AS blocks, "
+    + f"sha256({_t8(repr(codec.domain('biome-section')))} || {_u4('y')} || unhex('0002') || {_t8(repr('minecraft:a'))} || {_t8(repr('minecraft:b'))} || unhex(repeat('00000001', 32))) AS biomes, "
+    + "(SELECT string_agg('m:b' || printf('%04d', i), ',' ORDER BY i) FROM range(k % 5 + 1) r(i)) AS numbered FROM t",
     "packed_indices": """WITH b AS (SELECT p_partkey, p_size, greatest(4, length(bin(p_size - 1))) AS bits FROM part WHERE p_size > 1),
        v AS (SELECT p_partkey, CAST(i // (64 // bits) AS INT) AS j, CAST((i * 5 + p_partkey) % p_size AS HUGEINT) << CAST(i % (64 // bits) * bits AS INT) AS part FROM b, range(40) t(i)),
        s AS (SELECT p_partkey, j, sum(part) AS u FROM v GROUP BY ALL)
