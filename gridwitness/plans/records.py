@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_path
 from ..functions import codec, fixtures, identity, text
 from ..functions.strict_json import json_problem
 from ..operators import catalog, comparison, export, governance, integrity, search, selection, status, translation
@@ -24,16 +22,6 @@ _V, _LM = events.VIEW_SQL, f"lm AS ({events.LANDMARKS_SQL.replace('STRING', 'VAR
 WORLD = ("srv-view", "minecraft:overworld")
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    """A new path that driver and executors share; an own one only where none is set and all runs on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gridwitness-")
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 # ---- identities ------------------------------------------------------------------------------------------------
 
 _t8 = lambda e: f"(unhex(printf('%08x', octet_length(encode({e})))) || encode({e}))"
@@ -132,7 +120,7 @@ def _held(ledger: Ledger, step: str) -> DataFrame:
 def store_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a ledger holds after some records were appended, then all of them twice, and then one contributor's purged."""
     rows, objects = _records(spark, sf_dir), _objects(spark, sf_dir)
-    ledger = Ledger.create(spark, _shared(spark, "ledger"))
+    ledger = Ledger.create(spark, shared_path(spark, "ledger"))
     out = [_held(ledger, "created")]
     needed = rows.where("event_id % 3 <> 0").select(F.explode("components").alias("n", "c")).select("c.digest").distinct()
     ledger.append(rows.where("event_id % 3 <> 0"), objects.join(needed, "digest", "left_semi"))
@@ -152,12 +140,12 @@ def store_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (0, 1):
         own = rows.where(F.col("event_id") % 3 != k)
         digests = own.select(F.explode("components").alias("n", "c")).select("c.digest").distinct()
-        ledgers.append(Ledger.create(spark, _shared(spark, "ledger")))
+        ledgers.append(Ledger.create(spark, shared_path(spark, "ledger")))
         ledgers[-1].append(own, objects.join(digests, "digest", "left_semi"))
     one, two = ledgers
     out = []
     for a, b, name in ((one, two, "two"), (two, one, "one")):
-        path = _shared(spark, "transfer")
+        path = shared_path(spark, "transfer")
         sent = a.send(path, comparison.fingerprint_components(b.components()), b.observations())
         got = b.receive(path)
         out.append((name, got["observations"], sent["objects"], got["already_held"] + got["observations"] == sent["observations"], b.receive(path)["observations"]))
@@ -216,7 +204,7 @@ def fingerprint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fingerprint written as lines of text and read back; the root is computed anew."""
     obs = _obs(spark, sf_dir)
     states, parts = comparison.fingerprint_states(obs), comparison.fingerprint_components(events.components(obs))
-    path = _shared(spark, "fingerprint")
+    path = shared_path(spark, "fingerprint")
     files.fingerprint_lines(states, parts, comparison.fingerprint_root(states, parts).first().root, identity.NAMESPACE).write.text(path)
     s, c, root = files.read_fingerprint(spark.read.text(path))
     return s.agg(F.count("*").alias("states")).join(c.agg(F.count("*").alias("components"), F.sum("size").alias("bytes"))).select("*", F.lit(root).alias("root"))
@@ -226,7 +214,7 @@ def ledger_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger's manifest written as a document and read back."""
     _checkpoints(spark)
     obs = _obs(spark, sf_dir)
-    path = _shared(spark, "manifest")
+    path = shared_path(spark, "manifest")
     documents.write_ledger_manifest(obs, events.components(obs), path, "2026-01-01T00:00:00Z")
     return documents.read_ledger_manifest(spark, path)[0]
 
@@ -234,7 +222,7 @@ def ledger_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An epoch's manifest written as a document and read back."""
     chosen = selection.select_at(selection.gather(_obs(spark, sf_dir), None, *WORLD), AT, DAY)
-    path = _shared(spark, "epoch")
+    path = shared_path(spark, "epoch")
     documents.write_epoch_manifest(comparison.epoch_manifest(chosen), selection.status_summary(chosen).first().asDict(), path, *WORLD, AT, "2026-01-01T00:00:00Z")
     rows, about = documents.read_epoch_manifest(spark, path)
     return rows.withColumn("root", F.lit(about["root"]))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_dir
 from ..operators import catalog, comparison, governance, integrity, selection, windows
 from ..sources import events
 
@@ -296,12 +295,7 @@ def _scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _checkpoints(spark: SparkSession) -> None:
     """Iterations cut their lineage in the shared folder; an own one only where none is set and all runs on one machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridwitness-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 _CLUSTER_SQL = """
