@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_path as new_path
+
 #: The characters that separate words in every contract here: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,25 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all runs on one machine (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = spark.conf.get("spark.gridwitness.ownCheckpointDir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="gridwitness-")
-            spark.conf.set("spark.gridwitness.ownCheckpointDir", folder)
-    return folder.rstrip("/")
-
-
 #: The paths given out within each scratch() that is open.
 _scratches: list[list[str]] = []
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     if _scratches:
         _scratches[-1].append(path)
     return path

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridwitness.cluster import shared_dir
 from gridwitness.llm import registry
-from gridwitness.llm.common import shared_dir, table
+from gridwitness.llm.common import table
 
 from ..conftest import SF
 from ..test_queries import duck, rows
