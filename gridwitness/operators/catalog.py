@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import namespace_of, release_of
@@ -40,6 +40,25 @@ def foreign_namespaces(names: DataFrame, own: str = "minecraft") -> DataFrame:
     return names.select(namespace_of("name").alias("namespace")).where(F.col("namespace") != own).distinct().orderBy("namespace")
 
 
+def compatibility(observations: DataFrame, names: DataFrame, own: str = "minecraft") -> DataFrame:
+    """One row: the releases that an export draws on, and the namespaces in it that the game alone can't show, both in order."""
+    listed = lambda df, c: df.agg(F.array_join(F.array_sort(F.collect_list(c)), ", ").alias(c))
+    return listed(releases(observations).withColumnRenamed("release", "releases"), "releases").join(listed(foreign_namespaces(names, own).withColumnRenamed("namespace", "namespaces"), "namespaces"))  # single rows
+
+
+def section_range(min_section_y: Column | str, section_count: Column | str) -> Column:
+    """struct(low, high, blocks_low, blocks_high) of a build range, ends included; null without sections."""
+    low, count = (F.col(c) if isinstance(c, str) else c for c in (min_section_y, section_count))
+    high = low + count.cast("int") - 1
+    return F.when(count > 0, F.struct(low.alias("low"), high.alias("high"), (low * 16).alias("blocks_low"), (high * 16 + 15).alias("blocks_high")))
+
+
+def in_range(section_y: Column | str, min_section_y: Column | str, section_count: Column | str) -> Column:
+    """Whether a section lies in a build range."""
+    y, low, count = (F.col(c) if isinstance(c, str) else c for c in (section_y, min_section_y, section_count))
+    return (count > 0) & (y >= low) & (y - low < count)
+
+
 def resolve_prefix(ids: DataFrame, prefix: str, column: str = "id") -> str:
     """The one id with that prefix."""
     found = [r[0] for r in ids.select(column).distinct().where(F.col(column).startswith(prefix)).limit(2).collect()]

@@ -256,6 +256,18 @@ def foreign_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.foreign_namespaces(p.select(F.concat(own, F.lit(":"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("name")))
 
 
+def compatibility_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "minecraft").otherwise(F.concat(F.lit("mod"), (F.col("p_size") % 4).cast("string"))), F.lit(":x")).alias("name"))
+    return catalog.compatibility(_records(spark, sf_dir), p)
+
+
+def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build ranges and whether a section lies in them."""
+    k = F.col("p_partkey").cast("int")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (k % 9 - 4).alias("low"), (F.col("p_size") % 12).alias("n"), (k % 17 - 6).alias("y"))
+    return rows.select("p_partkey", catalog.section_range("low", "n").alias("r"), catalog.in_range("y", "low", "n").alias("inside")).select("p_partkey", "r.high", "r.blocks_low", "r.blocks_high", "inside")
+
+
 def id_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = _obs(spark, sf_dir)
     prefix = obs.agg(F.left(F.min("id"), F.lit(16)).alias("p")).first().p
@@ -705,7 +717,7 @@ _USED = lambda where: f"b IN (SELECT biomes FROM rec WHERE {where} UNION ALL SEL
 
 _FUNCTIONS = (
     observation_identity, stored_record_check, record_json, index_lines, encoded_names, store_steps, store_exchange, object_check, document_check, transfer_selection, bundle_manifests, spool_kinds, fingerprint_text, ledger_manifest,
-    epoch_manifest, dimension_scan, landmark_summary, fingerprint_of_server, releases, foreign_namespaces, id_prefix, truncated_listing, server_status, ledger_status, next_steps, why_empty, scope_texts, name_checks,
+    epoch_manifest, dimension_scan, landmark_summary, fingerprint_of_server, releases, foreign_namespaces, compatibility_notice, section_ranges, id_prefix, truncated_listing, server_status, ledger_status, next_steps, why_empty, scope_texts, name_checks,
     block_states, rfc3339_times, region_slots, digests, sizes_and_bounds, strict_json, codec_shapes, codec_blocks, codec_biomes, codec_bytes, packed_indices, region_export, capture_shapes, coverage_pixels, palette_counts, resolved_states,
     translation_report, translated_sections, filled_sections, profile_delta, release_effect, seed_search, seed_report, dirty_claims, due_claims, sequence_faults, validation, declarations_current, export_gates, signatures,
     attestation_tally, completeness,
@@ -754,6 +766,9 @@ ORACLES = {
     "fingerprint_of_server": _with(_V) + "SELECT DISTINCT server_id, dimension, x, z, state_digest FROM obs WHERE server_id = 'srv-click'",
     "releases": "SELECT DISTINCT '1.' || event_id % 11 AS release FROM events WHERE event_id % 7 <> 0",
     "foreign_namespaces": "SELECT DISTINCT 'mod' || p_size % 6 AS namespace FROM part WHERE p_partkey % 3 <> 0",
+    "compatibility_notice": "SELECT (SELECT string_agg(DISTINCT '1.' || event_id % 5, ', ' ORDER BY '1.' || event_id % 5) FROM events) AS releases, (SELECT string_agg(DISTINCT 'mod' || p_size % 4, ', ' ORDER BY 'mod' || p_size % 4) FROM part WHERE p_partkey % 3 <> 0) AS namespaces",
+    "section_ranges": """WITH t AS (SELECT p_partkey, CAST(p_partkey % 9 - 4 AS INT) AS low, p_size % 12 AS n, CAST(p_partkey % 17 - 6 AS INT) AS y FROM part)
+       SELECT p_partkey, CASE WHEN n > 0 THEN low + n - 1 END AS high, CASE WHEN n > 0 THEN low * 16 END AS blocks_low, CASE WHEN n > 0 THEN (low + n) * 16 - 1 END AS blocks_high, n > 0 AND y BETWEEN low AND low + n - 1 AS inside FROM t""",
     "id_prefix": _with(_V) + "SELECT min(id) AS id FROM obs",
     "truncated_listing": _with(_V) + "SELECT id, (SELECT count(*) - 20 FROM obs) AS more FROM obs ORDER BY observed_at, id LIMIT 20",
     "server_status": _with(_V, _PO)

@@ -150,8 +150,11 @@ def test_a_tampered_transfer_is_refused_whole(spark, tmp_path):
     for name, rows, things in (("x", records(spark).withColumn("x", F.col("x") + 1), objects(spark)), ("y", records(spark), objects(spark, n=2))):
         rows.write.parquet(f"file://{tmp_path}/{name}/observations")
         things.write.parquet(f"file://{tmp_path}/{name}/objects")
-        with pytest.raises(ValueError):
-            ledger.receive(f"file://{tmp_path}/{name}")
+        doc = {"schema": "gridwitness.transfer-bundle/v1", "observations": [r.id for r in rows.collect()], "objects": [{"digest": r.digest, "size": r.size} for r in things.collect()]}
+        for listed in ({**doc, "schema": "x"}, {**doc, "observations": doc["observations"][1:]}, {**doc, "objects": [*doc["objects"], doc["objects"][0]]}, doc):
+            (tmp_path / name / "bundle.json").write_text(json.dumps(listed))
+            with pytest.raises(ValueError, match={"x": "id doesn't follow", "y": "resolved"}[name] if listed is doc else "schema|lists"):
+                ledger.receive(f"file://{tmp_path}/{name}")
     assert ledger.observations().count() == 0
 
 
