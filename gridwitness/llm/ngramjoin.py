@@ -197,8 +197,8 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parities of the n-grams on the bits of a power of two of at least their number, in 64-bit words."""
-    bits = max(128, 1 << (len(grams) - 1).bit_length())
+    """Parities of the n-grams on the bits of a power of two of at least four times their number, in 64-bit words: so few differences fall on one bit and cancel out."""
+    bits = max(128, 4 << (len(grams) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -372,7 +372,7 @@ def _pivot_tasks(pairs: DataFrame, size: int) -> DataFrame:
 
 def _block_tasks(members: DataFrame, size: int) -> DataFrame:
     """members: (label, key, class, n). All pairs of blocks, of about size and of bounded bytes, of a label's members."""
-    share = F.lit(1.0) + F.col("n") / F.lit(4.0) * F.lit(size / SKETCH_BYTES)  # a sketch has at most a quarter of a byte for each n-gram
+    share = F.lit(1.0) + F.col("n") * F.lit(size / SKETCH_BYTES)  # a sketch has at most a byte for each n-gram
     many = members.groupBy("label").agg(F.ceil(F.sum(share) / F.lit(size)).alias("blocks"))
     dealt = members.join(many, "label").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
     pair = lambda i, j: i * F.lit(1 << 31) + j
