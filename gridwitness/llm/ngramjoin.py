@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain, groupby
 
 import numpy as np
@@ -41,6 +41,8 @@ from .common import forget, mixed, stored, window_hashes, word_hashes, words
 #: Sets in one prefix tree, and sketches that a task compares with as many others; both also by bytes, so that a task holds no more of long sets.
 TREE, SKETCHES = 256, 2_048
 TREE_BYTES, SKETCH_BYTES = 1 << 25, 1 << 24
+#: Shares of the labels that are dealt out one after the other.
+LABEL_SHARES = 2
 #: Rounds with one pivot a label; after these, bounded blocks of its members are compared pair by pair.
 PIVOT_ROUNDS = 2
 #: Keys a task remembers so as not to label copies again.
@@ -403,15 +405,20 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         forget(noted)
     else:
         raise RuntimeError("different sets share a hash under every seed")
-    met = stored(
-        wide.where("labels is not null").select(F.explode("labels").alias("label"), "key")
-        .repartition("label").sortWithinPartitions("label", "key")
-        .mapInArrow(_shared, "label bigint, key bigint"),
-        "met",
-    )
+    # One share of the labels after the other, so that what is dealt out at a time is a part of them.
+    shares = [
+        stored(
+            wide.where("labels is not null").select(F.explode(F.expr(f"filter(labels, x -> pmod(x, {LABEL_SHARES}) = {k})")).alias("label"), "key")
+            .repartition("label").sortWithinPartitions("label", "key")
+            .mapInArrow(_shared, "label bigint, key bigint"),
+            "met",
+        )
+        for k in range(LABEL_SHARES)
+    ]
     forget(wide)
-    met, first = stored(_once(met), "met"), met
-    forget(first)
+    met = stored(_once(reduce(DataFrame.unionByName, shares)), "met")
+    for share in shares:
+        forget(share)
     holders = noted.select("key", "doc_id").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
     sets = stored(
         source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width, seed), "key bigint, n bigint, sketch binary, grams binary"),
