@@ -56,10 +56,10 @@ def scratch(spark: SparkSession):
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, whichever executor is lost, and its shuffle files go."""
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """df written to the shared folder (to path, if given) and read again: its lineage ends there, whichever executor is lost, and its shuffle files go."""
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = path or shared_path(spark, label)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -36,13 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mixed, stored, window_hashes, word_hashes, words
+from .common import forget, mixed, scratch, shared_path, stored, window_hashes, word_hashes, words
 
 #: Sets in one prefix tree, and sketches that a task compares with as many others; both also by bytes, so that a task holds no more of long sets.
 TREE, SKETCHES = 256, 2_048
 TREE_BYTES, SKETCH_BYTES = 1 << 25, 1 << 24
 #: Shares of the labels that are dealt out one after the other.
-LABEL_SHARES = 2
+LABEL_SHARES = 4
 #: Rounds with one pivot a label; after these, bounded blocks of its members are compared pair by pair.
 PIVOT_ROUNDS = 2
 #: Keys a task remembers so as not to label copies again.
@@ -199,8 +199,8 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parities of the n-grams on the bits of a power of two of at least four times their number, in 64-bit words: so few differences fall on one bit and cancel out."""
-    bits = max(128, 4 << (len(grams) - 1).bit_length())
+    """Parities of the n-grams on the bits of a power of two of at least twice their number, in 64-bit words: so few differences fall on one bit and cancel out."""
+    bits = max(128, 2 << (len(grams) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -374,7 +374,7 @@ def _pivot_tasks(pairs: DataFrame, size: int) -> DataFrame:
 
 def _block_tasks(members: DataFrame, size: int) -> DataFrame:
     """members: (label, key, class, n). All pairs of blocks, of about size and of bounded bytes, of a label's members."""
-    share = F.lit(1.0) + F.col("n") * F.lit(size / SKETCH_BYTES)  # a sketch has at most a byte for each n-gram
+    share = F.lit(1.0) + F.col("n") / F.lit(2.0) * F.lit(size / SKETCH_BYTES)  # a sketch has at most half a byte for each n-gram
     many = members.groupBy("label").agg(F.ceil(F.sum(share) / F.lit(size)).alias("blocks"))
     dealt = members.join(many, "label").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
     pair = lambda i, j: i * F.lit(1 << 31) + j
@@ -392,7 +392,13 @@ def _once(met: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs."""
+    """(doc_id, n_shingles, component_id) of each row of docs. The tables made on the way are removed."""
+    path = shared_path(docs.sparkSession, "groups")
+    with scratch(docs.sparkSession):
+        return stored(_groups(docs, text, doc_id, width, percent), "groups", path)
+
+
+def _groups(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     for seed in range(8):
