@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, stored, use, window_hashes
+from .common import WORD_CACHE, bloom, maybe_in, stored, use, window_hashes
 
 #: Window of template tokens.
 WIDTH = 5
@@ -125,38 +125,6 @@ _AS_WORDS, _AS_NAMES = 1, 2
 _WINDOW = "hash bigint, id {kind}, pos bigint, readings int, slots array<struct<at:int,kind:string,value:string>>"
 
 
-def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a Bloom filter that stand for each hash."""
-    down = np.uint64(64 - bits)
-    return h >> down, (h * np.uint64(0x9E3779B97F4A7C15)) >> down
-
-
-def _bloom(windows: DataFrame) -> np.ndarray:
-    """The filter's 64-bit words: of a size by the number of windows, and 32 MB at most, whatever the benchmark."""
-    n = windows.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, n) - 1).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
-
-    words = np.zeros(1 << max(0, bits - 6), np.uint64)
-    held = windows.select("hash").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
-    return words
-
-
-def _among(h: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    """Of each hash whether the filter may hold it."""
-    if known is None:
-        return np.ones(len(h), bool)
-    found = np.ones(len(h), bool)
-    for at in _places(h, (len(known) * 64 - 1).bit_length()):
-        found &= (known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return found
-
-
 def _windows(widths: list[int], sent):
     """Windows of each row (id, text): of the widths, if the filter sent may hold them; of items, where none is sent, each of its own width."""
 
@@ -182,7 +150,7 @@ def _windows(widths: list[int], sent):
                     for reading in (_AS_WORDS, _AS_NAMES) if both is not None else (_AS_WORDS,):
                         h = window_hashes(t.hashes if reading == _AS_WORDS else named, width)
                         wanted = slots < width if reading == _AS_WORDS else (both > 0) & (slots + both < width)
-                        at = np.flatnonzero(_among(h, known) & wanted)
+                        at = np.flatnonzero(maybe_in(h, known) & wanted)
                         out.append(h[at].view(np.int64))
                         ids += [key] * len(at)
                         places.append(at)
@@ -211,7 +179,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     # Short items have a narrower window; its width is told by what the window holds.
     windows = cut.join(sizes, "id").select("hash", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("readings").alias("item_readings"), "n_windows")
     widths = sorted(r.width for r in single.select("width").distinct().collect() if r.width)  # width values at most
-    sent = spark.sparkContext.broadcast(_bloom(cut))
+    sent = spark.sparkContext.broadcast(bloom(cut, LEAST_BITS, MOST_BITS))
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     met = source.mapInArrow(_windows(widths, sent), _WINDOW.format(kind=source.schema["id"].dataType.simpleString())).withColumnRenamed("id", "doc_id").distinct()
     pairs = met.join(windows, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))

@@ -12,7 +12,7 @@ all others; sets that link form classes. Where a label still holds several class
 pivot follows, and then all pairs of bounded blocks of its members. So every link is either found or lies inside a class, and no
 group is ever gathered in one task. Comparing is done in two steps. First by sizes and by parity sketches (a bit of
 a sketch is whether an even or odd number of n-grams fall on it, so two sketches differ in no more bits than the sets
-in n-grams; pairs that differ in more than d bits can't link). What is left is verified: the sets asked about are put in a prefix tree in
+in n-grams; pairs that differ in more than d bits can't link). Sketches are made with the labels; n-grams are taken from the texts again, of what is left alone. This is verified: the sets asked about are put in a prefix tree in
 blocks of bounded size, which the other sets' n-grams traverse. The overlap found along an edge holds for all sets below
 it, and a subtree is left when what remains of the query and of the longest set below can't reach the overlap that the shortest needs.
 
@@ -36,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mixed, scratch, shared_path, stored, window_hashes, word_hashes, words
+from .common import bloom, forget, maybe_in, mixed, scratch, shared_path, stored, window_hashes, word_hashes, words
 
 #: Sets in one prefix tree, and sketches that a task compares with as many others; both also by bytes, so that a task holds no more of long sets.
 TREE, SKETCHES = 256, 2_048
 TREE_BYTES, SKETCH_BYTES = 1 << 25, 1 << 24
-#: Shares of the labels that are dealt out one after the other.
-LABEL_SHARES = 4
+#: Shares of the labels that are dealt out one after the other, and bytes kept of a label: should two labels be equal in these alone, that costs a comparison.
+LABEL_SHARES, LABEL_BYTES = 8, 6
+_SHARE_NAMES = [f"labels{k}" for k in range(LABEL_SHARES)]
 #: Rounds with one pivot a label; after these, bounded blocks of its members are compared pair by pair.
 PIVOT_ROUNDS = 2
 #: Keys a task remembers so as not to label copies again.
@@ -102,6 +103,27 @@ def labels(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def packed(found: np.ndarray) -> list[bytes]:
+    """Labels, cut to LABEL_BYTES, in LABEL_SHARES strings: equal ones are in the same share."""
+    short = found >> np.uint64(64 - 8 * LABEL_BYTES)
+    share = short % np.uint64(LABEL_SHARES)
+    narrow = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LABEL_BYTES]
+    return [narrow[share == k].tobytes() for k in range(LABEL_SHARES)]
+
+
+def _unpacked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, labels of a share): each (label, key)."""
+    for batch in rows:
+        held = batch.column(1).to_pylist()
+        narrow = np.frombuffer(b"".join(held), np.uint8).reshape(-1, LABEL_BYTES)
+        label = np.zeros((len(narrow), 8), np.uint8)
+        label[:, :LABEL_BYTES] = narrow
+        keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // LABEL_BYTES for x in held])
+        made = pa.RecordBatch.from_arrays([pa.array(label.view("<i8").ravel()), pa.array(keys, pa.int64())], names=["label", "key"])
+        for at in range(0, len(keys), 1 << 15):  # what the JVM holds of it at a time
+            yield made.slice(at, 1 << 15)
+
+
 def linked(overlap: int, a: int, b: int, percent: int) -> bool:
     return 100 * overlap >= percent * (a + b - overlap)
 
@@ -158,21 +180,24 @@ def _sets_and_labels(percent: int, width: int, seed: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
-            sizes, keys, others, marks = [], [], [], []
+            sizes, keys, others, sketches, marks = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = gram_set(text, width)
                 key, other = set_key(grams, seed) if len(grams) else (None, None)
                 sizes.append(len(grams))
                 keys.append(key)
                 others.append(other)
-                if key is None or key in seen:
-                    marks.append(None)
-                else:
+                found = ()
+                if key is not None and key not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(key)
-                    marks.append(labels(grams, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "other", "labels"])
+                    found = labels(grams, percent)
+                sketches.append(sketch(grams).tobytes() if len(found) else None)
+                marks.append(packed(found) if len(found) else [None] * LABEL_SHARES)
+            shares = [pa.array([m[k] for m in marks], pa.binary()) for k in range(LABEL_SHARES)]
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, keys, others)), pa.array(sketches, pa.binary()), *shares]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "other", "sketch", *_SHARE_NAMES])
 
     return run
 
@@ -230,22 +255,46 @@ def _grams_of(width: int, seed: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
-            keys, sizes, sketches, found = [], [], [], []
+            keys, found = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if wanted in seen:
+                    continue
                 grams = gram_set(text, width)
-                if wanted not in seen and len(grams) and set_key(grams, seed)[0] == wanted:
+                if len(grams) and set_key(grams, seed)[0] == wanted:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(wanted)
                     keys.append(wanted)
-                    sizes.append(len(grams))
-                    sketches.append(sketch(grams).tobytes())
                     found.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.binary())], names=["key", "n", "sketch", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "grams"])
+
+    return run
+
+
+def _passing(sent):
+    """The rows whose last column, a hash, the Bloom filter sent may hold."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            ok = maybe_in(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64), sent.value)
+            if ok.any():
+                yield batch.filter(pa.array(ok))
 
     return run
 
 
+def _grams(keys: DataFrame, noted: DataFrame, source: DataFrame, width: int, seed: int) -> DataFrame:
+    """(key, grams) of some sets, from a text of each. A Bloom filter of these texts' ids keeps most others from being dealt out."""
+    spark = source.sparkSession
+    holders = stored(noted.select("key", "doc_id").join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id")), "holders")
+    sent = spark.sparkContext.broadcast(bloom(holders.select(F.xxhash64("__id").alias("hash"))))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    texts = source.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_passing(sent), f"doc_id {kind}, text string, hash bigint")
+    grams = stored(texts.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width, seed), "key bigint, grams binary"), "grams")
+    sent.destroy()
+    return grams
+
+
 def _grouped(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[Iterator[tuple]]:
     """The rows of one (group, block) after the other, without these two, as they come."""
     each = (row for batch in rows for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True))
@@ -337,10 +386,10 @@ def _candidates(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group", "block").sortWithinPartitions("group", "block", F.desc("role")).mapInArrow(_sketch_pairs(percent), "key bigint, pivot bigint").distinct()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (key, pivot) that link. Each pivot's n-grams traverse trees of about TREE of its sets."""
+def _links(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The pairs (key, pivot) that link; grams: (key, grams) of their sets. Each pivot's n-grams traverse trees of about TREE of its sets."""
     tasks = _pivot_tasks(pairs.select("key", F.lit(0).cast("bigint").alias("class"), "pivot", F.lit(0).cast("bigint").alias("pivot_class")), TREE).drop("class")
-    rows = tasks.join(sets.select("key", "grams"), "key").select("group", "block", "role", "key", "grams")
+    rows = tasks.join(grams, "key").select("group", "block", "role", "key", "grams")
     return rows.repartition("group", "block").sortWithinPartitions("group", "block", F.desc("role")).mapInArrow(_tree_links(percent), "a bigint, b bigint").distinct()
 
 
@@ -402,7 +451,7 @@ def _groups(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     for seed in range(8):
-        wide = stored(source.mapInArrow(_sets_and_labels(percent, width, seed), f"doc_id {kind}, n bigint, key bigint, other bigint, labels array<bigint>"), "labels")
+        wide = stored(source.mapInArrow(_sets_and_labels(percent, width, seed), f"doc_id {kind}, n bigint, key bigint, other bigint, sketch binary, {', '.join(f'{c} binary' for c in _SHARE_NAMES)}"), "labels")
         noted = stored(wide.select("doc_id", "n", "key", "other"), "sets")
         # Sets go by 64 of 128 bits; should two different ones share these, all are hashed anew.
         if noted.where("key is not null").groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").isEmpty():
@@ -414,22 +463,20 @@ def _groups(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -
     # One share of the labels after the other, so that what is dealt out at a time is a part of them.
     shares = [
         stored(
-            wide.where("labels is not null").select(F.explode(F.expr(f"filter(labels, x -> pmod(x, {LABEL_SHARES}) = {k})")).alias("label"), "key")
+            wide.where(F.col(share).isNotNull()).select("key", share).mapInArrow(_unpacked, "label bigint, key bigint")
             .repartition("label").sortWithinPartitions("label", "key")
             .mapInArrow(_shared, "label bigint, key bigint"),
             "met",
         )
-        for k in range(LABEL_SHARES)
+        for share in _SHARE_NAMES
     ]
-    forget(wide)
     met = stored(_once(reduce(DataFrame.unionByName, shares)), "met")
     for share in shares:
         forget(share)
-    holders = noted.select("key", "doc_id").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
-    sets = stored(
-        source.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width, seed), "key bigint, n bigint, sketch binary, grams binary"),
-        "grams",
-    )
+    # Sketches of all sets that meet others; n-grams follow for those alone that sketches don't tell apart.
+    sketches = wide.where("sketch is not null").select("key", "n", "sketch").join(met.select("key").distinct(), "key", "left_semi")
+    sets = stored(sketches.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    forget(wide)
     edges, roots, rest = None, None, met
     for last in (*(False,) * PIVOT_ROUNDS, True):
         if roots is None:
@@ -448,8 +495,11 @@ def _groups(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -
             asked = rest.join(chosen, "label").select("label", "key", "class", F.col("p.key").alias("pivot"), F.col("p.class").alias("pivot_class")).where("key <> pivot")
             tasks = _pivot_tasks(stored(asked.where("class <> pivot_class").drop("label").distinct(), "pairs"), SKETCHES)
             rest = stored(asked.select("label", "key"), "rest")
-        found = _links(stored(_candidates(tasks, sets, percent), "candidates"), sets, percent)
+        pairs = stored(_candidates(tasks, sets, percent), "candidates")
+        grams = _grams(pairs.select("key").union(pairs.select("pivot")).distinct(), noted, source, width, seed)
+        found = _links(pairs, grams, percent)
         edges = stored(found if edges is None else edges.union(found), "links")
+        forget(grams)
         roots = components(edges)
     classes = noted.select("doc_id", "n", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("class"))
     smallest = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("__least"))

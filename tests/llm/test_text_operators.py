@@ -419,6 +419,33 @@ def _replayed(run, source):
     return give
 
 
+def test_ngrams_are_kept_of_sets_that_sketches_leave_alone(spark, monkeypatch):
+    """Texts that share a passage meet under its labels; n-grams are kept of those alone that may link, and most other texts stay where they are."""
+    kept, passed = [], []
+    real, real_bloom = ngramjoin.stored, ngramjoin.bloom
+
+    def noting(df, label, path=None):
+        made = real(df, label, path)
+        if label == "grams":
+            kept.append({r.key for r in made.select("key").collect()})
+        return made
+
+    def sized(hashes, *bits):
+        passed.append(hashes.count())
+        return real_bloom(hashes, *bits)
+
+    monkeypatch.setattr(ngramjoin, "stored", noting)
+    monkeypatch.setattr(ngramjoin, "bloom", sized, raising=False)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(100)]
+    rows = [(k, " ".join(passage + [word() for _ in range(120)])) for k in range(30)]
+    rows += [(30, rows[0][1] + " more words here"), (31, rows[0][1])]
+    got = Counter(map(tuple, ngramjoin.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == brute_groups(rows, 4, 85)
+    assert len(set().union(*kept)) == 2 and passed[0] == 2
+
+
 def test_labels_miss_no_link():
     rng = np.random.default_rng(1)
     for n in (6, 7, 12, 13, 25, 60, 200, 1500):
