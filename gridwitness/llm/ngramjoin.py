@@ -251,46 +251,39 @@ def may_link(asking: list[np.ndarray], asked: list[np.ndarray], n_asking: np.nda
     return fit
 
 
-def _grams_of(width: int, seed: int):
+def _grams_of(width: int, seed: int, sent):
+    """Of rows (text, hash of an id): (key, grams) of each set once, if the two filters sent may hold the id and the key."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, wanted = sent.value
         seen: set[int] = set()
         for batch in rows:
+            held = batch.column(0).filter(pa.array(maybe_in(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), ids)))
             keys, found = [], []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if wanted in seen:
-                    continue
+            for text in held.to_pylist():
                 grams = gram_set(text, width)
-                if len(grams) and set_key(grams, seed)[0] == wanted:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(wanted)
-                    keys.append(wanted)
-                    found.append(grams.tobytes())
+                key = set_key(grams, seed)[0] if len(grams) else None
+                if key is None or key in seen or not maybe_in(np.array([key], np.int64).view(np.uint64), wanted)[0]:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(key)
+                keys.append(key)
+                found.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "grams"])
 
     return run
 
 
-def _passing(sent):
-    """The rows whose last column, a hash, the Bloom filter sent may hold."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ok = maybe_in(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64), sent.value)
-            if ok.any():
-                yield batch.filter(pa.array(ok))
-
-    return run
-
-
 def _grams(keys: DataFrame, noted: DataFrame, source: DataFrame, width: int, seed: int) -> DataFrame:
-    """(key, grams) of some sets, from a text of each. A Bloom filter of these texts' ids keeps most others from being dealt out."""
+    """(key, grams) of some sets, from a text of each. Bloom filters tell, of these texts' ids and of the keys; few others come along, and nothing asks for those.
+
+    No text leaves its task, and no task has two Python workers: an executor keeps all that it ever had at a time, with what they hold.
+    """
     spark = source.sparkSession
     holders = stored(noted.select("key", "doc_id").join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id")), "holders")
-    sent = spark.sparkContext.broadcast(bloom(holders.select(F.xxhash64("__id").alias("hash"))))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    texts = source.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_passing(sent), f"doc_id {kind}, text string, hash bigint")
-    grams = stored(texts.join(holders, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "key").mapInArrow(_grams_of(width, seed), "key bigint, grams binary"), "grams")
+    sent = spark.sparkContext.broadcast((bloom(holders.select(F.xxhash64("__id").alias("hash"))), bloom(holders.select(F.col("key").alias("hash")))))
+    grams = stored(source.select("text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_grams_of(width, seed, sent), "key bigint, grams binary"), "grams")
     sent.destroy()
     return grams
 
@@ -302,6 +295,15 @@ def _grouped(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[Iterator[
         yield (row[2:] for row in members)
 
 
+def _each_once(members: Iterator[tuple]) -> Iterator[tuple]:
+    """members (role, key, ...) without repeated ones: rows that share an id and a text may each have given its set."""
+    met: set[tuple] = set()
+    for m in members:
+        if m[:2] not in met:
+            met.add(m[:2])
+            yield m
+
+
 def _in_parts(members: Iterator[tuple], column: int, most: int) -> Iterator[list[tuple]]:
     """members in lists of about so many bytes in a column."""
     held, size = [], 0
@@ -361,6 +363,7 @@ def _tree_links(percent: int):
         out: list[tuple[int, int]] = []
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
         for members in _grouped(rows, 5):
+            members = _each_once(members)
             queries: list[tuple[int, np.ndarray]] = []
             rest: Iterator[tuple] = iter(())
             for m in members:

@@ -446,6 +446,37 @@ def test_ngrams_are_kept_of_sets_that_sketches_leave_alone(spark, monkeypatch):
     assert len(set().union(*kept)) == 2 and passed[0] == 2
 
 
+def _python_in_a_task(df):
+    """The most Python operators that one task of df's plan runs one above the other."""
+    most, above = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        name = line.lstrip(" :+-*")
+        depth = len(line) - len(name)
+        while above and above[-1][0] >= depth:
+            above.pop()
+        n = above[-1][1] if above else 0
+        n = 0 if "Exchange" in name.split(" ")[0] else n + name.startswith(("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython"))
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_no_task_has_two_python_workers(spark, monkeypatch):
+    """Executors keep all Python workers that they ever had at a time, and what these hold: memory beyond the limit on large tables."""
+    found, real = [], ngramjoin.stored
+
+    def noting(df, label, path=None):
+        found.append((label, _python_in_a_task(df)))
+        return real(df, label, path)
+
+    monkeypatch.setattr(ngramjoin, "stored", noting)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base, *(f"x{k}y{j}" for j in range(k))])) for k in range(4)] + [(None, " ".join(base)), (None, " ".join([*base, "end"])), (2, " ".join(base))]
+    got = Counter(map(tuple, ngramjoin.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()))
+    assert got == brute_groups(rows, 4, 85)
+    assert ("grams", 1) in found and max(n for _, n in found) == 1, found
+
+
 def test_labels_miss_no_link():
     rng = np.random.default_rng(1)
     for n in (6, 7, 12, 13, 25, 60, 200, 1500):
